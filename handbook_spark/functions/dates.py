@@ -11,9 +11,7 @@ LOCAL_ZONE = "Europe/Berlin"
 def semester_code(text: Column) -> Column:
     """``Wintersemester 2016/2017`` -> 20161, ``Sommersemester 2016`` -> 20160, else NULL."""
     digit = F.when(F.regexp_extract(text, SEMESTER, 1) == "S", F.lit("0")).otherwise(F.lit("1"))
-    return F.concat(F.regexp_extract(text, SEMESTER, 2), digit).try_cast("int").alias("semester") * F.when(
-        text.rlike(SEMESTER), F.lit(1)
-    )
+    return F.when(text.rlike(SEMESTER), F.concat(F.regexp_extract(text, SEMESTER, 2), digit).cast("int"))
 
 
 def semester_label(version: Column, long: bool = True) -> Column:
