@@ -237,7 +237,7 @@ def html_to_text(html: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Size of a text in words and single marks."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"\w+|\S"), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|\S"), F.lit(0)))
 
 
 def words(text: Column) -> Column:

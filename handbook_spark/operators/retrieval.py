@@ -87,7 +87,7 @@ def bm25(df: DataFrame, text: str, query: str, floor: float = BM25_FLOOR) -> Dat
     # One scan of the tokens of a text yields its length and every term frequency.
     counted = df.withColumn("_tokens", tokens).withColumn("_length", F.size("_tokens"))
     for i, term in enumerate(distinct):
-        counted = counted.withColumn(f"_tf{i}", F.size(F.filter("_tokens", lambda w, t=term: w == t)))
+        counted = counted.withColumn(f"_tf{i}", F.col("_length") - F.size(F.array_remove("_tokens", term)))
     counted = counted.drop("_tokens")
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"),

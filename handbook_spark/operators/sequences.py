@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from handbook_spark.functions.text import MODULE_CODE, PAGE_HEADER, extract_or_null, footer_number, token_count
-from handbook_spark.operators.numbering import block_of, run_numbers, running_sum
+from handbook_spark.functions.text import (
+    MODULE_CODE, PAGE_HEADER, SHOWN_TEXT, decode_escapes, extract_or_null, footer_number, token_count,
+)
+from handbook_spark.operators.numbering import block_of, first_per_key, run_numbers, running_sum
 
 POSITIONED = r"1 0 0 -1 (\d+(?:\.\d+)?) (\d+(?:\.\d+)?) Tm\s?\[\(([^\n\r]*?)\)"
 SECTION_LINE = r"(?m)^1 0 0 -1 (\d+(?:\.\d+)?) (\d+(?:\.\d+)?) Tm \[\(([^\n]*?)\)\] TJ"
@@ -25,6 +27,12 @@ def _ordered_join(order: Sequence[str], text: str, separator: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: e[text]), separator)
 
 
+def best_versions(scored: DataFrame, tie_breaker: str) -> DataFrame:
+    """One row per module code: best agreements first, then the newest version, an unknown one ahead."""
+    order = [F.col(s).desc_nulls_first() for s in ("correct_module_code", "correct_ects", "correct_title", "version")]
+    return first_per_key(scored, ["module_code"], [*order, F.col(tie_breaker)])
+
+
 def module_texts(pages: DataFrame) -> DataFrame:
     """Modules as runs of pages with the same header; a header coming back later is a new module.
 
@@ -199,8 +207,6 @@ PART_LABELS = {"type_of_study": "Lehrformen", "language": "Sprache", "weekly_hou
 
 def module_part_rows(streams: DataFrame) -> DataFrame:
     """Parts of the modules on each page: name, teaching form, language, weekly hours, first exam."""
-    from handbook_spark.functions.text import SHOWN_TEXT, decode_escapes
-
     # Block from the parts heading to the validity line.
     block = F.regexp_extract("stream", r"(?s) Tm \[\(Modulteile\)\] TJ(.*?) Tm \[\(G\\374ltig ", 1)
     parts = F.split(block, r" Tm \[\(Modulteil:")

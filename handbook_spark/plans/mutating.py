@@ -1 +1,121 @@
-"""pending"""
+"""H: table mutations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from handbook_spark.corpus import Corpus
+from handbook_spark.operators import tables
+from handbook_spark.plans.registry import query
+
+
+@query("h1_insert_rows", """
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+UNION ALL SELECT max(o_orderkey) + 1, 7, 'N' FROM orders UNION ALL SELECT max(o_orderkey) + 2, 8, NULL FROM orders""")
+def h1(c: Corpus) -> DataFrame:
+    table = c.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    after, _ = tables.insert(table, [{"o_custkey": 7, "o_orderstatus": "N"}, {"o_custkey": 8}], "o_orderkey")
+    return after
+
+
+# Stored texts: those of handbooks without a version; incoming: all.
+_STORED = "SELECT r.id, r.module_code, r.content, md5(r.content) AS content_md5 FROM v_modules_raw r JOIN v_mhbs h ON h.id = r.mhb_id WHERE h.version IS NULL"
+_INCOMING = "SELECT id, mhb_id, module_code, content, md5(content) AS content_md5 FROM v_modules_raw"
+
+
+def _first_stored(c: Corpus) -> DataFrame:
+    return tables.first_per_key(c.sql(_STORED), ["module_code", "content_md5"], [F.col("id")])
+
+
+_FIRST_STORED = f"SELECT module_code, content_md5, min(id) AS id FROM ({_STORED}) GROUP BY module_code, content_md5"
+
+
+@query("h2_insert_on_conflict_skip", f"""
+WITH stored AS ({_FIRST_STORED}), incoming AS (SELECT module_code, content_md5, min(id) AS id FROM ({_INCOMING}) GROUP BY module_code, content_md5)
+SELECT * FROM stored UNION ALL SELECT i.* FROM incoming i WHERE NOT EXISTS
+  (SELECT 1 FROM stored s WHERE s.module_code = i.module_code AND s.content_md5 = i.content_md5)""")
+def h2(c: Corpus) -> DataFrame:
+    columns = ["module_code", "content_md5", "id"]
+    return tables.insert_or_skip(
+        _first_stored(c).select(columns), c.sql(_INCOMING).select(columns), ["module_code", "content_md5"], [F.col("id")]
+    )
+
+
+@query("h3_update_where", """
+SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 0.0 ELSE s_acctbal END AS s_acctbal,
+       CASE WHEN s_nationkey = 3 THEN 'geschlossen' ELSE s_name END AS s_name FROM supplier""")
+def h3(c: Corpus) -> DataFrame:
+    return tables.update(c.table("supplier"), {"s_acctbal": 0.0, "s_name": "geschlossen"}, {"s_nationkey": 3}).select(
+        "s_suppkey", "s_acctbal", "s_name"
+    )
+
+
+_CHANGES = "SELECT l_suppkey AS s_suppkey, max(l_extendedprice) AS s_acctbal FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50 GROUP BY l_suppkey HAVING max(l_tax) > 0.05"
+
+
+@query("h4_update_from_values", f"""
+SELECT s.s_suppkey, s.s_name, coalesce(n.s_acctbal, s.s_acctbal) AS s_acctbal FROM supplier s LEFT JOIN ({_CHANGES}) n ON n.s_suppkey = s.s_suppkey""")
+def h4(c: Corpus) -> DataFrame:
+    return tables.update_from(c.table("supplier"), c.sql(_CHANGES), "s_suppkey").select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("h5_delete_where", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'removed' ELSE 'kept' END AS outcome FROM orders""")
+def h5(c: Corpus) -> DataFrame:
+    kept, removed = tables.delete(c.table("orders"), {"o_orderstatus": "F", "o_orderpriority": "5-LOW"})
+    return kept.select("o_orderkey", F.lit("kept").alias("outcome")).unionByName(
+        removed.select("o_orderkey", F.lit("removed").alias("outcome"))
+    )
+
+
+_DIMENSION = "SELECT min(id) AS id, name, city FROM v_unis_db GROUP BY name, city"
+_FACTS = """SELECT c.c_custkey, n.n_name AS name, 'City ' || CAST(c.c_nationkey AS STRING) || CASE WHEN c.c_mktsegment = 'BUILDING' THEN ', City X' ELSE '' END AS city
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"""
+_CREATED = f"""
+dimension AS ({_DIMENSION}), facts AS ({_FACTS}),
+fresh AS (SELECT DISTINCT name, city FROM facts f WHERE NOT EXISTS (SELECT 1 FROM dimension d WHERE d.name = f.name AND d.city = f.city)),
+full_dimension AS (SELECT id, name, city FROM dimension UNION ALL
+  SELECT (SELECT max(id) FROM dimension) + row_number() OVER (ORDER BY name, city), name, city FROM fresh)"""
+
+
+@query("h6_get_or_create_dimension", f"WITH {_CREATED.strip()} SELECT id, name, city FROM full_dimension")
+def h6_dimension(c: Corpus) -> DataFrame:
+    return tables.get_or_create(c.sql(_DIMENSION), c.sql(_FACTS), ["name", "city"])[0]
+
+
+@query("h6_linked_facts", f"""
+WITH {_CREATED.strip()} SELECT f.c_custkey, d.id AS dimension_id FROM facts f JOIN full_dimension d ON d.name = f.name AND d.city = f.city""")
+def h6_facts(c: Corpus) -> DataFrame:
+    return tables.get_or_create(c.sql(_DIMENSION), c.sql(_FACTS), ["name", "city"])[1]
+
+
+_RAW = f"""
+stored AS ({_FIRST_STORED}), incoming AS ({_INCOMING}),
+fresh AS (SELECT DISTINCT module_code, content_md5 FROM incoming i WHERE NOT EXISTS
+  (SELECT 1 FROM stored s WHERE s.module_code = i.module_code AND s.content_md5 = i.content_md5)),
+full_raw AS (SELECT id, module_code, content_md5 FROM stored UNION ALL
+  SELECT (SELECT max(id) FROM stored) + row_number() OVER (ORDER BY module_code, content_md5), module_code, content_md5 FROM fresh)"""
+
+
+def _stored_raw(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    relation = c.sql("SELECT s_suppkey AS mhb_id, s_suppkey AS modules_raw_id FROM supplier")
+    return tables.store_raw_modules(
+        _first_stored(c), relation, c.sql(_INCOMING).select("mhb_id", "module_code", "content")
+    )
+
+
+@query("h7_stored_texts", f"WITH {_RAW.strip()} SELECT id, module_code, content_md5 FROM full_raw")
+def h7_texts(c: Corpus) -> DataFrame:
+    return _stored_raw(c)[0].select("id", "module_code", "content_md5")
+
+
+@query("h7_handbook_relation", f"""
+WITH {_RAW.strip()} SELECT s_suppkey AS mhb_id, s_suppkey AS modules_raw_id FROM supplier
+UNION SELECT i.mhb_id, r.id FROM incoming i JOIN full_raw r ON r.module_code = i.module_code AND r.content_md5 = i.content_md5""")
+def h7_relation(c: Corpus) -> DataFrame:
+    return _stored_raw(c)[1]
+
+
+@query("h8_content_hash", "SELECT doc_id, md5(text) AS content_md5 FROM documents")
+def h8(c: Corpus) -> DataFrame:
+    return tables.with_content_hash(c.table("documents"), "text").select("doc_id", "content_md5")

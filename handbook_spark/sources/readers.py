@@ -177,15 +177,16 @@ def validate_extraction(df: DataFrame, answer: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = df.withColumn("_p", F.from_json(F.col(answer), HANDBOOK_PAYLOAD, options))
     modules = F.coalesce("_p.modules", "_p.data.modules")
-    wrong = [
-        F.exists(modules, lambda m, n=name: m[n].isNotNull() & m[n].try_cast("int").isNull()) for name in NUMERIC_FIELDS
-    ]
+
+    def not_numeric(name: str) -> Column:
+        return F.exists(modules, lambda m: m[name].isNotNull() & m[name].try_cast("int").isNull())
+
     error = (
         F.when(F.col("_p").isNull() | F.col("_p._corrupt").isNotNull(), F.lit("malformed"))
         .when(modules.isNull(), F.lit("no modules"))
     )
-    for name, condition in zip(NUMERIC_FIELDS, wrong):
-        error = error.when(condition, F.lit(f"{name} is not a number"))
+    for name in NUMERIC_FIELDS:
+        error = error.when(not_numeric(name), F.lit(f"{name} is not a number"))
     typed = F.transform(
         modules, lambda m: m.withField("ects", m["ects"].try_cast("int"))
         .withField("weekly_hours", m["weekly_hours"].try_cast("int"))

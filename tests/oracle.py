@@ -76,7 +76,7 @@ def main(argv: list[str]) -> None:
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false",
     })
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     oracle = entry.oracle_sql()
     bad = 0
@@ -93,7 +93,7 @@ def main(argv: list[str]) -> None:
                 problem = None
                 note = f"rows {df.count()}"
         except Exception as error:  # report and go on with the next query
-            problem = f"{type(error).__name__}: {str(error)[:1500]}"
+            problem = f"{type(error).__name__}: {str(error)[:700]}"
         if problem:
             bad += 1
         print(f"{'FAIL' if problem else note:10s} {name:34s} {time.time() - start:6.2f}s  {problem or ''}", flush=True)
