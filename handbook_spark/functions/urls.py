@@ -92,7 +92,7 @@ def registered_domain(url: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES)
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     numeric = host.rlike(r"^[0-9.]+$")
     wide = F.substring_index(host, ".", -2).isin(*suffixes)
-    domain = F.substring_index(host, ".", F.when(wide, F.lit(-3)).otherwise(F.lit(-2)))
+    domain = F.when(wide, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
     return F.when(F.contains(host, F.lit(".")) & ~numeric & (~wide | (F.size(F.split(host, r"\.")) > 2)), domain).otherwise(url)
 
 

@@ -51,7 +51,7 @@ HANDBOOK_DOCUMENT = (
     .add("name", "string")
     .add(
         "modules",
-        T.ArrayType(T.StructType().add("pos", "long").add("module_code", "string").add("title", "string").add("ects", "int")),
+        T.ArrayType(T.StructType().add("pos", "long").add("module_code", "string").add("title", "string").add("ects", "integer")),
     )
 )
 

@@ -62,7 +62,7 @@ def difference(df, con, sql: str) -> str | None:
     if left != right:
         return (
             f"{sum(left.values())} rows vs {sum(right.values())}; only spark "
-            f"{list((left - right).items())[:3]}; only duckdb {list((right - left).items())[:3]}"
+            f"{str(list((left - right).items())[:3])[:600]}; only duckdb {str(list((right - left).items())[:3])[:600]}"
         )
     return None
 
@@ -96,7 +96,7 @@ def main(argv: list[str]) -> None:
             problem = f"{type(error).__name__}: {str(error)[:700]}"
         if problem:
             bad += 1
-        print(f"{'FAIL' if problem else note:10s} {name:34s} {time.time() - start:6.2f}s  {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else note:10s} {name:34s} {time.time() - start:6.2f}s  {(problem or '')[:1500]}", flush=True)
     print("failures:", bad)
 
 
