@@ -11,11 +11,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from handbook_spark.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables of long texts and their unique keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
 PORTABLE_VIEWS: dict[str, str] = {
     "v_mhbs": """
 SELECT s_suppkey AS id,
@@ -276,7 +281,8 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise ValueError(f"unknown table {name}")
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
     def view(self, name: str) -> DataFrame:
         return self.sql(view_sql(name, "spark"))

@@ -7,7 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from handbook_spark.functions.text import squeeze
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def map_strings(value: Column, dtype: T.DataType, change: Callable[[Column], Column]) -> Column:
@@ -42,6 +46,8 @@ def _is_leaf(dtype: T.DataType) -> bool:
 
 def clean_spaces(df: DataFrame) -> DataFrame:
     """Squeeze whitespace in every string of every column."""
+    from handbook_spark.functions.text import squeeze
+
     return df.select(*[map_strings(F.col(f.name), f.dataType, squeeze).alias(f.name) for f in df.schema])
 
 
@@ -83,16 +89,14 @@ def labelled_map(pairs: Column) -> Column:
             F.regexp_replace(F.trim(p["label"]), ":$", "").alias("key"), F.trim(p["value"]).alias("value")
         ),
     )
-    last_only = F.filter(
-        F.transform(
-            cleaned,
-            lambda p, i: F.when(
-                ~F.exists(F.slice(cleaned, i + 2, F.size(cleaned)), lambda later: later["key"] == p["key"]), p
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    return F.map_from_entries(last_only)
+
+    def last_of_each(entries: Column) -> Column:
+        return F.filter(
+            entries,
+            lambda p, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == p["key"]),
+        )
+
+    return F.map_from_entries(let(cleaned, last_of_each))
 
 
 def json_columns(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from handbook_spark.functions.nested import let
+
 # Fixed patterns of the page streams and of module codes.
 MODULE_CODE = r"[A-ZÄÖÜ]{2,}-\d{3,}"
 SHOWN_TEXT = r" Tm \[\(([^\n\r]*?)\)\] TJ"
@@ -89,15 +91,18 @@ def repair_text(text: Column) -> Column:
 def join_title_lines(lines: Column) -> Column:
     """Join the lines of a title; a hyphen before a lower-case continuation is dropped."""
 
-    def with_gap(line: Column, index: Column) -> Column:
-        following = F.get(lines, index + 1)
-        return (
-            F.when(following.isNull(), line)
-            .when(line.endswith("-") & following.rlike(r"^\p{Ll}"), F.substr(line, F.lit(1), F.length(line) - 1))
-            .otherwise(F.concat(line, F.lit(" ")))
-        )
+    def joined(parts: Column) -> Column:
+        def with_gap(line: Column, index: Column) -> Column:
+            following = F.get(parts, index + 1)
+            return (
+                F.when(following.isNull(), line)
+                .when(line.endswith("-") & following.rlike(r"^\p{Ll}"), F.substr(line, F.lit(1), F.length(line) - 1))
+                .otherwise(F.concat(line, F.lit(" ")))
+            )
+
+        return F.array_join(F.transform(parts, with_gap), "")
 
-    return F.array_join(F.transform(lines, with_gap), "")
+    return let(lines, joined)
 
 
 def clean_title(title: Column) -> Column:

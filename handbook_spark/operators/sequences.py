@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from handbook_spark.functions.nested import let
 from handbook_spark.functions.text import (
     MODULE_CODE, PAGE_HEADER, SHOWN_TEXT, decode_escapes, extract_or_null, footer_number, token_count,
 )
@@ -56,6 +57,10 @@ def module_texts(pages: DataFrame) -> DataFrame:
 
 def _touching(ranges: Column) -> Column:
     """Merge neighbouring ranges of a sorted list of (lo, hi)."""
+    return let(ranges, _merge_touching)
+
+
+def _merge_touching(ranges: Column) -> Column:
     opens = F.filter(ranges, lambda r, i: (i == 0) | (F.get(ranges, i - 1)["hi"] + 1 != r["lo"]))
     closes = F.filter(ranges, lambda r, i: F.coalesce(F.get(ranges, i + 1)["lo"] != r["hi"] + 1, F.lit(True)))
     return F.zip_with(opens, closes, lambda a, b: F.struct(a["lo"].alias("lo"), b["hi"].alias("hi")))
@@ -168,23 +173,35 @@ def section_text(stream: Column, heading: str) -> Column:
     Fragments of equal height are joined by blanks, lines by newlines.
     """
     block = extract_or_null(stream, rf"(?s) Tm \[\({heading}\)\] TJ(.*?)\nET\nQ", 1)
-    fragments = positioned_texts(block, SECTION_LINE)
-    pieces = F.transform(
-        fragments,
-        lambda f, i: F.concat(
-            F.when(i == 0, F.lit("")).when(F.get(fragments, i - 1)["y"] == f["y"], F.lit(" ")).otherwise(F.lit("\n")),
-            f["text"],
-        ),
-    )
-    return F.array_join(pieces, "")
+
+    def lines(fragments: Column) -> Column:
+        pieces = F.transform(
+            fragments,
+            lambda f, i: F.concat(
+                F.when(i == 0, F.lit("")).when(F.get(fragments, i - 1)["y"] == f["y"], F.lit(" ")).otherwise(F.lit("\n")),
+                f["text"],
+            ),
+        )
+        return F.array_join(pieces, "")
+
+    return let(block, lambda text: let(positioned_texts(text, SECTION_LINE), lines))
 
 
 def page_sections(streams: DataFrame, heading: str) -> DataFrame:
     """Section text of every page that has a module header and the heading."""
-    return streams.select(
-        "handbook_id", "page_no", extract_or_null(F.col("stream"), PAGE_HEADER, 1).alias("module_code"),
-        section_text(F.col("stream"), heading).alias("text"),
-    ).filter(F.col("module_code").isNotNull() & F.col("text").isNotNull())
+    marked = streams.filter(F.contains("stream", F.lit(f" Tm [({heading})] TJ")) & F.contains("stream", F.lit("Tm [(Modul ")))
+    sections = marked.select(
+        "handbook_id", "page_no",
+        F.struct(
+            extract_or_null(F.col("stream"), PAGE_HEADER, 1).alias("module_code"),
+            section_text(F.col("stream"), heading).alias("text"),
+        ).alias("s"),
+    )
+    # Both values are computed once and tested after the generator.
+    return sections.select(
+        "handbook_id", "page_no",
+        F.inline(F.filter(F.array("s"), lambda s: s["module_code"].isNotNull() & s["text"].isNotNull())),
+    )
 
 
 def module_sections(streams: DataFrame, heading: str) -> DataFrame:
@@ -195,7 +212,7 @@ def module_sections(streams: DataFrame, heading: str) -> DataFrame:
 
 def module_pages(streams: DataFrame) -> DataFrame:
     """Printed page number of every page that carries a module header."""
-    return streams.select(
+    return streams.filter(F.contains("stream", F.lit("Tm [(Modul "))).select(
         "handbook_id", "page_no", extract_or_null(F.col("stream"), PAGE_HEADER, 1).alias("module_code"),
         footer_number(F.col("stream")).alias("printed_page"),
     ).filter(F.col("module_code").isNotNull())

@@ -23,14 +23,14 @@ def a1(c: Corpus) -> DataFrame:
 
 
 @query("a2_handbook_files", """
-SELECT id, CAST(length(web_url) + 1 AS BIGINT) AS length FROM v_mhbs WHERE version IS NOT NULL""")
+SELECT university AS id, CAST(sum(length(web_url) + 1) AS BIGINT) AS length FROM v_mhbs
+WHERE university IN (SELECT n_nationkey FROM nation) GROUP BY university""")
 def a2(c: Corpus) -> DataFrame:
-    handbooks = c.view("v_mhbs")
     folder = scratch_path(c.spark)
-    handbooks.select("id", "web_url").write.partitionBy("id").text(folder)
-    files = readers.list_files(c.spark, folder, "*.txt", r"/id=(\d+)/[^/]*$")
-    registry = handbooks.filter(F.col("version").isNotNull()).select("id")
-    return readers.registered_files(files, registry).select("id", "length")
+    c.view("v_mhbs").select("university", "web_url").write.partitionBy("university").text(folder)
+    files = readers.list_files(c.spark, folder, "*.txt", r"/university=(\d+)/[^/]*$")
+    registry = c.table("nation").select(F.col("n_nationkey").alias("id"))
+    return readers.registered_files(files, registry).groupBy("id").agg(F.sum("length").alias("length"))
 
 
 _XML_ROW = T.StructType().add("_moduleId", "long").add("moduleCode", "string").add("fullTitle", "string").add(
