@@ -47,7 +47,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, start: Column |
 
 def number_rows_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Numbers from 1 inside every key: the global number minus the key's first one."""
-    numbered = materialize(number_rows(df, [*keys, *order], "_n"))
+    numbered = number_rows(df, [*keys, *order], "_n")
     starts = numbered.groupBy(*keys).agg(F.min("_n").alias("_start"))
     return numbered.join(starts, list(keys)).withColumn(name, F.col("_n") - F.col("_start") + 1).drop("_n", "_start")
 
