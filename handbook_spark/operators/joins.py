@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from handbook_spark.functions.urls import last_segment
 from handbook_spark.operators.numbering import first_per_key
+from handbook_spark.session import materialize
 
 NOT_GIVEN = "k.A."
 GRAM = 3
+TEXT_GRAM = 6
+PAIR_LIMIT = 1_000_000
 
 
 def join_extractions(ai: DataFrame, raw: DataFrame, modules: DataFrame, handbooks: DataFrame) -> DataFrame:
@@ -94,27 +97,43 @@ def _plain_name(name: Column) -> Column:
     return F.translate(F.lower(name), "—–", "--")
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of up to ``GRAM`` characters."""
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of up to ``size`` characters."""
+
     def of_length(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
         return F.filter(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))), lambda g: F.length(g) == n)
 
-    return F.array_distinct(reduce(lambda a, b: F.concat(a, b), [of_length(n) for n in range(1, GRAM + 1)]))
+    return F.array_distinct(reduce(lambda a, b: F.concat(a, b), [of_length(n) for n in range(1, size + 1)]))
 
 
-def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs (inner, outer) of distinct names where the inner name occurs in the outer one.
+def containment_candidates(
+    inner: DataFrame, outer: DataFrame, keys: Sequence[str], inner_text: str, outer_id: str, outer_text: str,
+    size: int = GRAM,
+) -> DataFrame:
+    """Pairs (inner text, outer id) that may be contained in one another, per ``keys``; misses no true pair.
 
-    Every inner name is looked up by the one of its grams that the fewest outer names have, which
-    keeps words shared by most names out of the join; the substring test then decides.
+    Every inner text is looked up by the one of its grams that the fewest outer texts have, which
+    keeps words shared by most texts out of the join. Inner texts must be distinct and not empty;
+    the caller applies the substring test.
     """
-    postings = outer.select("outer", F.explode(_grams(F.col("outer"))).alias("gram"))
-    sizes = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    width = F.least(F.length("inner"), F.lit(GRAM))
-    keys = inner.select("inner", F.explode(F.filter(_grams(F.col("inner")), lambda g: F.length(g) == width)).alias("gram"))
-    rarest = first_per_key(keys.join(sizes, "gram"), ["inner"], [F.col("n"), F.col("gram")]).select("inner", "gram")
-    return rarest.join(postings, "gram").filter(F.contains(F.col("outer"), F.col("inner"))).select("inner", "outer")
+    width = F.least(F.length(inner_text), F.lit(size))
+    probes = inner.select(
+        *keys, inner_text, F.explode(F.filter(_grams(F.col(inner_text), size), lambda g: F.length(g) == width)).alias("gram")
+    )
+    on = [*keys, "gram"]
+    postings = outer.select(*keys, outer_id, F.explode(_grams(F.col(outer_text), size)).alias("gram")).join(
+        probes.select(*on).distinct(), on, "left_semi"
+    )
+    sizes = postings.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    rarest = first_per_key(probes.join(sizes, on), [*keys, inner_text], [F.col("n"), F.col("gram")])
+    return rarest.select(*on, inner_text).join(postings, on).select(*keys, inner_text, outer_id)
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of distinct names where the inner name occurs in the outer one."""
+    pairs = containment_candidates(inner, outer, [], "inner", "outer", "outer")
+    return pairs.filter(F.contains(F.col("outer"), F.col("inner")))
 
 
 def name_matches(known: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -149,25 +168,64 @@ def preferred_university(known: DataFrame, fetched: DataFrame) -> DataFrame:
     return first_per_key(flagged, ["id"], [F.col("city_check_successful").desc(), F.col("hs_nr")])
 
 
-def provenance_claims(ai: DataFrame, raw: DataFrame) -> DataFrame:
+def _fits() -> Column:
+    """The content holds every lecturer token and the credit number; a missing value always fits."""
+    tokens = F.forall(F.split("lecturer", ", "), lambda token: F.contains(F.col("content"), token))
+    number = F.contains(F.col("content"), F.col("ects").cast("string"))
+    return F.coalesce(tokens, F.lit(True)) & F.coalesce(number, F.lit(True))
+
+
+def provenance_claims(ai: DataFrame, raw: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Fitting texts of every distinct claim (code, lecturer, credits) of the model rows.
 
     A text fits when it has the same code and contains every lecturer token and the credit number,
     a missing value always fitting. The test depends only on claim and text, so it runs once per
     distinct pair of them: copies on either side are counted in ``copies`` and never paired.
+
+    Codes with more than ``pair_limit`` pairs of claim and text are not paired off: there each claim
+    is looked up by the rarest gram of its longest required text, and only the texts having that
+    gram are tested. A claim without requirements is one row per code and fits every text.
     """
     texts = raw.groupBy("module_code", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("raw_id"))
     claims = ai.filter(F.col("module_code").isNotNull()).select("module_code", "lecturer", "ects").distinct()
-    fits = F.coalesce(
-        F.forall(F.split("lecturer", ", "), lambda token: F.contains(F.col("content"), token)), F.lit(True)
-    ) & F.coalesce(F.contains(F.col("content"), F.col("ects").cast("string")), F.lit(True))
-    return claims.join(texts, "module_code").filter(fits).select("module_code", "lecturer", "ects", "raw_id", "copies")
+    names = ["module_code", "lecturer", "ects", "raw_id", "copies"]
+    hot = materialize(
+        ai.groupBy("module_code").agg(F.count(F.lit(1)).alias("_a"))
+        .join(raw.groupBy("module_code").agg(F.count(F.lit(1)).alias("_r")), "module_code")
+        .filter(F.col("_a") * F.col("_r") > pair_limit)
+        .select("module_code")
+    )
+    if hot.isEmpty():
+        return claims.join(texts, "module_code").filter(_fits()).select(*names)
+    direct = claims.join(hot, "module_code", "left_anti").join(texts, "module_code").filter(_fits()).select(*names)
+    hot_texts = texts.join(hot, "module_code", "left_semi")
+    required = F.filter(
+        F.concat(F.coalesce(F.split("lecturer", ", "), F.array()), F.array(F.col("ects").cast("string"))),
+        lambda r: r != "",
+    )
+    longest = F.element_at(F.array_sort(F.transform(required, lambda r: F.struct(F.length(r).alias("n"), r.alias("text")))), -1)
+    hot_claims = claims.join(hot, "module_code", "left_semi").withColumn(
+        "probe", F.when(F.size(required) > 0, longest["text"])
+    )
+    unconditional = hot_claims.filter(F.col("probe").isNull()).join(hot_texts, "module_code").select(*names)
+    probes = hot_claims.filter(F.col("probe").isNotNull())
+    candidates = containment_candidates(
+        probes.select("module_code", "probe").distinct(), hot_texts, ["module_code"], "probe", "raw_id", "content", TEXT_GRAM
+    )
+    indexed = (
+        candidates.join(hot_texts, ["module_code", "raw_id"])
+        .filter(F.contains(F.col("content"), F.col("probe")))
+        .join(probes, ["module_code", "probe"])
+        .filter(_fits())
+        .select(*names)
+    )
+    return direct.unionByName(unconditional).unionByName(indexed)
 
 
-def provenance(ai: DataFrame, raw: DataFrame) -> DataFrame:
+def provenance(ai: DataFrame, raw: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Number and smallest id of the raw texts each model row can stem from."""
     matches = (
-        provenance_claims(ai, raw)
+        provenance_claims(ai, raw, pair_limit)
         .groupBy("module_code", "lecturer", "ects")
         .agg(F.sum("copies").alias("n_matches"), F.min("raw_id").alias("first_raw_id"))
     )

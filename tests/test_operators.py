@@ -90,6 +90,22 @@ def test_provenance_counts_copies(spark):
     assert got == [(1, 2, 1), (2, 3, 1), (3, 0, None), (4, 0, None), (5, 0, None)]
 
 
+def test_provenance_of_hot_codes_equals_pairing(spark):
+    rng = random.Random(9)
+    people = ["Prof. A", "Prof. B", "Dr. Ü", "Prof. AB", "X"]
+    raw = [(i, "HOT" if i % 3 else f"C{i % 5}", f"{rng.choice(people)} und {rng.choice(people)}: {rng.randint(1, 30)} LP") for i in range(300)]
+    ai = [(i, "HOT" if i % 2 else f"C{i % 5}", rng.choice([None, "", "Prof. A", "Prof. A, Dr. Ü", "fehlt", "X"]), rng.choice([None, 3, 12, 99])) for i in range(120)]
+    left = spark.createDataFrame(ai, "raw_module_id int, module_code string, lecturer string, ects int")
+    right = spark.createDataFrame(raw, "id int, module_code string, content string")
+    wanted = []
+    for i, code, lecturer, ects in ai:
+        ids = [r for r, c, t in raw if c == code and (lecturer is None or all(x in t for x in lecturer.split(", "))) and (ects is None or str(ects) in t)]
+        wanted.append((i, len(ids), min(ids, default=None)))
+    for limit in (0, 2000, 10**9):
+        got = rows(joins.provenance(left, right, pair_limit=limit), "raw_module_id", "n_matches", "first_raw_id")
+        assert got == sorted(wanted, key=repr)
+
+
 def test_overlaps(spark):
     data = [(1, i, c, c.lower(), i, [i]) for i, c in enumerate("DCBA")] + [(2, i, c, "t", 1, [9]) for i, c in enumerate("ABX")] + [(3, 0, "A", None, None, [1])]
     df = spark.createDataFrame(data, "mhb_id int, pos int, module_code string, title string, ects int, pages array<int>")
