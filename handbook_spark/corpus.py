@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from handbook_spark.session import spread
+from handbook_spark.session import scratch_path, spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -236,6 +237,11 @@ DIALECT_VIEWS: dict[str, tuple[str, str]] = {
 
 VIEWS = (*PORTABLE_VIEWS, *DIALECT_VIEWS)
 
+# Views stored once per application and input folder: the module table is the base of the raw,
+# extraction and search views, and costs a shuffle of the largest input each time it is derived.
+STAGED_VIEWS = ("v_modules",)
+_stage_paths: dict[tuple[str, str, str], str] = {}
+
 
 def _names_in(sql: str) -> set[str]:
     return set(re.findall(r"\b[a-z_]+\b", sql))
@@ -285,19 +291,36 @@ class Corpus:
         return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
     def view(self, name: str) -> DataFrame:
-        return self.sql(view_sql(name, "spark"))
+        return self.sql(f"SELECT * FROM {name}")
 
     def sql(self, text: str, args=None) -> DataFrame:
         """Run ``text`` with the tables and views it names registered as temporary views."""
-        names = _names_in(text)
         for name in view_dependencies(text, "spark"):
-            sql = view_sql(name, "spark")
-            self._register_tables(_names_in(sql))
-            self.spark.sql(sql).createOrReplaceTempView(name)
-        self._register_tables(names)
+            rows = self._staged(name) if name in STAGED_VIEWS else self._derived(name)
+            rows.createOrReplaceTempView(name)
+        self._register_tables(text)
         return self.spark.sql(text, args) if args is not None else self.spark.sql(text)
 
-    def _register_tables(self, names: set[str]) -> None:
+    def _derived(self, name: str) -> DataFrame:
+        text = view_sql(name, "spark")
+        self._register_tables(text)
+        return self.spark.sql(text)
+
+    def _staged(self, name: str) -> DataFrame:
+        """Stored rows of a view, written on first use."""
+        key = (self.spark.sparkContext.applicationId, self.path, name)
+        if key in _stage_paths:
+            try:
+                return self.spark.read.parquet(_stage_paths[key])
+            except AnalysisException:  # the scratch folder was cleared meanwhile
+                del _stage_paths[key]
+        path = scratch_path(self.spark)
+        self._derived(name).write.parquet(path)
+        _stage_paths[key] = path
+        return self.spark.read.parquet(path)
+
+    def _register_tables(self, text: str) -> None:
+        names = _names_in(text)
         for name in TABLES:
             if name in names:
                 self.table(name).createOrReplaceTempView(name)
