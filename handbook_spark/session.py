@@ -35,7 +35,8 @@ def build_session(app_name: str = "handbook_spark", master: str | None = None, *
 def scratch_path(spark: SparkSession) -> str:
     """New unique folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine: on a cluster the
+    All folders of an application lie below one folder with its id, which can be dropped when the
+    application has ended. Only a local session may fall back to a temporary folder of this machine: on a cluster the
     folder has to be visible to every executor and survive the loss of one.
     """
     global _local_scratch
@@ -46,7 +47,7 @@ def scratch_path(spark: SparkSession) -> str:
         if _local_scratch is None:
             _local_scratch = tempfile.TemporaryDirectory(prefix="handbook_spark_")
         base = _local_scratch.name
-    return f"{base.rstrip('/')}/handbook_spark/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/handbook_spark/{spark.conf.get('spark.app.id', 'app')}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

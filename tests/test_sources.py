@@ -203,4 +203,4 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch, tmp_path):
     with pytest.raises(RuntimeError):
         session.scratch_path(Fake(spark_master="spark://host:7077"))
     shared = session.scratch_path(Fake(spark_master="spark://host:7077", spark_checkpoint_dir="hdfs:///cp/"))
-    assert shared.startswith("hdfs:///cp/handbook_spark/")
+    assert shared.startswith("hdfs:///cp/handbook_spark/app/")
