@@ -37,9 +37,12 @@ def page_links(pages: DataFrame, host: Column | str) -> DataFrame:
 def reachable(links: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """Nodes found within ``max_depth`` rounds from the roots, the last unvisited frontier included.
 
-    ``links`` has ``src, dst`` and ``roots`` one column ``node``. Every frontier is written to
-    scratch storage, which cuts lineage and keeps the plan of a round small.
+    ``links`` has ``src, dst`` and ``roots`` one column ``node``; of roots given as URLs only
+    http(s) ones count. Every frontier is written to scratch storage, which cuts lineage and keeps
+    the plan of a round small.
     """
+    if dict(roots.dtypes)["node"] == "string":
+        roots = roots.filter(F.col("node").rlike("^https?:"))
     frontier = materialize(roots.select("node").distinct())
     visited: DataFrame | None = None
     for _ in range(max_depth):

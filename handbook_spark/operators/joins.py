@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from handbook_spark.functions.urls import last_segment
+from handbook_spark.operators.aggregates import smallest_handbook
 from handbook_spark.operators.numbering import first_per_key
+from handbook_spark.operators.sequences import pages_text
 from handbook_spark.session import materialize
 
 NOT_GIVEN = "k.A."
@@ -83,16 +85,31 @@ def handbook_overlap(modules: DataFrame, handbook_ids: Sequence[int]) -> DataFra
 
 
 def two_way_overlap(modules: DataFrame, left_id: int, right_id: int, attributes: Sequence[str]) -> DataFrame:
-    """Codes in both handbooks with the left handbook's attributes, ``k.A.`` where missing."""
+    """Codes in both handbooks with the left handbook's attributes, ``k.A.`` where missing.
+
+    Rows come in the order of the handbook with fewer modules.
+    """
     left = modules.filter(F.col("mhb_id") == left_id)
     right = modules.filter(F.col("mhb_id") == right_id)
     codes = left.select("module_code").intersect(right.select("module_code"))
-    details = left.filter(F.col("title").isNotNull())
-    return codes.join(details, "module_code", "left").select(
-        "module_code", *[F.coalesce(F.col(a).cast("string"), F.lit(NOT_GIVEN)).alias(a) for a in attributes]
+    details = left.filter(F.col("title").isNotNull()).drop("pos", "mhb_id")
+    order = modules.join(smallest_handbook(modules, [left_id, right_id]).select("mhb_id"), "mhb_id").select("module_code", "pos")
+    return (
+        codes.join(details, "module_code", "left")
+        .join(order, "module_code")
+        .orderBy("pos")
+        .select("module_code", *[F.coalesce(F.col(a).cast("string"), F.lit(NOT_GIVEN)).alias(a) for a in attributes])
     )
 
 
+def compare_handbooks(modules: DataFrame, handbook_ids: Sequence[int]) -> DataFrame:
+    """Overlap of different handbooks; for one and the same handbook its modules with page ranges."""
+    ids = list(dict.fromkeys(handbook_ids))
+    if len(ids) > 1:
+        return handbook_overlap(modules, ids).orderBy("pos")
+    return modules.filter(F.col("mhb_id") == ids[0]).withColumn("pages", pages_text(F.col("pages"))).orderBy("pos")
+
+
 def _plain_name(name: Column) -> Column:
     return F.translate(F.lower(name), "—–", "--")
 

@@ -155,10 +155,11 @@ def fuse_ranks(lists: Sequence[DataFrame], weights: Sequence[float], content: st
     return parts.groupBy(content).agg(F.sum("part").alias("fused_score"))
 
 
-def hit_text(rank: Column, title: Column, content: Column) -> Column:
+def hit_text(rank: Column, title: Column, content: Column, metadata: Column) -> Column:
+    """Numbered hit with its title, content and metadata map."""
     return F.concat(
         F.lit("Treffer "), rank.cast("string"), F.lit(":\nStudiengang: "), F.coalesce(title, F.lit("unbekannt")),
-        F.lit("\nInhalt: "), content,
+        F.lit("\nInhalt: "), content, F.lit("\nMetadaten: "), F.to_json(metadata),
     )
 
 

@@ -66,6 +66,23 @@ def _merge_touching(ranges: Column) -> Column:
     return F.zip_with(opens, closes, lambda a, b: F.struct(a["lo"].alias("lo"), b["hi"].alias("hi")))
 
 
+def _single_pages(pages: Column) -> Column:
+    return F.transform(pages, lambda p: F.struct(p.alias("lo"), p.alias("hi")))
+
+
+def _range_texts(ranges: Column) -> Column:
+    texts = F.transform(
+        ranges,
+        lambda r: F.when(r["lo"] == r["hi"], r["lo"].cast("string")).otherwise(F.concat(r["lo"], F.lit(" - "), r["hi"])),
+    )
+    return F.array_join(texts, ", ")
+
+
+def pages_text(pages: Column) -> Column:
+    """An array of page numbers as text such as ``3 - 5, 9``."""
+    return _range_texts(_touching(_single_pages(F.array_sort(F.array_distinct(pages)))))
+
+
 def page_ranges(df: DataFrame, keys: Sequence[str], page: str) -> DataFrame:
     """Page numbers per key as text such as ``3 - 5, 9``; repeated pages count once.
 
@@ -77,16 +94,11 @@ def page_ranges(df: DataFrame, keys: Sequence[str], page: str) -> DataFrame:
         .groupBy(*keys, block_of("_page").alias("_block"))
         .agg(F.sort_array(F.collect_list("_page")).alias("_pages"))
     )
-    single = F.transform("_pages", lambda p: F.struct(p.alias("lo"), p.alias("hi")))
-    merged = in_block.withColumn("_single", single).select(*keys, F.inline(_touching(F.col("_single"))))
-    texts = F.transform(
-        _touching(F.col("_ranges")),
-        lambda r: F.when(r["lo"] == r["hi"], r["lo"].cast("string")).otherwise(F.concat(r["lo"], F.lit(" - "), r["hi"])),
-    )
+    merged = in_block.select(*keys, F.inline(_touching(_single_pages(F.col("_pages")))))
     return (
         merged.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_ranges"))
-        .select(*keys, F.array_join(texts, ", ").alias("pages"))
+        .select(*keys, _range_texts(_touching(F.col("_ranges"))).alias("pages"))
     )
 
 

@@ -48,16 +48,32 @@ def insert_or_skip(table: DataFrame, rows: DataFrame, key: Sequence[str], order:
     return table.unionByName(insert_new(table, rows, key, order))
 
 
-def update(table: DataFrame, changes: Mapping[str, Any], conditions: Mapping[str, Any]) -> DataFrame:
-    """Set columns where all conditions hold."""
-    hit = equals_all(conditions)
-    return table.select(
-        *[
-            F.when(hit, F.lit(changes[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
-            if f.name in changes else F.col(f.name)
-            for f in table.schema
-        ]
-    )
+def _condition(conditions: Mapping[str, Any] | Column | str) -> Column:
+    """Equalities, a column, or SQL text; a condition that is NULL does not hold."""
+    if isinstance(conditions, Mapping):
+        conditions = equals_all(conditions)
+    elif isinstance(conditions, str):
+        conditions = F.expr(conditions)
+    return F.coalesce(conditions, F.lit(False))
+
+
+def update(
+    table: DataFrame, changes: Mapping[str, Any], conditions: Mapping[str, Any] | Column | str
+) -> tuple[DataFrame, DataFrame]:
+    """Set columns to values or expressions where the conditions hold; returns (new table, changed rows)."""
+    unknown = set(changes) - set(table.columns)
+    if unknown:
+        raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
+    hit = _condition(conditions)
+
+    def value(field: T.StructField) -> Column:
+        if field.name not in changes:
+            return F.col(field.name)
+        new = changes[field.name]
+        return (new if isinstance(new, Column) else F.lit(new)).cast(field.dataType).alias(field.name)
+
+    after = [F.when(hit, value(f)).otherwise(F.col(f.name)).alias(f.name) if f.name in changes else F.col(f.name) for f in table.schema]
+    return table.select(*after), table.filter(hit).select(*[value(f) for f in table.schema])
 
 
 def update_from(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -74,9 +90,9 @@ def update_from(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     )
 
 
-def delete(table: DataFrame, conditions: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
+def delete(table: DataFrame, conditions: Mapping[str, Any] | Column | str) -> tuple[DataFrame, DataFrame]:
     """(Rows kept, rows removed); a row that is NULL in a tested column is kept."""
-    hit = F.coalesce(equals_all(conditions), F.lit(False))
+    hit = _condition(conditions)
     return table.filter(~hit), table.filter(hit)
 
 

@@ -125,6 +125,18 @@ def l1_listing(c: Corpus) -> DataFrame:
     return checked.select("id", F.coalesce("_error", F.lit("ok")).alias("outcome"))
 
 
+@query("l1_sponsored_hits", """
+SELECT page_id, CASE WHEN NOT contains(url, 'ref=') AND contains(url, 'utm_source') THEN 'sponsored' WHEN NOT starts_with(url, 'https://') THEN 'no target' END AS error
+FROM pages""")
+def l1_sponsored(c: Corpus) -> DataFrame:
+    url = F.col("url")
+    checks = {
+        "sponsored": F.contains(url, F.lit("ref=")) | ~F.contains(url, F.lit("utm_source")),
+        "no target": url.startswith("https://"),
+    }
+    return quality.with_error(c.table("pages"), checks).select("page_id", F.col("_error").alias("error"))
+
+
 @query("l2_batch_status", f"""
 SELECT event_type, n_good, n_bad, CASE WHEN n_bad = 0 THEN 'FULL_SUCCESS' WHEN n_good = 0 THEN 'FULL_ERROR' ELSE 'PARTIAL_SUCCESS' END AS status,
        n_bad > 0 AS is_error

@@ -120,6 +120,16 @@ def c7(c: Corpus) -> DataFrame:
     return joins.two_way_overlap(c.view("v_modules"), 4, 5, ["title", "ects"])
 
 
+@query("c6_same_handbook_pages", """
+SELECT module_code, CASE WHEN pos % 3 = 0 THEN CAST(pos % 50 AS VARCHAR) || ' - ' || CAST(pos % 50 + 1 AS VARCHAR)
+  ELSE CAST(pos % 50 AS VARCHAR) || ', ' || CAST(pos % 50 + 2 AS VARCHAR) END AS pages FROM v_modules WHERE mhb_id = 6""")
+def c6_same(c: Corpus) -> DataFrame:
+    first = (F.col("pos") % 50).cast("int")
+    second = first + F.when(F.col("pos") % 3 == 0, F.lit(1)).otherwise(F.lit(2))
+    modules = c.view("v_modules").withColumn("pages", F.array(second, first, second))
+    return joins.compare_handbooks(modules, [6, 6]).select("module_code", "pages")
+
+
 _NAME_MATCH = """
 SELECT u.id, u.name, f.name AS fetched_name FROM v_unis_db u JOIN v_unis_fetched f
   ON contains(replace(replace(lower(u.name), '—', '-'), '–', '-'), replace(replace(lower(f.name), '—', '-'), '–', '-'))

@@ -45,9 +45,17 @@ def h2(c: Corpus) -> DataFrame:
 SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 0.0 ELSE s_acctbal END AS s_acctbal,
        CASE WHEN s_nationkey = 3 THEN 'geschlossen' ELSE s_name END AS s_name FROM supplier""")
 def h3(c: Corpus) -> DataFrame:
-    return tables.update(c.table("supplier"), {"s_acctbal": 0.0, "s_name": "geschlossen"}, {"s_nationkey": 3}).select(
-        "s_suppkey", "s_acctbal", "s_name"
+    after, _ = tables.update(c.table("supplier"), {"s_acctbal": 0.0, "s_name": "geschlossen"}, {"s_nationkey": 3})
+    return after.select("s_suppkey", "s_acctbal", "s_name")
+
+
+@query("h3_updated_rows", """
+SELECT s_suppkey, round(s_acctbal * 2, 6) AS s_acctbal FROM supplier WHERE s_acctbal < 1000 AND s_nationkey <> 3""")
+def h3_changed(c: Corpus) -> DataFrame:
+    _, changed = tables.update(
+        c.table("supplier"), {"s_acctbal": F.col("s_acctbal") * 2}, "s_acctbal < 1000 AND s_nationkey <> 3"
     )
+    return changed.select("s_suppkey", F.round("s_acctbal", 6).alias("s_acctbal"))
 
 
 _CHANGES = "SELECT l_suppkey AS s_suppkey, max(l_extendedprice) AS s_acctbal FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50 GROUP BY l_suppkey HAVING max(l_tax) > 0.05"

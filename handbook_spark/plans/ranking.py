@@ -86,14 +86,16 @@ def f6(c: Corpus) -> DataFrame:
 
 
 @query("f7_numbered_hits", f"""
-SELECT rank, 'Treffer ' || CAST(rank AS VARCHAR) || ':' || chr(10) || 'Studiengang: ' || d.lang || chr(10) || 'Inhalt: ' || d.text AS hit
+SELECT rank, 'Treffer ' || CAST(rank AS VARCHAR) || ':' || chr(10) || 'Studiengang: ' || d.lang || chr(10) || 'Inhalt: ' || d.text || chr(10)
+  || 'Metadaten: {{"lang":"' || d.lang || '","source":"' || d.source || '"}}' AS hit
 FROM (SELECT vec_id, row_number() OVER (ORDER BY {_COSINE} DESC, vec_id) AS rank FROM embeddings) h
 JOIN documents d ON d.doc_id = h.vec_id WHERE rank <= 5""")
 def f7(c: Corpus) -> DataFrame:
     hits = retrieval.nearest(c.table("embeddings"), "embedding", "vec_id", example_vector(c), 5)
     ranked = retrieval.rank_hits(hits, "score", "vec_id").select(F.col("vec_id").alias("doc_id"), "rank")
+    metadata = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
     return c.table("documents").join(F.broadcast(ranked), "doc_id").select(
-        "rank", retrieval.hit_text(F.col("rank"), F.col("lang"), F.col("text")).alias("hit")
+        "rank", retrieval.hit_text(F.col("rank"), F.col("lang"), F.col("text"), metadata).alias("hit")
     )
 
 

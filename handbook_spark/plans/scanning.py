@@ -78,9 +78,10 @@ def a5(c: Corpus) -> DataFrame:
 
 @query("a6_listing_payload", """
 SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS web_id, CASE WHEN p_partkey % 3 <> 0 THEN 'l' || CAST(p_size AS VARCHAR) END AS logo_url,
-       p_type AS degree, CAST(p_size AS VARCHAR) || ' Semester' AS duration, p_name AS title, p_brand AS university FROM part""")
+       p_type AS degree, p_size AS duration, p_name AS title, p_brand AS university FROM part""")
 def a6(c: Corpus) -> DataFrame:
-    return readers.listing_courses(c.view("v_payload"), "body", "id")
+    courses = readers.listing_courses(c.view("v_payload"), "body", "id")
+    return courses.select("id", "web_id", "logo_url", "degree", "duration", "title", "university")
 
 
 @query("a6_event_payload", """

@@ -38,6 +38,8 @@ LISTING = T.StructType().add(
         T.ArrayType(
             T.StructType()
             .add("id", "string")
+            .add("institutionTypeId", "string")
+            .add("link", T.StructType().add("url", "string"))
             .add("headline", "string")
             .add("subline", "string")
             .add("logo", T.StructType().add("src", T.StructType().add("large", "string")))

@@ -171,6 +171,11 @@ def export_lines(
     return md_lines(modules, columns) if file_type == "md" else html_lines(modules, columns, borders)
 
 
+def overlap_name(titles: Sequence[str], names: Sequence[str], file_type: str) -> str:
+    """Name of the export of an overlap: the titles in Markdown and HTML, else the handbook names."""
+    return "<br>".join(titles) if file_type in ("md", "html") else ", ".join(names)
+
+
 def write_export(lines: DataFrame, path: str) -> None:
     """One folder of text files per handbook, lines in document order over its part files."""
     order = ["mhb_id", "section", "pos"]

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from handbook_spark.functions.dates import study_semesters
 from handbook_spark.functions.nested import snake_fields
 from handbook_spark.functions.text import extract_or_null, html_to_text
 from handbook_spark.schemas import HANDBOOK_PAYLOAD, LISTING, NUMERIC_FIELDS, POSITIONED_XML, UNIVERSITY_COLUMNS
@@ -87,17 +88,26 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType, on
     return spark.read.schema(schema).option("multiLine", str(one_per_file).lower()).json(path)
 
 
-def listing_courses(df: DataFrame, body: str, key: str) -> DataFrame:
-    """Course rows of a nested listing answer."""
+def listing_courses(df: DataFrame, body: str, key: str, source: str = "") -> DataFrame:
+    """Course rows of a nested listing answer; sub-items are told apart by their place."""
     items = df.select(key, F.explode(F.from_json(F.col(body), LISTING)["results"]["items"]).alias("i"))
+
+    def part(place: int) -> Column:
+        return F.get(F.col("i.items"), F.lit(place))["text"]
+
     return items.select(
         key,
         F.col("i.id").alias("web_id"),
+        F.col("i.institutionTypeId").alias("type_of_institution"),
+        F.concat(F.lit(source), F.col("i.link.url")).alias("source_url"),
         F.col("i.logo.src.large").alias("logo_url"),
-        F.get(F.col("i.items"), F.lit(0))["text"].alias("degree"),
-        F.get(F.col("i.items"), F.lit(1))["text"].alias("duration"),
+        part(0).alias("degree"),
+        study_semesters(part(1)).alias("duration"),
+        part(2).alias("city"),
+        F.split(part(3), ", ").alias("study_type"),
         F.col("i.headline").alias("title"),
         F.col("i.subline").alias("university"),
+        F.lit(source).alias("source"),
     )
 
 

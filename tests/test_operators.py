@@ -115,6 +115,11 @@ def test_overlaps(spark):
     assert rows(joins.shared_codes(df, [1, 2, 3]), "module_code") == [("A",)]
     assert aggregates.transferable_credits(joins.handbook_overlap(df, [1, 2])).first().credits == 5
     assert aggregates.smallest_handbook(df).first().mhb_id == 3
+    ordered = joins.two_way_overlap(df, 1, 2, ["title"]).collect()
+    assert [(r.module_code, r.title) for r in ordered] == [("A", "a"), ("B", "b")]  # order of the smaller handbook
+    same = joins.compare_handbooks(df, [1, 1]).collect()
+    assert [(r.module_code, r.pages) for r in same] == [("D", "0"), ("C", "1"), ("B", "2"), ("A", "3")]
+    assert [r.module_code for r in joins.compare_handbooks(df, [2, 1]).collect()] == ["A", "B"]
 
 
 def test_roll_up_splits_long_handbooks(spark):
@@ -130,7 +135,11 @@ def test_mutations(spark):
     assert new.count() == 3 and table.columns == ["id", "s", "n"]
     with pytest.raises(ValueError):
         tables.insert(table, [{"x": 1}])
-    assert rows(tables.update(table, {"s": "z"}, {"n": 1}), "id", "s") == [(1, "z"), (4, "b")]
+    updated, changed = tables.update(table, {"s": "z", "n": F.col("n") + 1}, {"n": 1})
+    assert rows(updated, "id", "s", "n") == [(1, "z", 2), (4, "b", None)] and rows(changed, "id", "s", "n") == [(1, "z", 2)]
+    assert rows(tables.update(table, {"s": None}, "n IS NULL")[0], "id", "s") == [(1, "a"), (4, None)]
+    with pytest.raises(ValueError):
+        tables.update(table, {"x": 1}, {"n": 1})
     changes = spark.createDataFrame([(4, None), (8, "x")], "id int, s string")
     assert rows(tables.update_from(table, changes, "id"), "id", "s") == [(1, "a"), (4, None)]
     kept, removed = tables.delete(table, {"n": 1})
@@ -204,6 +213,12 @@ def test_search_in_graph(spark):
         assert {r.node for r in graph.reachable(links, roots, depth).collect()} == seen
 
 
+def test_search_starts_from_web_links_only(spark):
+    links = spark.createDataFrame([("https://a.de", "https://a.de/1"), ("mailto:x", "https://b.de")], "src string, dst string")
+    roots = spark.createDataFrame([("https://a.de",), ("mailto:x",)], "node string")
+    assert rows(graph.reachable(links, roots, 2), "node") == [("https://a.de",), ("https://a.de/1",)]
+
+
 def test_quarantine(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, -1)], "id int, v int")
     checked = quality.with_error(df, {"missing": F.col("v").isNotNull(), "negative": F.col("v") >= 0})

@@ -58,6 +58,21 @@ def test_json_documents(spark, tmp_path):
     assert [(r.name, len(r.modules or [])) for r in rows] == [("A", 1), ("B", 0)]
 
 
+def test_listing_courses(spark):
+    item = {
+        "id": 7, "institutionTypeId": 2, "link": {"url": "/k/7"}, "logo": {"src": {"large": "l.png"}}, "headline": "Geo", "subline": "Uni X",
+        "items": [{"text": "BA"}, {"text": "40 Monate"}, {"text": "Köln"}, {"text": "Vollzeit, dual"}],
+    }
+    bodies = [json.dumps({"results": {"items": [item, {**item, "id": 8, "logo": None, "items": [{"text": "MA"}]}]}}), '{"results":{"items":[]}}', "defekt"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "key int, body string")
+    first, second = readers.listing_courses(df, "body", "key", "x.de").orderBy("web_id").collect()
+    assert first.asDict() == {
+        "key": 0, "web_id": "7", "type_of_institution": "2", "source_url": "x.de/k/7", "logo_url": "l.png", "degree": "BA", "duration": 6,
+        "city": "Köln", "study_type": ["Vollzeit", "dual"], "title": "Geo", "university": "Uni X", "source": "x.de",
+    }
+    assert (second.logo_url, second.degree, second.duration, second.city, second.study_type) == (None, "MA", None, None, None)
+
+
 def test_university_list(spark, tmp_path):
     (tmp_path / "u.tsv").write_text('Hs-Nr.\tHochschulname\tHome Page\tNeu\n1\tUni "X"\thttps://x.de\t\n\n2\tHS – Y\t\tz\n', encoding="utf-8")
     got = readers.read_university_list(spark, str(tmp_path / "u.tsv")).orderBy("hs_nr").collect()
@@ -159,6 +174,11 @@ def test_pdf_export_is_refused(modules):
         exports.export_lines(modules, "pdf")
 
 
+def test_overlap_name():
+    assert exports.overlap_name(["Geo A", "Geo B"], ["a", "b"], "html") == "Geo A<br>Geo B"
+    assert exports.overlap_name(["Geo A", "Geo B"], ["a", "b"], "csv") == "a, b"
+
+
 def test_write_export(spark, modules, tmp_path):
     exports.write_export(exports.export_lines(modules, "html"), str(tmp_path / "out"))
     folder = tmp_path / "out" / "mhb_id=1"
