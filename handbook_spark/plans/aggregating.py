@@ -82,7 +82,7 @@ def d9(c: Corpus) -> DataFrame:
 
 
 @query("d10_transferable_credits", """
-SELECT sum(ects) AS credits, count(*) AS n_modules FROM v_modules WHERE mhb_id = 1
+SELECT CAST(sum(ects) AS BIGINT) AS credits, count(*) AS n_modules FROM v_modules WHERE mhb_id = 1
   AND module_code IN (SELECT module_code FROM v_modules WHERE mhb_id = 2)""")
 def d10(c: Corpus) -> DataFrame:
     return aggregates.transferable_credits(joins.handbook_overlap(c.view("v_modules"), [1, 2]))

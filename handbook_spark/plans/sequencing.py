@@ -62,7 +62,7 @@ def e4(c: Corpus) -> DataFrame:
 @query("e5_module_segments", r"""
 WITH segments AS (SELECT *, sum(CASE WHEN contains(substr(text, 1, 15), chr(10) || '| Modul') THEN 1 ELSE 0 END)
                     OVER (PARTITION BY handbook_id ORDER BY page_no) AS segment FROM v_md_pages)
-SELECT * FROM (SELECT handbook_id, segment, min(page_no) AS first_page, count(*) AS n_pages,
+SELECT * FROM (SELECT handbook_id, CAST(segment AS BIGINT) AS segment, min(page_no) AS first_page, count(*) AS n_pages,
   string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY page_no) AS content
   FROM segments GROUP BY handbook_id, segment) WHERE regexp_replace(content, '^\s+|\s+$', '', 'g') <> ''""")
 def e5(c: Corpus) -> DataFrame:
@@ -127,7 +127,7 @@ fold AS (
   SELECT s.doc_id, s.place, CASE WHEN f.filled + s.size < {PACK_LIMIT} THEN f.filled + s.size ELSE s.size END,
          CASE WHEN f.filled + s.size < {PACK_LIMIT} THEN f.chunk_no ELSE f.chunk_no + 1 END
   FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.place = f.place + 1)
-SELECT f.doc_id, f.chunk_no, count(*) AS n_modules, sum(s.size) AS n_tokens,
+SELECT f.doc_id, f.chunk_no, count(*) AS n_modules, CAST(sum(s.size) AS BIGINT) AS n_tokens,
   md5(string_agg(regexp_replace(s.item, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) || '--- NEUES MODUL ---' || chr(10) || chr(10) ORDER BY s.place)) AS text_md5
 FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.place = f.place GROUP BY f.doc_id, f.chunk_no""")
 def e9(c: Corpus) -> DataFrame:
