@@ -57,21 +57,19 @@ def block_of(position: str, size: int = BLOCK) -> Column:
     return F.floor(F.col(position) / size)
 
 
-def run_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "run", position: str | None = None,
-    block: int = BLOCK,
-) -> DataFrame:
-    """Number runs of equal consecutive ``value`` per key.
+def local_runs(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, position: str | None = None, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """First level of a run scan: (rows with ``_block`` and ``_local`` run number, offsets per block).
 
-    Two-level scan: runs are counted inside blocks of positions, then block totals are added up,
-    joining a block's first run to the last run of the block before where the values agree. A key
-    with very many positions is thus spread over many tasks.
+    The global number of a run is ``_offset + _local``. A block's first run continues the last run
+    of the block before where the values agree.
     """
     position = position or order[0]
     rows = df.withColumn("_block", block_of(position, block))
     window = Window.partitionBy(*keys, "_block").orderBy(*order)
     changed = (F.row_number().over(window) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(window))
-    local = rows.withColumn("_changed", changed.cast("int")).withColumn("_local", F.sum("_changed").over(window))
+    local = rows.withColumn("_changed", changed.cast("int")).withColumn("_local", F.sum("_changed").over(window)).drop("_changed")
     ordering = F.struct(*order)
     totals = local.groupBy(*keys, "_block").agg(
         F.max("_local").alias("_runs"),
@@ -87,30 +85,51 @@ def run_numbers(
         "_block",
         (F.sum(F.col("_runs") - F.col("_joined")).over(by_block) - F.col("_runs")).alias("_offset"),
     )
-    return (
-        local.join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("_block", "_changed", "_local", "_offset")
-    )
+    return local, offsets
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, position: str | None = None,
+def run_numbers(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "run", position: str | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Inclusive running sum per key as a two-level scan over blocks of positions."""
+    """Number runs of equal consecutive ``value`` per key.
+
+    Two-level scan: runs are counted inside blocks of positions, then block totals are added up. A
+    key with very many positions is thus spread over many tasks.
+    """
+    local, offsets = local_runs(df, keys, order, value, position, block)
+    return with_offsets(local, offsets, keys, name).drop("_block")
+
+
+def local_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, position: str | None = None, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """First level of a running sum: (rows with ``_block`` and ``_local`` sum, offsets per block)."""
     position = position or order[0]
     rows = df.withColumn("_block", block_of(position, block)).withColumn("_value", value)
     window = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = rows.withColumn("_local", F.sum("_value").over(window))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*keys, "_block")
         .agg(F.sum("_value").alias("_total"))
-        .select(*keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+        .select(*keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     )
+    return rows.withColumn("_local", F.sum("_value").over(window)).drop("_value"), offsets
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, position: str | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Inclusive running sum per key as a two-level scan over blocks of positions."""
+    local, offsets = local_sums(df, keys, order, value, position, block)
+    return with_offsets(local, offsets, keys, name).drop("_block")
+
+
+def with_offsets(local: DataFrame, offsets: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Second level of a scan: local numbers shifted by the total of the blocks before."""
     return (
         local.join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_block", "_value", "_local", "_before")
+        .withColumn(name, F.col("_offset") + F.col("_local"))
+        .drop("_local", "_offset")
     )

@@ -10,7 +10,9 @@ from handbook_spark.functions.nested import let
 from handbook_spark.functions.text import (
     MODULE_CODE, PAGE_HEADER, SHOWN_TEXT, decode_escapes, extract_or_null, footer_number, token_count,
 )
-from handbook_spark.operators.numbering import block_of, first_per_key, run_numbers, running_sum
+from handbook_spark.operators.numbering import (
+    BLOCK, block_of, first_per_key, local_runs, local_sums, run_numbers, with_offsets,
+)
 
 POSITIONED = r"1 0 0 -1 (\d+(?:\.\d+)?) (\d+(?:\.\d+)?) Tm\s?\[\(([^\n\r]*?)\)"
 SECTION_LINE = r"(?m)^1 0 0 -1 (\d+(?:\.\d+)?) (\d+(?:\.\d+)?) Tm \[\(([^\n]*?)\)\] TJ"
@@ -34,23 +36,29 @@ def best_versions(scored: DataFrame, tie_breaker: str) -> DataFrame:
     return first_per_key(scored, ["module_code"], [*order, F.col(tie_breaker)])
 
 
-def module_texts(pages: DataFrame) -> DataFrame:
+def module_texts(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """Modules as runs of pages with the same header; a header coming back later is a new module.
 
     The header line and the two footer lines of every page are dropped. Columns ``handbook_id,
-    page_no, header, text``.
+    page_no, header, text``. Pages are put together inside their block of positions first, where
+    they already lie in one task, so only one piece per module and block is shuffled.
     """
     lines = F.split("text", "\n")
     body = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 3, F.lit(0))), "\n")
-    runs = run_numbers(
-        pages.select("handbook_id", "page_no", "header", body.alias("body")), ["handbook_id"], ["page_no"], "header"
+    local, offsets = local_runs(
+        pages.select("handbook_id", "page_no", "header", body.alias("body")), ["handbook_id"], ["page_no"], "header",
+        block=block,
+    )
+    pieces = local.groupBy("handbook_id", "_block", "_local", "header").agg(
+        F.min("page_no").alias("first_page"), _ordered_join(["page_no"], "body", "\n").alias("body")
     )
     return (
-        runs.groupBy("handbook_id", "run", "header")
-        .agg(F.min("page_no").alias("first_page"), _ordered_join(["page_no"], "body", "\n").alias("body"))
+        with_offsets(pieces, offsets, ["handbook_id"], "run")
+        .groupBy("handbook_id", "run", "header")
+        .agg(F.min("first_page").alias("_first"), _ordered_join(["first_page"], "body", "\n").alias("_body"))
         .select(
-            "handbook_id", "first_page", F.col("header").alias("module_code"),
-            F.concat(F.lit("Modul "), F.col("header"), F.col("body")).alias("content"),
+            "handbook_id", F.col("_first").alias("first_page"), F.col("header").alias("module_code"),
+            F.concat(F.lit("Modul "), F.col("header"), F.col("_body")).alias("content"),
         )
     )
 
@@ -112,16 +120,24 @@ def starts_module(text: Column, marker: str, window: int = 15) -> Column:
     return F.contains(F.substring(text, 1, window), F.lit(marker))
 
 
-def segment_modules(pages: DataFrame, marker: str) -> DataFrame:
+def segment_modules(pages: DataFrame, marker: str, block: int = BLOCK) -> DataFrame:
     """Pages collected to modules: a marked page opens one, other pages join the open one; blank ones drop."""
-    segments = running_sum(
-        pages, ["handbook_id"], ["page_no"], starts_module(F.col("text"), marker).cast("int"), "segment"
-    ).withColumn("_text", strip_text(F.col("text")))
+    opens = starts_module(F.col("text"), marker).cast("int")
+    local, offsets = local_sums(pages, ["handbook_id"], ["page_no"], opens, block=block)
+    pieces = (
+        local.withColumn("_text", strip_text(F.col("text")))
+        .groupBy("handbook_id", "_block", "_local")
+        .agg(
+            F.min("page_no").alias("_first"), F.count(F.lit(1)).alias("_pages"),
+            _ordered_join(["page_no"], "_text", "\n\n").alias("_content"),
+        )
+    )
     return (
-        segments.groupBy("handbook_id", "segment")
+        with_offsets(pieces, offsets, ["handbook_id"], "segment")
+        .groupBy("handbook_id", "segment")
         .agg(
-            F.min("page_no").alias("first_page"), F.count(F.lit(1)).alias("n_pages"),
-            _ordered_join(["page_no"], "_text", "\n\n").alias("content"),
+            F.min("_first").alias("first_page"), F.sum("_pages").alias("n_pages"),
+            _ordered_join(["_first"], "_content", "\n\n").alias("content"),
         )
         .filter(strip_text(F.col("content")) != "")
     )

@@ -66,11 +66,12 @@ def test_module_texts(spark):
         (1, 2, "B-200", "Modul B-200\nx\nFuß\n3"), (1, 5, "A-100", "Modul A-100\nwieder\nFuß\n4"), (1, 6, "C-1", "Modul C-1"),
     ]
     df = spark.createDataFrame(pages, "handbook_id int, page_no int, header string, text string")
-    got = [(r.first_page, r.module_code, r.content) for r in sequences.module_texts(df).orderBy("first_page").collect()]
-    assert got == [
-        (0, "A-100", "Modul A-100eins\nzwei\ndrei"), (2, "B-200", "Modul B-200x"), (5, "A-100", "Modul A-100wieder"),
-        (6, "C-1", "Modul C-1"),
-    ]
+    for block in (1, 2, 4096):
+        got = [(r.first_page, r.module_code, r.content) for r in sequences.module_texts(df, block).orderBy("first_page").collect()]
+        assert got == [
+            (0, "A-100", "Modul A-100eins\nzwei\ndrei"), (2, "B-200", "Modul B-200x"), (5, "A-100", "Modul A-100wieder"),
+            (6, "C-1", "Modul C-1"),
+        ]
 
 
 def test_segments_and_contents(spark):
@@ -79,8 +80,11 @@ def test_segments_and_contents(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "handbook_id int, page_no int, text string")
     regions = [r.region for r in sequences.table_of_contents(df, marker).orderBy("page_no").collect()]
     assert regions == ["cover", "toc", "toc", "body", "body", "body", "body"]
-    got = [(r.first_page, r.content) for r in sequences.segment_modules(df, marker).orderBy("first_page").collect()]
-    assert got == [(0, "Deckblatt\n\nInhalt\n\nnoch Inhalt"), (3, "| Modul 1 |\n\nweiter"), (5, "| Modul 2 |\n\n")]
+    for block in (1, 3, 4096):
+        segments = sequences.segment_modules(df, marker, block).orderBy("first_page").collect()
+        assert [(r.first_page, r.n_pages, r.content) for r in segments] == [
+            (0, 3, "Deckblatt\n\nInhalt\n\nnoch Inhalt"), (3, 2, "| Modul 1 |\n\nweiter"), (5, 2, "| Modul 2 |\n\n"),
+        ]
 
 
 def test_toc_lines_join_across_pages(spark):
