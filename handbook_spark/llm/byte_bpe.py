@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from handbook_spark.llm.words import STEP_BYTES, steps
+from handbook_spark.llm.words import STEP_BYTES, ChunkMemo, gather, steps
 
 #: White space of the splitting pattern. ``\s`` of the installed modules has a few more characters.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -375,60 +375,23 @@ def token_bytes(merges: Merges, ids: np.ndarray) -> bytes:
     return merges.byte_data[places].tobytes()
 
 
-class BatchEncoder:
+class BatchEncoder(ChunkMemo):
     """Ids of whole columns: texts are cut at spaces, and each different chunk goes through the merges once."""
 
     def __init__(self, merges: Merges):
+        super().__init__(MEMO_CHUNKS)
         self.merges = merges
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
-        self.ids = np.zeros(8192, np.int32)
-        self.used = 0
-
-    def codes(self, chunks: list[str]) -> np.ndarray:
-        """Memo places of chunks; new ones are split into pieces and merged together."""
-        if len(self.known) + len(chunks) > MEMO_CHUNKS:
-            self._clear()
-        known = self.known
-        codes = [known.get(c, -1) for c in chunks]
-        new = [c for c, code in zip(chunks, codes) if code < 0]
-        if new:
-            flat: list[bytes] = []
-            per: list[int] = []
-            place: dict[str, int] = {}
-            where: list[int] = []
-            for chunk in new:
-                pieces = _PIECES.findall(chunk)
-                per.append(len(pieces))
-                for p in pieces:
-                    at = place.get(p)
-                    if at is None:
-                        at = place[p] = len(flat)
-                        flat.append(p.encode())
-                    where.append(at)
-            ids, counts = self.merges.encode_rows(flat)
-            starts = np.cumsum(counts) - counts
-            where_np = np.array(where, np.int64)
-            row_ids = gather(ids, starts[where_np], counts[where_np])
-            per_chunk = np.add.reduceat(np.append(counts[where_np], 0), np.concatenate(([0], np.cumsum(per)[:-1]))) \
-                if where else np.zeros(len(new), np.int64)
-            per_chunk = np.where(np.array(per) == 0, 0, per_chunk)
-            first = len(known)
-            for i, chunk in enumerate(new):
-                known[chunk] = first + i
-            self.start = _room(self.start, first + len(new))
-            self.count = _room(self.count, first + len(new))
-            self.ids = _room(self.ids, self.used + len(row_ids))
-            self.start[first : first + len(new)] = self.used + np.cumsum(per_chunk) - per_chunk
-            self.count[first : first + len(new)] = per_chunk
-            self.ids[self.used : self.used + len(row_ids)] = row_ids
-            self.used += len(row_ids)
-            codes = [known[c] for c in chunks]
-        return np.array(codes, np.int64)
+
+    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, which are split into pieces; each different piece is merged once."""
+        pieces = [_PIECES.findall(c) for c in chunks]
+        place: dict[str, int] = {}
+        where = np.array([place.setdefault(p, len(place)) for row in pieces for p in row], np.int64)
+        ids, counts = self.merges.encode_rows([p.encode() for p in place])
+        per_piece = counts[where]
+        ends = np.concatenate(([0], np.cumsum(per_piece)))
+        last = np.cumsum([len(row) for row in pieces])
+        return gather(ids, (np.cumsum(counts) - counts)[where], per_piece), np.diff(ends[last], prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's number of ids."""
@@ -444,17 +407,17 @@ class BatchEncoder:
         first = np.zeros(len(pieces), bool)
         first[offsets[:-1]] = True
         index = pieces.indices.to_numpy().astype(np.int64)
-        # The first chunk of a text has no space before it.
+        # The first chunk of a text has no space before it. Room for both kinds first: a lookup may start the memo anew.
         heads, head_index = np.unique(index[first], return_inverse=True)
-        words = pieces.dictionary.to_pylist()
-        used = np.zeros(len(words), bool)
+        used = np.zeros(len(pieces.dictionary), bool)
         used[index[~first]] = True
         body = np.flatnonzero(used)
-        codes = self.codes([" " + words[i] for i in body.tolist()] + [words[i] for i in heads.tolist()])
-        of_word = np.zeros(len(words), np.int64)
-        of_word[body] = codes[: len(body)]
+        if len(self.keys) + len(body) + len(heads) > self.limit:
+            self.clear()
+        of_word = np.zeros(len(used), np.int64)
+        of_word[body] = self.codes(pieces.dictionary.take(pa.array(body)), " ")
         code = of_word[index]
-        code[first] = codes[len(body) :][head_index]
+        code[first] = self.codes(pieces.dictionary.take(pa.array(heads)))[head_index]
         counts = self.count[code]
         ids = gather(self.ids, self.start[code], counts)
         per_text = np.add.reduceat(counts, offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
@@ -473,19 +436,6 @@ class BatchEncoder:
         return np.concatenate(out) if out else ids, per_text
 
 
-def _room(array: np.ndarray, size: int) -> np.ndarray:
-    return array if size <= len(array) else np.concatenate((array, np.zeros(max(size - len(array), len(array)), array.dtype)))
-
-
-def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Slices of ``values`` one after the other."""
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    if not total:
-        return values[:0]
-    return values[np.arange(total) + np.repeat(starts - (ends - counts), counts)]
-
-
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Merges:
     return Merges(path)

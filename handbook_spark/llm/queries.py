@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbook_spark.llm import byte_bpe, language, mixing, secrets
+from handbook_spark.llm import byte_bpe, language, mixing, secrets, token_files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
@@ -46,6 +46,12 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds
 
 
+@_query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_files.read_blocks(token_files.write_blocks(docs, tokenizer_file("word_bpe_49k.json")))
+
+
 @_query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")

@@ -90,3 +90,74 @@ def hashes(strings: pa.Array) -> np.ndarray:
             value = value ^ (value >> np.uint64(32))
         out[rows] = mixed(value)
     return out
+
+
+def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Slices of ``values`` one after the other."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    if not total:
+        return values[:0]
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
+    places = np.repeat((starts - (ends - counts)).astype(kind), counts)
+    places += np.arange(total, dtype=kind)
+    return values[places]
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    return array if size <= len(array) else np.concatenate((array, np.zeros(max(size - len(array), len(array)), array.dtype)))
+
+
+class ChunkMemo:
+    """Token ids of text chunks that a task has seen; ``encode_new`` gives ids and counts of new ones.
+
+    Chunks are looked up by a 64-bit hash, as arrays. The memo holds at most ``limit`` chunks and starts anew beyond
+    that, which costs time but changes no result.
+    """
+
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
+        self.clear()
+
+    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.places = np.zeros(0, np.int64)
+        self.start = np.zeros(1024, np.int64)
+        self.count = np.zeros(1024, np.int64)
+        self.ids = np.zeros(8192, np.int32)
+        self.used = 0
+
+    def codes(self, chunks: pa.Array, prefix: str = "") -> np.ndarray:
+        """Memo places of different chunks, each with ``prefix`` before it."""
+        keys = hashes(chunks)
+        if prefix:
+            keys = mixed(keys + _MULTIPLIER)
+        found = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = found < len(self.keys)
+        known[inside] = self.keys[found[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(self.keys) + len(new) > self.limit:
+            self.clear()
+            found, known, new = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.arange(len(keys))
+        codes = np.empty(len(keys), np.int64)
+        codes[known] = self.places[found[known]]
+        if len(new):
+            ids, counts = self.encode_new([prefix + c for c in chunks.take(pa.array(new)).to_pylist()])
+            first = len(self.keys)
+            codes[new] = first + np.arange(len(new))
+            order = np.argsort(keys[new], kind="stable")
+            at = found[new][order]
+            self.keys = np.insert(self.keys, at, keys[new][order])
+            self.places = np.insert(self.places, at, codes[new][order])
+            self.start = _room(self.start, first + len(new))
+            self.count = _room(self.count, first + len(new))
+            self.ids = _room(self.ids, self.used + len(ids))
+            self.start[first : first + len(new)] = self.used + np.cumsum(counts) - counts
+            self.count[first : first + len(new)] = counts
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        return codes
