@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbook_spark.llm import bit_sliced, byte_bpe, language, mixing, neighbours, secrets, token_files
+from handbook_spark.llm import bit_sliced, byte_bpe, language, mixing, neighbours, part_enum, secrets, token_files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
@@ -110,6 +110,36 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, tokenizer_file("byte_bpe_50k.json"), "doc_id")
 
 
+_OP7_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM split
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b
+)
+SELECT s.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, r.root AS component_id
+FROM split s LEFT JOIN sizes z ON z.doc_id = s.doc_id
+JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = s.doc_id
+"""
+
+
+@_query("op7_ngram_jaccard", _OP7_SQL)
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_enum.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @_query("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_documents(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Text bytes that one step of a task holds as arrays. A longer single text is a step of its own.
 STEP_BYTES = 4 << 20
+#: Rows of a step, so that a row's place in its step fits into 16 bits.
+STEP_ROWS = 1 << 16
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -23,7 +25,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, begin = 0, 0
     for row, size in enumerate(sizes.tolist()):
-        if total + size > limit and row > begin:
+        if (total + size > limit or row - begin == STEP_ROWS) and row > begin:
             yield batch.slice(begin, row - begin)
             total, begin = 0, row
         total += size
