@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbook_spark.llm import bit_sliced, byte_bpe, language, mixing, neighbours, part_enum, secrets, token_files
+from handbook_spark.llm import bit_sliced, byte_bpe, language, mixing, neighbours, part_enum, secrets, token_files, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
@@ -75,6 +75,15 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, F.col("id") % 50 == 0, 5)
 
 
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    machine = toxicity.fit(toxicity.sample(docs, labels, fold("doc_id", 5) != 0))
+    return toxicity.score_documents(docs, machine, "doc_id").select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 _OP4_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
