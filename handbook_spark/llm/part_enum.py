@@ -13,11 +13,13 @@ Work is bounded as follows; none of it drops a link.
 * A set with a partner has at most a quarter of its elements to itself. Elements are first counted across all sets, hashed
   and packed, half of the domain in the first round and all of it among what is left in the second; other sets
   leave.
-* n is larger than k + 1, so a set may ignore its ``HOT`` signatures (those of large groups, such as the parts of a common
-  passage) as long as they, and its empty parts, are fewer than n - k: any partner shares another one. Only a pair of
-  sets that both have more is looked for in large groups.
-* In each group all sets are compared with its smallest one. Only sets that this leaves in different components are compared with each
-  other.
+* n is larger than k + 1, so a set may ignore n - k - 1 of its signatures, less its empty parts. It ignores those of
+  the largest groups (such as the parts of a common passage), in one order for all sets: of the signatures that two
+  similar sets share, the one of the smallest group has so many above it that neither set ignores it.
+* In each group all sets are compared with its smallest one. Only sets that this leaves in different components are
+  compared with each other: pair by pair in groups of up to ``FEW`` members, and in tiles for larger ones. Large groups that overlap
+  form a cluster, a cluster's sets are dealt out in blocks, and a tile counts the common elements of two
+  blocks as matrix products. Only similar pairs leave a tile.
 
 Results for odd input: null and empty texts have no n-grams and link with nothing; a text with fewer than n words is one
 n-gram; equal rows are copies; a null doc_id links with nothing and is its own (null) component; rows that share
@@ -30,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from handbook_spark.llm.components import components
+from handbook_spark.llm.packing import packed, step_key
 from handbook_spark.llm.words import gather, hashes, lowered, mixed, split, steps
 from handbook_spark.session import materialize
 
@@ -42,9 +44,11 @@ SIZE = 5
 #: Similarity p / q.
 ABOVE, BELOW = 75, 100
 #: Parts of a scheme for each difference it allows.
-SPARE = 1.5
-#: A group with more members is a large one.
-HOT = 32
+SPARE = 2.0
+#: Members of a group that are compared pair by pair.
+FEW = 8
+#: Sets and elements of a block at most, on average.
+BLOCK_SETS, BLOCK_ELEMENTS = 512, 1 << 18
 
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,22 +86,6 @@ def per_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return ends[at[1:]] - ends[at[:-1]]
 
 
-def _packed(values: np.ndarray, rows: np.ndarray, buckets: np.ndarray, number: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Values and their rows by bucket."""
-    order = np.argsort(buckets.astype(np.uint16) if number <= 1 << 16 else buckets, kind="stable")
-    bounds = np.searchsorted(buckets[order], np.arange(number + 1))
-    values, rows = values[order], rows[order].astype(np.uint16)
-    for bucket in range(number):
-        a, b = int(bounds[bucket]), int(bounds[bucket + 1])
-        if b > a:
-            yield bucket, values[a:b].tobytes(), rows[a:b].tobytes()
-
-
-def _step_key(counter: int) -> int:
-    """A number for each step of a stored table: the task's partition and the step's place in it."""
-    return TaskContext.get().partitionId() << 32 | counter
-
-
 _COUNTED = "bucket int, step long, rows int, keys binary, places binary"
 
 
@@ -108,7 +96,7 @@ def _elements(grams: np.ndarray, counts: np.ndarray, step: int, share: int, numb
     grams, rows = grams[used], rows[used]
     buckets = ((grams >> np.uint64(33)) % np.uint64(number)).astype(np.int64)
     keys = ((grams >> np.uint64(1)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    found = list(_packed(keys, rows, buckets, number))
+    found = list(packed(buckets, number, keys, rows.astype(np.uint16)))
     return pa.RecordBatch.from_arrays(
         [pa.array([f[0] for f in found], pa.int32()), pa.array([step] * len(found), pa.int64()),
          pa.array([len(counts)] * len(found), pa.int32()), pa.array([f[1] for f in found], pa.binary()),
@@ -200,13 +188,13 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for part in steps(batch):
                 grams, counts = shingles(part.column("text"), size)
-                step = _step_key(counter)
+                step = step_key(counter)
                 counter += 1
                 prints = [per_row(mixed(grams * _FOLD + np.uint64(salt)), counts).view(np.int64) for salt in (1, 2)]
                 counted = per_row((grams % np.uint64(2) == 0).astype(np.int64), counts)
-                packed = _elements(grams, counts, step, 2, number)
+                found = _elements(grams, counts, step, 2, number)
                 numbers = {"n": counts, "f1": prints[0], "f2": prints[1], "counted": counted}
-                yield _joined({"doc_id": part.column("doc_id")} | {k: pa.array(v) for k, v in numbers.items()}, step, packed)
+                yield _joined({"doc_id": part.column("doc_id")} | {k: pa.array(v) for k, v in numbers.items()}, step, found)
 
     both = materialize(docs.select("doc_id", "text").mapInArrow(read, f"{head}, packed array<struct<{_struct(_COUNTED)}>>"))
     rows = both.drop("packed")
@@ -221,12 +209,12 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for part in steps(batch):
                 grams, counts = shingles(part.column("text"), size)
-                step = _step_key(counter)
+                step = step_key(counter)
                 counter += 1
-                packed = _elements(grams, counts, step, 1, number)
+                found = _elements(grams, counts, step, 1, number)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
                 sets = pa.ListArray.from_arrays(offsets, pa.array(grams.view(np.int64)))
-                yield _joined({"doc_id": part.column("doc_id"), "n": pa.array(counts), "grams": sets}, step, packed)
+                yield _joined({"doc_id": part.column("doc_id"), "n": pa.array(counts), "grams": sets}, step, found)
 
     few = materialize(texts.mapInArrow(
         again, f"doc_id {id_type}, n long, grams array<long>, step long, place int, packed array<struct<{_struct(_COUNTED)}>>"))
@@ -280,7 +268,7 @@ def groups(sets: DataFrame) -> DataFrame:
                     continue
                 flat, places = np.concatenate(signs), np.concatenate(rows)
                 buckets = ((flat >> np.uint64(40)) % np.uint64(number)).astype(np.int64)
-                for bucket, values, where in _packed(flat, places, buckets, number):
+                for bucket, values, where in packed(buckets, number, flat, places.astype(np.uint16)):
                     used, inverse = np.unique(np.frombuffer(where, np.uint16), return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([bucket], pa.int32()),
@@ -327,11 +315,10 @@ def groups(sets: DataFrame) -> DataFrame:
 
 
 def candidate_groups(members: DataFrame) -> DataFrame:
-    """gid, doc_id without the memberships in large groups that a set may ignore."""
-    hot = members.filter(F.col("members") > HOT).groupBy("doc_id", "scheme", "spare").agg(F.sum("times").alias("hot"))
-    bound = hot.filter(F.col("hot") > F.col("spare")).select("doc_id", "scheme")
-    large = members.filter(F.col("members") > HOT).join(bound, ["doc_id", "scheme"], "left_semi")
-    return members.filter(F.col("members") <= HOT).select("gid", "doc_id").union(large.select("gid", "doc_id"))
+    """gid, doc_id without the memberships in the largest groups, as far as each set may ignore them."""
+    order = Window.partitionBy("doc_id", "scheme").orderBy(F.col("members").desc(), "gid").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return members.withColumn("upto", F.sum("times").over(order)).filter(F.col("upto") > F.col("spare")).select("gid", "doc_id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -357,16 +344,90 @@ def similar_classes(sets: DataFrame) -> DataFrame:
     # What is left: pairs of one group in different components.
     labelled = materialize(members.join(labels, members["doc_id"] == labels["node"], "left").select(
         "gid", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    mixed_groups = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
-        "low <> high").select("gid")
-    open_rows = labelled.join(mixed_groups, "gid", "left_semi")
-    x = open_rows.select("gid", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-    y = open_rows.select("gid", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
+    open_groups = labelled.groupBy("gid").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min("doc_id").alias("centre")).filter(
+        "low <> high").select("gid", "size", "centre")
+    open_rows = materialize(labelled.join(open_groups, "gid"))
+    few = open_rows.filter(F.col("size") <= FEW)
+    x = few.select("gid", F.col("doc_id").alias("a"), F.col("label").alias("la"))
+    y = few.select("gid", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
     rest = x.join(y, "gid").filter("a < b AND la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(verified(rest, sets))
+    more = materialize(verified(rest, sets).union(in_tiles(open_rows.filter(F.col("size") > FEW), sets)))
     return components(links.union(more))
 
 
+def in_tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) with different labels among overlapping groups of ``rows`` (gid, doc_id, label, centre)."""
+    clusters = components(rows.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
+    docs = rows.select("doc_id", "label").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")), "doc_id")
+    docs = materialize(docs.join(sets.select("doc_id", "n", "grams"), "doc_id"))
+    sizes = docs.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    dealt = docs.join(sizes, "cluster").withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        (F.col("block") > F.col("other")).alias("second"), "doc_id", "label", "grams")
+    id_type = sets.schema["doc_id"].dataType.simpleString()
+
+    def tile(part: pa.Table) -> pa.Table:
+        second = part["second"].to_numpy(zero_copy_only=False)
+        low, high = part["low"][0].as_py(), part["high"][0].as_py()
+        left = np.flatnonzero(~second)
+        right = left if low == high else np.flatnonzero(second)
+        doc = part["doc_id"].combine_chunks()
+        label = np.unique(part["label"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        cells = [c.values.to_numpy() for c in part["grams"]]
+        size = np.array([len(c) for c in cells], np.int64)
+        same = common([cells[i] for i in left], [cells[i] for i in right])
+        union = size[left][:, None] + size[right][None] - same
+        a, b = np.nonzero((same * BELOW >= union * ABOVE) & (label[left][:, None] != label[right][None]))
+        return pa.table({"a": doc.take(pa.array(left[a])), "b": doc.take(pa.array(right[b]))})
+
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(tile, f"a {id_type}, b {id_type}")
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Number of common elements of each set of ``left`` with each of ``right``.
+
+    Elements that several sets of both sides have are columns of two matrices, multiplied some at a time; of elements that few
+    have, the pairs are counted one by one.
+    """
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(left) or not len(right):
+        return out
+    values, index = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    cut = int(sizes[0].sum())
+    sides = []
+    for element, size in ((index[:cut], sizes[0]), (index[cut:], sizes[1])):
+        order = np.argsort(element, kind="stable")
+        row = np.repeat(np.arange(len(size)), size)[order]
+        sides.append((row, np.searchsorted(element[order], np.arange(len(values) + 1))))
+    counts = [np.diff(bounds) for _, bounds in sides]
+    pairs = counts[0] * counts[1]
+    few = np.flatnonzero((pairs > 0) & (pairs <= 256))
+    for at in np.split(few, np.searchsorted(np.cumsum(pairs[few]), np.arange(1 << 19, int(pairs[few].sum()), 1 << 19))):
+        # Each pair of an element: its left row repeated for all of its right rows.
+        n = pairs[at]
+        turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(counts[1][at], n)
+        a = sides[0][0][np.repeat(sides[0][1][at], n) + turn // wide] if len(wide) else turn
+        b = sides[1][0][np.repeat(sides[1][1][at], n) + turn % wide] if len(wide) else turn
+        np.add.at(out.reshape(-1), a * len(right) + b, 1)
+    many = np.flatnonzero(pairs > 256)
+    for at in range(0, len(many), columns):
+        part = many[at : at + columns]
+        tables = []
+        for (row, bounds), size in zip(sides, sizes):
+            n = (bounds[part + 1] - bounds[part])
+            table = np.zeros((len(size), len(part)), np.float32)
+            table[gather(row, bounds[part], n), np.repeat(np.arange(len(part)), n)] = 1
+            tables.append(table)
+        out += np.rint(tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
 def near_copies(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows, sets = classes(docs, size)
