@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbook_spark.llm import bit_sliced, byte_bpe, language, mixing, neighbours, part_enum, secrets, token_files, toxicity
+from handbook_spark.llm import (
+    bit_sliced, byte_bpe, language, lm_scoring, mixing, neighbours, part_enum, secrets, token_files, toxicity,
+)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
@@ -149,6 +151,14 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_enum.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@_query("op8_lm_scores")
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = lm_scoring.score(docs, fold("doc_id", 10) != 0, tokenizer_file("word_bpe_49k.json"))
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score", "model_score")
+
+
 @_query("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_documents(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
