@@ -19,6 +19,7 @@ columns are ignored; texts of any length are scored whole.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -34,11 +35,11 @@ from handbook_spark.llm.words import split, steps
 
 #: Training sample: documents of each label at most, and characters of each.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 1200, 20_000
-#: A word or the beginning of words is taken as toxic at first if so many standard deviations more toxic documents have it,
-#: and if it is so many times as frequent in them as in clean ones.
-SURPLUS, RATIO = 5.0, 8.0
+#: A word or the beginning of words is taken as toxic at first if its likelihood ratio's root is so large, and if it is
+#: so many times as frequent in toxic documents as in clean ones.
+SURPLUS, RATIO = 5.5, 8.0
 #: The same for the toxic documents that no such word explains, one word or stem after the other.
-REST_SURPLUS = 3.8
+REST_SURPLUS = 4.2
 #: Letters of beginnings.
 STEMS = range(4, 9)
 #: Symbols of the kernel: 0 for none, a to z, edges of a word, then other letters' bytes.
@@ -231,10 +232,16 @@ def _first_of_copies(texts: list[str]) -> list[int]:
     return kept
 
 
-def _surplus(toxic: int, clean: int, ratio: float) -> float:
-    """How many standard deviations a key's toxic documents are above what its clean ones let expect."""
-    expected = (clean + 0.5) * ratio
-    return (toxic - expected) / (toxic + expected * (1 + ratio)) ** 0.5
+def _surplus(toxic: int, clean: int, toxic_all: int, clean_all: int) -> float:
+    """Signed root of the log likelihood ratio between a key's own rates in both labels and one common rate."""
+    total, both = toxic_all + clean_all, toxic + clean
+
+    def part(seen: float, of: float) -> float:
+        return seen * math.log(seen / of) if seen else 0.0
+
+    ratio = (part(toxic, toxic_all) + part(toxic_all - toxic, toxic_all) + part(clean, clean_all) + part(clean_all - clean, clean_all)
+             - part(both, total) - part(total - both, total))
+    return math.sqrt(max(2 * ratio, 0.0)) * (1 if toxic * clean_all >= clean * toxic_all else -1)
 
 
 def _toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
@@ -243,7 +250,8 @@ def _toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
     Clear cases come first. Then, as long as toxic documents are left without any of them, the word or beginning
     that most of the rest have is added, if it is rare enough in clean documents.
     """
-    ratio = len(toxic) / max(len(clean), 1)
+    sizes = len(toxic), max(len(clean), 1)
+    ratio = sizes[0] / sizes[1]
     keys_of = {w: [f"={w}", *(w[:n] for n in STEMS if n < len(w))] for words in [*toxic, *clean] for w in words}
     toxic_keys = [{k for w in words for k in keys_of[w]} for words in toxic]
     in_toxic = Counter(k for row in toxic_keys for k in row)
@@ -252,12 +260,12 @@ def _toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
     def rare(key: str) -> bool:
         return in_toxic[key] >= RATIO * ratio * (in_clean[key] + 0.5)
 
-    found = {k for k, n in in_toxic.items() if rare(k) and _surplus(n, in_clean[k], ratio) >= SURPLUS}
+    found = {k for k, n in in_toxic.items() if rare(k) and _surplus(n, in_clean[k], *sizes) >= SURPLUS}
     rest = [row for row in toxic_keys if not row & found]
     while rest:
         counts = Counter(k for row in rest for k in row if rare(k))
-        best = max(counts, key=lambda k: (_surplus(counts[k], in_clean[k], ratio), k), default=None)
-        if best is None or _surplus(counts[best], in_clean[best], ratio) < REST_SURPLUS:
+        best = max(counts, key=lambda k: (_surplus(counts[k], in_clean[k], *sizes), k), default=None)
+        if best is None or _surplus(counts[best], in_clean[best], *sizes) < REST_SURPLUS:
             break
         found.add(best)
         rest = [row for row in rest if best not in row]
