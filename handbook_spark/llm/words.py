@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one step of a task holds as arrays. A longer single text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Rows of a step, so that a row's place in its step fits into 16 bits.
 STEP_ROWS = 1 << 16
 
