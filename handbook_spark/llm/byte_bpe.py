@@ -490,12 +490,12 @@ def decode_ids(encoded: DataFrame, path: str, *keep: str) -> DataFrame:
 _DECODE_IDS = 1 << 16
 
 
-def digests(docs: DataFrame, path: str, *keep: str) -> DataFrame:
-    """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass."""
+def digests(docs: DataFrame, path: str, *keep: str, with_ids: bool = False) -> DataFrame:
+    """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256, and ``ids`` if asked for: encoding and decoding in one pass."""
     source = docs.select(*keep, F.col("text").alias("__text"))
     fields = [f for f in source.schema.fields if f.name != "__text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-                       + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"])
+                       + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = batch_encoder(path)
@@ -512,9 +512,12 @@ def digests(docs: DataFrame, path: str, *keep: str) -> DataFrame:
                     hashed.update(machine.finish().encode())
                     text_hashes.append(hashed.hexdigest())
                     at += count
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(f.name) for f in fields]
-                    + [pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(text_hashes)],
-                    names=[f.name for f in fields] + ["n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = {f.name: part.column(f.name) for f in fields} | {
+                    "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(id_hashes, pa.string()),
+                    "decoded_sha256": pa.array(text_hashes, pa.string())}
+                if with_ids:
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+                    columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_pydict(columns)
 
     return source.mapInArrow(run, schema)

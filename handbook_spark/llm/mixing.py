@@ -87,7 +87,8 @@ def _running(rows: DataFrame, keys: list[str], cell: str, order: list[str], valu
 
 
 def served(sized: DataFrame, **shares) -> DataFrame:
-    """Shuffled documents: doc_id, source, size, source_size, target, budget, start, time_cells.
+    """Shuffled documents: the columns of ``sized`` (doc_id, source, size, more if wanted) with source_size, target, budget,
+    start and time_cells.
 
     ``start`` is the number of the source's words before the document, ``budget`` all words of the mix.
     """
@@ -141,3 +142,25 @@ def taken_words(sized: DataFrame, **shares) -> DataFrame:
 def sized_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source and size of each document, stored once so that texts are read once."""
     return materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+
+
+def first_words(text: Column, number: Column) -> Column:
+    """The first words of a text, with single spaces between them."""
+    return F.array_join(F.slice(F.split(F.trim(F.translate(text, "\t\n\v\f\r", "     ")), " +"), 1, number), " ")
+
+
+def mixed_documents(docs: DataFrame, **shares) -> DataFrame:
+    """The mix itself: each copy's row of ``docs`` (doc_id, text, source and more), cut texts with the words they give.
+
+    Copies meet their texts by doc_id and a hash of the text. Rows that agree in both are served as often as
+    there are such rows, each time with the same text.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    sized = materialize(keyed.select("doc_id", "source", "__key", words(F.col("text")).alias("size")))
+    copies = mix(materialize(served(sized, **shares))).select(
+        F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("__key").alias("__copy"),
+        F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (
+        F.col("__key") == F.col("__copy"))
+    text = F.when(F.col("__taken") < F.col("__size"), first_words(F.col("text"), F.col("__taken").cast("int"))).otherwise(F.col("text"))
+    return keyed.dropDuplicates(["doc_id", "source", "__key"]).join(copies, same).withColumn("text", text).select(*docs.columns)
