@@ -12,15 +12,18 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from handbook_spark.session import scratch_path, spread
+from handbook_spark.session import scratch_path
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# Tables of long texts and their unique keys.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+def padded(number: str, width: int) -> str:
+    """SQL text of a number with leading zeros; longer numbers keep all their digits."""
+    text = f"CAST({number} AS STRING)"
+    return f"CASE WHEN length({text}) < {width} THEN lpad({text}, {width}, '0') ELSE {text} END"
+
 
 PORTABLE_VIEWS: dict[str, str] = {
     "v_mhbs": """
@@ -31,12 +34,13 @@ SELECT s_suppkey AS id,
        CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST((2010 + s_suppkey % 15) * 10 + s_suppkey % 2 AS INT) END AS version
 FROM supplier""",
     "v_modules": """
-SELECT d.l_partkey * 100000 + d.l_suppkey AS id,
-       upper(substr(p.p_type, 1, 3)) || '-' || lpad(CAST(d.l_partkey AS STRING), 6, '0') AS module_code,
+SELECT d.l_partkey * 2147483648 + d.l_suppkey AS id,
+       upper(substr(p.p_type, 1, 3)) || '-' || @PADDED_PART AS module_code,
        p.p_name || ' ' || CAST(p.p_size AS STRING) AS title,
        CASE WHEN d.l_partkey % 11 = 0 THEN NULL ELSE p.p_size END AS ects,
        d.l_suppkey AS mhb_id, d.l_partkey AS pos
-FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) d JOIN part p ON p.p_partkey = d.l_partkey""",
+FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) d JOIN part p ON p.p_partkey = d.l_partkey""".replace(
+        "@PADDED_PART", padded("d.l_partkey", 6)),
     "v_modules_raw": """
 SELECT id, module_code, mhb_id,
        'Modul ' || module_code || ': ' || title || chr(10) || coalesce(CAST(ects AS STRING), 'k.A.') || ' ECTS/LP'
@@ -128,9 +132,7 @@ SELECT id, 'Studiengang ' || CAST(id AS STRING) AS name,
 FROM v_listing""",
 }
 
-_HEADER_CODE = (
-    "'SRC-' || lpad(CAST(CAST(substr(source, 4) AS INT) * 10 + CAST(floor(page_no / 3) AS INT) % 4 AS STRING), 4, '0')"
-)
+_HEADER_CODE = "'SRC-' || " + padded("(CAST(substr(source, 4) AS INT) * 10 + CAST(floor(page_no / 3) AS INT) % 4)", 4)
 _SPARK_LINES = (
     "SELECT doc_id, lang, source, page_no, line FROM documents LATERAL VIEW posexplode(split(text, '\\n')) x AS page_no, line"
 )
@@ -171,12 +173,15 @@ def _page_streams(lines: str, join: str) -> str:
         "'BT'", _shown("40", "20", "'Modulhandbuch'"), "'/F1 12 Tf'",
         _shown("40", "50", f"'Studium ' || {backslash} || '(' || lang || {backslash} || ')'"), "'ET'", "'Q'", "''",
     ]
-    source_code = "'SRC-' || lpad(CAST(CAST(substr(source, 4) AS INT) * 10 + {} AS STRING), 4, '0')"
+
+    def source_code(n: int) -> str:
+        return "'SRC-' || " + padded(f"(CAST(substr(source, 4) AS INT) * 10 + {n})", 4)
+
     toc = ["'BT'", _shown("40", "20", "'Inhaltsverzeichnis'")]
     for n, y in ((0, "100"), (2, "110.5"), (1, "120"), (2, "130")):
         toc += [
-            _shown("40", y, source_code.format(n) + " || ': Titel'"), _shown("300", y, "'.'"),
-            _shown("350", y, source_code.format(3)), _shown("400", y, f"'{n}'"),
+            _shown("40", y, source_code(n) + " || ': Titel'"), _shown("300", y, "'.'"),
+            _shown("350", y, source_code(3)), _shown("400", y, f"'{n}'"),
         ]
     toc += [_shown("40", "140", f"'nur Text ' || {number}"), "'ET'", "'Q'", "''"]
     module = [
@@ -210,8 +215,36 @@ SELECT p_partkey AS id,
          || '<text top="4" left="40" font="6">' || p_brand || '<b>fett</b></text></page></data>' AS xml
 FROM part"""
 
+
+
+def _arrays(text: str) -> tuple[str, str]:
+    """Spark and DuckDB texts; arrays are written ``<a, b>``."""
+    return text.replace("<", "array(").replace(">", ")"), text.replace("<", "[").replace(">", "]")
+
+
 # One text for Spark, one for DuckDB.
 DIALECT_VIEWS: dict[str, tuple[str, str]] = {
+    "v_ai_full": _arrays("""
+SELECT *, CASE WHEN raw_module_id % 3 = 0 THEN NULL ELSE <'Ziel ' || CAST(weekly_hours AS STRING), 'Überblick'> END AS goals,
+       CASE WHEN raw_module_id % 5 = 1 THEN NULL ELSE <'keine', 'Modul ' || CAST(recommended_semester AS STRING)> END AS requirements,
+       CASE WHEN raw_module_id % 7 = 0 THEN NULL ELSE <'bestanden ' || CAST(weekly_hours % 3 AS STRING)> END AS success_requirements,
+       <'Klausur ' || CAST(weekly_hours % 4 AS STRING)> AS exams, <'Stunden: ' || CAST(weekly_hours * 30 AS STRING)> AS expense,
+       <'Vorlesung', 'Übung ' || CAST(recommended_semester % 3 AS STRING)> AS module_parts FROM v_ai"""),
+    "v_modules_full": _arrays("""
+SELECT *, 'Thema ' || CAST(pos % 9 AS STRING) AS content, CASE WHEN pos % 4 = 0 THEN NULL ELSE 'Ziel ' || CAST(pos % 5 AS STRING) END AS goals,
+       <CAST(pos % 50 AS INT), CAST(pos % 50 + 1 AS INT)> AS pages FROM v_modules"""),
+    "v_search_full": _arrays("""
+SELECT ai.raw_module_id, ai.title AS ai_title, ai.module_code AS ai_module_code, ai.ects AS ai_ects, ai.lecturer AS ai_lecturer,
+       ai.contents AS ai_contents, ai.goals AS ai_goals, ai.requirements AS ai_requirements, ai.expense AS ai_expense,
+       ai.success_requirements AS ai_success_requirements, ai.exams AS ai_exams, ai.module_parts AS ai_module_parts,
+       ai.weekly_hours, ai.recommended_semester, m.id AS module_id, m.title AS module_title, m.module_code, m.ects AS module_ects,
+       m.content AS module_content, m.goals AS module_goals, m.pages AS module_pages, m.mhb_id, r.content AS raw_content, h.version,
+       CASE WHEN ai.module_code IS NULL THEN 0.5 WHEN ai.module_code = m.module_code THEN 1.0 ELSE 0.0 END AS correct_module_code,
+       CASE WHEN ai.ects IS NULL THEN 0.5 WHEN ai.ects = m.ects THEN 1.0 ELSE 0.0 END AS correct_ects,
+       CASE WHEN ai.title IS NULL THEN 0.5 WHEN ai.title = m.title THEN 1.0 ELSE 0.0 END AS correct_title
+FROM v_ai_full ai JOIN v_modules_raw r ON ai.raw_module_id = r.id
+     JOIN v_modules_full m ON r.mhb_id = m.mhb_id AND r.module_code = m.module_code
+     JOIN v_mhbs h ON m.mhb_id = h.id"""),
     "v_ai": (
         "SELECT *, CASE WHEN contents_txt IS NULL THEN NULL WHEN contents_txt = '' THEN CAST(array() AS array<string>)"
         " ELSE split(contents_txt, ', ') END AS contents FROM v_ai_base",
@@ -287,8 +320,7 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise ValueError(f"unknown table {name}")
-        rows = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-        return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
+        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")

@@ -32,7 +32,8 @@ def fill_nulls(value: Column, dtype: T.DataType, mark: str) -> Column:
     """Turn every leaf into text and every NULL leaf into ``mark``, at any depth."""
     if isinstance(dtype, T.ArrayType):
         items = F.transform(value, lambda item: fill_nulls(item, dtype.elementType, mark))
-        return F.coalesce(items, F.array(F.lit(mark))) if _is_leaf(dtype.elementType) else items
+        missing = F.lit(mark) if _is_leaf(dtype.elementType) else fill_nulls(F.lit(None).cast(dtype.elementType), dtype.elementType, mark)
+        return F.coalesce(items, F.array(missing))
     if isinstance(dtype, T.MapType):
         return F.transform_values(value, lambda _, item: fill_nulls(item, dtype.valueType, mark))
     if isinstance(dtype, T.StructType):
@@ -57,15 +58,23 @@ def fill_none(df: DataFrame, mark: str = "-") -> DataFrame:
 
 
 def snake_case(name: str, attribute_prefixes: str = "@_") -> str:
-    """Field name without attribute prefix, words separated by underscores."""
-    bare = name.lstrip(attribute_prefixes) or name
-    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=.)(?=[A-Z][a-z])", "_", bare)
-    return re.sub(r"__+", "_", words).lower()
+    """Field name without one attribute prefix, words separated by underscores; underscores of the name stay."""
+    bare = name[1:] if len(name) > 1 and name[0] in attribute_prefixes else name
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[^_])(?=[A-Z][a-z])", "_", bare).lower()
+
+
+def _snake_names(names: list[str]) -> list[str]:
+    found = [snake_case(n) for n in names]
+    clashing = sorted({n for n in found if found.count(n) > 1})
+    if clashing:
+        raise ValueError(f"fields fall on one name: {', '.join(clashing)}")
+    return found
 
 
 def snake_type(dtype: T.DataType) -> T.DataType:
     if isinstance(dtype, T.StructType):
-        return T.StructType([T.StructField(snake_case(f.name), snake_type(f.dataType), f.nullable) for f in dtype])
+        names = _snake_names(dtype.names)
+        return T.StructType([T.StructField(n, snake_type(f.dataType), f.nullable) for n, f in zip(names, dtype)])
     if isinstance(dtype, T.ArrayType):
         return T.ArrayType(snake_type(dtype.elementType), dtype.containsNull)
     if isinstance(dtype, T.MapType):
@@ -75,7 +84,8 @@ def snake_type(dtype: T.DataType) -> T.DataType:
 
 def snake_fields(df: DataFrame) -> DataFrame:
     """Rename all fields, nested ones included, to snake case; a cast, so no data moves."""
-    return df.select(*[F.col(f"`{f.name}`").cast(snake_type(f.dataType)).alias(snake_case(f.name)) for f in df.schema])
+    names = _snake_names(df.columns)
+    return df.select(*[F.col(f"`{f.name}`").cast(snake_type(f.dataType)).alias(n) for n, f in zip(names, df.schema)])
 
 
 def labelled_map(pairs: Column) -> Column:

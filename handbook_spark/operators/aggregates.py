@@ -10,8 +10,6 @@ from handbook_spark.functions.dates import semester_label
 from handbook_spark.functions.text import decode_escapes, subject
 from handbook_spark.operators.numbering import block_of, number_rows_per_key
 
-RECORD_SIZE = 10_000
-
 
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
@@ -55,11 +53,11 @@ def distinct_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return (df.select(*columns) if columns else df).distinct()
 
 
-def roll_up(modules: DataFrame, attributes: Sequence[str], record_size: int = RECORD_SIZE) -> DataFrame:
+def roll_up(modules: DataFrame, attributes: Sequence[str], record_size: int) -> DataFrame:
     """Handbook records with ordered modules and the list of their codes.
 
-    A record covers at most ``record_size`` positions; longer handbooks continue in further
-    records (``part``), so no record grows without bound.
+    A record is one part of a handbook: it covers ``record_size`` positions, and its number (``part``) belongs to
+    its key. No record grows without bound, and the shape of the result is the same at every size.
     """
     entry = F.struct("pos", "module_code", *attributes)
     return (

@@ -150,7 +150,7 @@ def search_predicate(filters: Mapping[str, str | None]) -> Column:
         raise ValueError(f"not allowed as filter: {', '.join(unknown)}")
     present = {k: v for k, v in filters.items() if v is not None and v.strip() != ""}
     if not any(k in SEARCH_FILTERS for k in present):
-        raise ValueError("no search parameters provided")
+        raise ValueError("every filter is blank: name at least one")
     operators = {COMPARISON_KEYS[k]: v for k, v in present.items() if k in COMPARISON_KEYS}
     wrong = [v for v in operators.values() if v not in COMPARISONS]
     if wrong:

@@ -7,16 +7,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from handbook_spark.functions.dates import semester_label
+from handbook_spark.functions.scoring import agreement, confidence
 from handbook_spark.functions.urls import last_segment
 from handbook_spark.operators.aggregates import smallest_handbook
 from handbook_spark.operators.numbering import first_per_key
 from handbook_spark.operators.sequences import pages_text
-from handbook_spark.session import materialize
 
 NOT_GIVEN = "k.A."
 GRAM = 3
 TEXT_GRAM = 6
-PAIR_LIMIT = 1_000_000
+# Fixed fields of a model extraction and of a regex extraction.
+AI_FIELDS = (
+    "module_code", "title", "ects", "lecturer", "contents", "goals", "requirements", "expense", "success_requirements",
+    "exams", "module_parts",
+)
+MODULE_FIELDS = ("title", "ects", "content", "goals", "pages")
 
 
 def join_extractions(ai: DataFrame, raw: DataFrame, modules: DataFrame, handbooks: DataFrame) -> DataFrame:
@@ -32,17 +38,12 @@ def join_extractions(ai: DataFrame, raw: DataFrame, modules: DataFrame, handbook
         .join(h, F.col("m.mhb_id") == F.col("h.id"))
         .select(
             "ai.raw_module_id",
-            F.col("ai.module_code").alias("ai_module_code"),
-            F.col("ai.title").alias("ai_title"),
-            F.col("ai.ects").alias("ai_ects"),
-            F.col("ai.lecturer").alias("ai_lecturer"),
-            F.col("ai.contents").alias("ai_contents"),
+            *[F.col(f"ai.{name}").alias(f"ai_{name}") for name in AI_FIELDS],
             "ai.weekly_hours",
             "ai.recommended_semester",
             F.col("m.id").alias("module_id"),
             F.col("m.module_code").alias("module_code"),
-            F.col("m.title").alias("module_title"),
-            F.col("m.ects").alias("module_ects"),
+            *[F.col(f"m.{name}").alias(f"module_{name}") for name in MODULE_FIELDS],
             F.col("m.mhb_id").alias("mhb_id"),
             F.col("r.content").alias("raw_content"),
             F.col("h.version").alias("version"),
@@ -50,6 +51,42 @@ def join_extractions(ai: DataFrame, raw: DataFrame, modules: DataFrame, handbook
     )
 
 
+def with_agreements(joined: DataFrame) -> DataFrame:
+    """Search rows with the agreement of code, credits and title."""
+    return joined.withColumns({
+        "correct_module_code": agreement(F.col("ai_module_code"), F.col("module_code")),
+        "correct_ects": agreement(F.col("ai_ects"), F.col("module_ects")),
+        "correct_title": agreement(F.col("ai_title"), F.col("module_title")),
+    })
+
+
+def merged_modules(scored: DataFrame) -> DataFrame:
+    """Both sources of a search row as one module: the regex value first, the model's where it is missing.
+
+    The semester is given by its label; ``confidence_score`` is the mean of the agreements.
+    """
+    scores = [F.col(c) for c in ("correct_module_code", "correct_ects", "correct_title")]
+    return scored.select(
+        "raw_module_id",
+        F.coalesce("module_code", "ai_module_code").alias("module_code"),
+        F.coalesce("module_title", "ai_title").alias("title"),
+        F.coalesce("module_ects", "ai_ects").alias("ects"),
+        F.col("ai_lecturer").alias("lecturer"),
+        F.col("module_content").alias("complete_content"),
+        F.col("ai_contents").alias("contents"),
+        F.col("module_goals").alias("complete_goals"),
+        *[F.col(f"ai_{name}").alias(name) for name in ("goals", "requirements", "expense", "success_requirements")],
+        "weekly_hours",
+        "recommended_semester",
+        F.col("ai_exams").alias("exams"),
+        F.col("ai_module_parts").alias("module_parts"),
+        F.col("module_pages").alias("pages"),
+        F.when(F.col("version").isNotNull(), semester_label(F.col("version"))).alias("version"),
+        *scores,
+        F.round(confidence(*scores), 6).alias("confidence_score"),
+    )
+
+
 def handbook_universities(handbooks: DataFrame, universities: DataFrame) -> DataFrame:
     """Handbooks with the name and city of their university."""
     dimension = universities.select(
@@ -74,31 +111,32 @@ def content_matches(texts: DataFrame, text: str, stored: DataFrame) -> tuple[Dat
 def handbook_overlap(modules: DataFrame, handbook_ids: Sequence[int]) -> DataFrame:
     """Modules of the first handbook whose code occurs in all others, pages left out.
 
-    Attributes and order (``pos``) come from the first handbook.
+    Attributes and order (``pos``) come from the first handbook. One scan of the chosen handbooks: the codes
+    that all of them have are counted, and the first one's rows are kept by them.
     """
-    first, *others = handbook_ids
-    overlap = modules.filter(F.col("mhb_id") == first)
-    for other in others:
-        codes = modules.filter(F.col("mhb_id") == other).select("module_code")
-        overlap = overlap.join(codes, "module_code", "left_semi")
-    return overlap.drop("pages")
+    ids = list(dict.fromkeys(handbook_ids))
+    chosen = modules.filter(F.col("mhb_id").isin(*ids))
+    return chosen.filter(F.col("mhb_id") == ids[0]).join(shared_codes(chosen, ids), "module_code", "left_semi").drop("pages")
 
 
-def two_way_overlap(modules: DataFrame, left_id: int, right_id: int, attributes: Sequence[str]) -> DataFrame:
-    """Codes in both handbooks with the left handbook's attributes, ``k.A.`` where missing.
+def common_modules(modules: DataFrame, handbook_ids: Sequence[int], attributes: Sequence[str]) -> DataFrame:
+    """Codes in all of the handbooks with the first one's attributes, ``k.A.`` where missing.
 
-    Rows come in the order of the handbook with fewer modules.
+    Rows come in the order of the handbook with the fewest modules (the smaller id among equals). A code counts
+    once per handbook; where a handbook has it several times its first row with a title is taken.
     """
-    left = modules.filter(F.col("mhb_id") == left_id)
-    right = modules.filter(F.col("mhb_id") == right_id)
-    codes = left.select("module_code").intersect(right.select("module_code"))
-    details = left.filter(F.col("title").isNotNull()).drop("pos", "mhb_id")
-    order = modules.join(smallest_handbook(modules, [left_id, right_id]).select("mhb_id"), "mhb_id").select("module_code", "pos")
-    return (
-        codes.join(details, "module_code", "left")
-        .join(order, "module_code")
-        .orderBy("pos")
-        .select("module_code", *[F.coalesce(F.col(a).cast("string"), F.lit(NOT_GIVEN)).alias(a) for a in attributes])
+    ids = list(dict.fromkeys(handbook_ids))
+    chosen = modules.filter(F.col("mhb_id").isin(*ids))
+    smallest = smallest_handbook(chosen).select("mhb_id").scalar()
+    titled = F.when((F.col("mhb_id") == ids[0]) & F.col("title").isNotNull(), F.struct("pos", *attributes))
+    codes = (
+        chosen.groupBy("module_code")
+        .agg(F.count_distinct("mhb_id").alias("_n"), F.min(titled).alias("_details"),
+             F.min(F.when(F.col("mhb_id") == smallest, F.col("pos"))).alias("pos"))
+        .filter(F.col("_n") == len(ids))
+    )
+    return codes.orderBy("pos").select(
+        "module_code", *[F.coalesce(F.col("_details")[a].cast("string"), F.lit(NOT_GIVEN)).alias(a) for a in attributes]
     )
 
 
@@ -192,57 +230,44 @@ def _fits() -> Column:
     return F.coalesce(tokens, F.lit(True)) & F.coalesce(number, F.lit(True))
 
 
-def provenance_claims(ai: DataFrame, raw: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def provenance_claims(ai: DataFrame, raw: DataFrame) -> DataFrame:
     """Fitting texts of every distinct claim (code, lecturer, credits) of the model rows.
 
     A text fits when it has the same code and contains every lecturer token and the credit number,
     a missing value always fitting. The test depends only on claim and text, so it runs once per
     distinct pair of them: copies on either side are counted in ``copies`` and never paired.
 
-    Codes with more than ``pair_limit`` pairs of claim and text are not paired off: there each claim
-    is looked up by the rarest gram of its longest required text, and only the texts having that
-    gram are tested. A claim without requirements is one row per code and fits every text.
+    Each claim is looked up by the rarest gram of its longest required text, and only the texts that have
+    that gram are tested. A claim without requirements is one row per code and fits every text.
     """
     texts = raw.groupBy("module_code", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("raw_id"))
     claims = ai.filter(F.col("module_code").isNotNull()).select("module_code", "lecturer", "ects").distinct()
     names = ["module_code", "lecturer", "ects", "raw_id", "copies"]
-    hot = materialize(
-        ai.groupBy("module_code").agg(F.count(F.lit(1)).alias("_a"))
-        .join(raw.groupBy("module_code").agg(F.count(F.lit(1)).alias("_r")), "module_code")
-        .filter(F.col("_a") * F.col("_r") > pair_limit)
-        .select("module_code")
-    )
-    if hot.isEmpty():
-        return claims.join(texts, "module_code").filter(_fits()).select(*names)
-    direct = claims.join(hot, "module_code", "left_anti").join(texts, "module_code").filter(_fits()).select(*names)
-    hot_texts = texts.join(hot, "module_code", "left_semi")
     required = F.filter(
         F.concat(F.coalesce(F.split("lecturer", ", "), F.array()), F.array(F.col("ects").cast("string"))),
         lambda r: r != "",
     )
     longest = F.element_at(F.array_sort(F.transform(required, lambda r: F.struct(F.length(r).alias("n"), r.alias("text")))), -1)
-    hot_claims = claims.join(hot, "module_code", "left_semi").withColumn(
-        "probe", F.when(F.size(required) > 0, longest["text"])
-    )
-    unconditional = hot_claims.filter(F.col("probe").isNull()).join(hot_texts, "module_code").select(*names)
-    probes = hot_claims.filter(F.col("probe").isNotNull())
+    probed = claims.withColumn("probe", F.when(F.size(required) > 0, longest["text"]))
+    unconditional = probed.filter(F.col("probe").isNull()).join(texts, "module_code").select(*names)
+    probes = probed.filter(F.col("probe").isNotNull())
     candidates = containment_candidates(
-        probes.select("module_code", "probe").distinct(), hot_texts, ["module_code"], "probe", "raw_id", "content", TEXT_GRAM
+        probes.select("module_code", "probe").distinct(), texts, ["module_code"], "probe", "raw_id", "content", TEXT_GRAM
     )
     indexed = (
-        candidates.join(hot_texts, ["module_code", "raw_id"])
+        candidates.join(texts, ["module_code", "raw_id"])
         .filter(F.contains(F.col("content"), F.col("probe")))
         .join(probes, ["module_code", "probe"])
         .filter(_fits())
         .select(*names)
     )
-    return direct.unionByName(unconditional).unionByName(indexed)
+    return unconditional.unionByName(indexed)
 
 
-def provenance(ai: DataFrame, raw: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def provenance(ai: DataFrame, raw: DataFrame) -> DataFrame:
     """Number and smallest id of the raw texts each model row can stem from."""
     matches = (
-        provenance_claims(ai, raw, pair_limit)
+        provenance_claims(ai, raw)
         .groupBy("module_code", "lecturer", "ects")
         .agg(F.sum("copies").alias("n_matches"), F.min("raw_id").alias("first_raw_id"))
     )

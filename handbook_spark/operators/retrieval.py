@@ -10,14 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from handbook_spark.functions.text import words
-from handbook_spark.functions.vectors import cosine, dot, literal_vector, norm
+from handbook_spark.functions.vectors import cosine, literal_vector
 
 # Fixed parameters of the keyword ranking and of the rank fusion.
 BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_FLOOR = 0.25
 FUSION_OFFSET = 60
-MAX_QUERIES = 256
+# Blocks of a query table and cells of the vectors that meet them.
+GRID = 16
 
 
 def unit(values: Sequence[float]) -> list[float]:
@@ -35,15 +36,14 @@ def cosine_to(vector: Column, query: Sequence[float]) -> Column:
 
     @F.pandas_udf("double")
     def score(vectors: pd.Series) -> pd.Series:
-        fits = vectors.map(lambda v: v is not None and len(v) == len(direction)).to_numpy(dtype=bool)
-        scores = np.full(len(vectors), np.nan)
-        if fits.any():
-            matrix = np.stack(vectors[fits].to_list()).astype(np.float64)
-            lengths = np.sqrt((matrix * matrix).sum(axis=1))
-            scores[fits] = np.divide(matrix @ direction, lengths, out=np.full(len(lengths), np.nan), where=lengths > 0)
-        return pd.Series(scores)
+        matrix = np.stack(vectors.to_list()).astype(np.float64) if len(vectors) else np.zeros((0, len(direction)))
+        lengths = np.sqrt((matrix * matrix).sum(axis=1))
+        return pd.Series(np.divide(matrix @ direction, lengths, out=np.full(len(lengths), np.nan), where=lengths > 0))
 
-    return F.nullif(score(vector), F.lit(float("nan")))
+    # Only vectors of the right length get to Python; the others are replaced by one that scores NULL.
+    fits = F.coalesce(F.size(vector) == len(direction), F.lit(False))
+    whole = F.when(fits, vector).otherwise(F.array_repeat(F.lit(0.0), len(direction)).cast("array<float>"))
+    return F.nullif(score(whole), F.lit(float("nan")))
 
 
 def with_cosine(df: DataFrame, vector: str, query: Sequence[float], name: str = "score") -> DataFrame:
@@ -60,20 +60,22 @@ def nearest(df: DataFrame, vector: str, key: str, query: Sequence[float], k: int
     return top_k(with_cosine(df, vector, query), "score", key, k)
 
 
-def cosine_to_queries(df: DataFrame, vector: str, key: str, queries: Sequence[Sequence[float]]) -> DataFrame:
-    """Similarity matrix of the vectors against a caller-given list of vectors, one row per cell."""
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors per call")
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("query_no"), dot(F.col(vector), literal_vector(unit(q))).alias("product"))
-            for i, q in enumerate(queries)
-        ]
+def cosine_to_queries(df: DataFrame, vector: str, key: str, queries: DataFrame) -> DataFrame:
+    """Similarity matrix of the vectors against a table of queries (``query_no``, ``query``), one row per cell.
+
+    Queries fall into blocks and vectors into cells; every vector meets every block and every query every
+    cell, as equi joins of ``GRID`` x ``GRID`` keys. A small query table is broadcast by its measured size.
+    """
+    left = df.select(
+        key, F.col(vector).alias("_vector"), F.pmod(F.xxhash64(key), F.lit(GRID)).alias("_cell"),
+        F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)).cast("array<bigint>")).alias("_block"),
     )
-    return (
-        df.withColumn("_norm", norm(F.col(vector)))
-        .select(key, "_norm", F.inline(cells))
-        .select(key, "query_no", F.try_divide(F.col("product"), F.col("_norm")).alias("score"))
+    right = queries.select(
+        "query_no", F.col("query").alias("_query"), F.pmod(F.xxhash64("query_no"), F.lit(GRID)).alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)).cast("array<bigint>")).alias("_cell"),
+    )
+    return left.join(right, ["_cell", "_block"]).select(
+        key, "query_no", cosine(F.col("_vector"), F.col("_query")).alias("score")
     )
 
 
@@ -163,11 +165,30 @@ def hit_text(rank: Column, title: Column, content: Column, metadata: Column) ->
     )
 
 
-def cluster(df: DataFrame, vector: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """K-means cluster of every vector."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def cluster(df: DataFrame, vector: str, key: str, k: int = 3, rounds: int = 5) -> DataFrame:
+    """K-means cluster of every vector after a fixed number of rounds.
+
+    The first centres are the vectors of the k smallest keys; a vector belongs to the nearest centre, to the
+    smaller number among equally near ones, and a cluster without vectors keeps its centre. Centres are k
+    rows; sums are partial aggregates.
+    """
+    rows = df.select(key, F.col(vector).cast("array<double>").alias("_v"))
+    centres = [list(r["_v"]) for r in rows.orderBy(key).limit(k).collect()]
+    width = len(centres[0]) if centres else 0
+
+    def assigned() -> DataFrame:
+        distances = [
+            F.struct(F.aggregate(F.zip_with("_v", literal_vector(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+                     .alias("distance"), F.lit(i).alias("cluster"))
+            for i, c in enumerate(centres)
+        ]
+        nearest_one = F.array_min(F.array(*distances)) if distances else F.struct(F.lit(0.0), F.lit(None).cast("int").alias("cluster"))
+        return rows.withColumn("cluster", nearest_one["cluster"])
+
+    for _ in range(rounds if centres else 0):
+        means = assigned().groupBy("cluster").agg(F.array(*[F.avg(F.get("_v", F.lit(i))) for i in range(width)]).alias("mean"))
+        for row in means.collect():
+            centres[row["cluster"]] = list(row["mean"])
+    return assigned().select(key, "cluster")
+
 
-    features = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(features)
-    return model.transform(features).drop("_features")

@@ -92,10 +92,15 @@ def update_from(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def delete(table: DataFrame, conditions: Mapping[str, Any] | Column | str) -> tuple[DataFrame, DataFrame]:
     """(Rows kept, rows removed); a row that is NULL in a tested column is kept."""
-    hit = _condition(conditions)
+    hit = to_delete(conditions)
     return table.filter(~hit), table.filter(hit)
 
 
+def to_delete(conditions: Mapping[str, Any] | Column | str) -> Column:
+    """Whether a row goes, for one pass over a table that is to give both parts."""
+    return _condition(conditions)
+
+
 def get_or_create(
     dimension: DataFrame, facts: DataFrame, key: Sequence[str], attributes: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from handbook_spark.corpus import Corpus
 from handbook_spark.functions.dates import study_semesters
 from handbook_spark.operators import aggregates, joins, quality
-from handbook_spark.plans.registry import query
+from handbook_spark.plans.registry import PART_POSITIONS, query
 
 
 @query("d1_row_count", "SELECT count(*) AS n FROM lineitem")
@@ -60,7 +60,7 @@ SELECT mhb_id, CAST(pos // 10000 AS BIGINT) AS part, count(*) AS n_modules, stri
        string_agg(title, '|' ORDER BY pos) AS titles
 FROM v_modules GROUP BY mhb_id, pos // 10000""")
 def d7(c: Corpus) -> DataFrame:
-    return aggregates.roll_up(c.view("v_modules"), ["title", "ects"]).select(
+    return aggregates.roll_up(c.view("v_modules"), ["title", "ects"], PART_POSITIONS).select(
         "mhb_id", "part", F.size("modules").cast("long").alias("n_modules"),
         F.array_join("module_codes", ",").alias("module_codes"), F.array_join("modules.title", "|").alias("titles"),
     )

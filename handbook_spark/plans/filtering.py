@@ -85,17 +85,17 @@ def b8(c: Corpus) -> DataFrame:
 
 
 @query("b9_json_text_and_lecturer", """
-SELECT raw_module_id FROM v_ai WHERE CAST(to_json(contents) AS VARCHAR) ILIKE '%hebamme 2%' AND lecturer ILIKE '%PROF. 1%'""")
+SELECT raw_module_id FROM v_search_full WHERE coalesce(module_code, ai_module_code) IS NOT NULL
+  AND CAST(to_json(ai_requirements) AS VARCHAR) ILIKE '%modul 2%' AND ai_lecturer ILIKE '%PROF. 1%'""")
 def b9(c: Corpus) -> DataFrame:
-    rows = c.view("v_ai").withColumnRenamed("contents", "ai_requirements").withColumnRenamed("lecturer", "ai_lecturer")
-    return rows.filter(
-        filters.search_predicate({"requirements": "hebamme 2", "lecturer": "PROF. 1"})
+    return filters.search_modules(
+        c.view("v_search_full"), {"requirements": "modul 2", "lecturer": "PROF. 1"}
     ).select("raw_module_id")
 
 
-@query("b10_semester_filter", _SEARCH + "version = 20201")
+@query("b10_semester_filter", _SEARCH + "version = 20200")
 def b10(c: Corpus) -> DataFrame:
-    return _search(c, version="WS 2020/2021")
+    return _search(c, version="SS 2020")
 
 
 @query("b11_subject_prefix", _SEARCH + """
@@ -114,10 +114,8 @@ def b12(c: Corpus) -> DataFrame:
 @query("b13_work_queue", """
 SELECT id, web_url, CASE WHEN version IS NULL THEN 'open' ELSE 'done' END AS state FROM v_mhbs""")
 def b13(c: Corpus) -> DataFrame:
-    handbooks = c.view("v_mhbs")
-    waiting = handbooks.filter(F.col("version").isNull()).withColumn("state", F.lit("open"))
-    finished = handbooks.filter(F.col("version").isNotNull()).withColumn("state", F.lit("done"))
-    return waiting.unionByName(finished).select("id", "web_url", "state")
+    state = F.when(F.col("version").isNull(), F.lit("open")).otherwise(F.lit("done"))
+    return c.view("v_mhbs").select("id", "web_url", state.alias("state"))
 
 
 @query("b14_keyword_filter", """

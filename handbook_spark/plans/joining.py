@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from handbook_spark.corpus import Corpus
-from handbook_spark.functions import scoring
 from handbook_spark.operators import joins
 from handbook_spark.operators.filters import search_modules
 from handbook_spark.plans.registry import query
 
 
 def joined_extractions(c: Corpus) -> DataFrame:
-    return joins.join_extractions(c.view("v_ai"), c.view("v_modules_raw"), c.view("v_modules"), c.view("v_mhbs"))
+    return joins.join_extractions(c.view("v_ai_full"), c.view("v_modules_raw"), c.view("v_modules_full"), c.view("v_mhbs"))
 
 
 @query("c1_extraction_join", """
@@ -25,26 +24,9 @@ def c1(c: Corpus) -> DataFrame:
 
 
 def module_search(c: Corpus, **filters: str) -> DataFrame:
-    """Flagship search: join, score, filter, merge both sources, most trusted first."""
-    rows = joined_extractions(c)
-    scores = {
-        "correct_module_code": scoring.agreement(F.col("ai_module_code"), F.col("module_code")),
-        "correct_ects": scoring.agreement(F.col("ai_ects"), F.col("module_ects")),
-        "correct_title": scoring.agreement(F.col("ai_title"), F.col("module_title")),
-    }
-    return (
-        search_modules(rows, filters)
-        .withColumns(scores)
-        .select(
-            "raw_module_id",
-            F.coalesce("module_code", "ai_module_code").alias("module_code"),
-            F.coalesce("module_title", "ai_title").alias("title"),
-            F.coalesce("module_ects", "ai_ects").alias("ects"),
-            *scores,
-            F.round(scoring.confidence(*[F.col(s) for s in scores]), 6).alias("confidence_score"),
-        )
-        .orderBy(F.col("confidence_score").desc(), "raw_module_id")
-    )
+    """Flagship search: join, filter, score, merge both sources, most trusted first."""
+    found = joins.with_agreements(search_modules(joined_extractions(c), filters))
+    return joins.merged_modules(found).orderBy(F.col("confidence_score").desc(), "raw_module_id")
 
 
 @query("c1_module_search", """
@@ -56,7 +38,71 @@ FROM v_search
 WHERE (module_title ILIKE '%gizmo%' OR ai_title ILIKE '%gizmo%')
   AND (module_ects >= 20 OR (module_ects IS NULL AND ai_ects >= 20))""")
 def c1_search(c: Corpus) -> DataFrame:
-    return module_search(c, title="gizmo", ects="20", ects_type=">=")
+    return module_search(c, title="gizmo", ects="20", ects_type=">=").select(
+        "raw_module_id", "module_code", "title", "ects", "correct_module_code", "correct_ects", "correct_title", "confidence_score"
+    )
+
+
+_RECORD = """
+SELECT raw_module_id, coalesce(module_code, ai_module_code) AS module_code, coalesce(module_title, ai_title) AS title,
+  coalesce(module_ects, ai_ects) AS ects, ai_lecturer AS lecturer, module_content AS complete_content,
+  array_to_string(ai_contents, '; ') AS contents, module_goals AS complete_goals, array_to_string(ai_goals, '; ') AS goals,
+  array_to_string(ai_requirements, '; ') AS requirements, array_to_string(ai_expense, '; ') AS expense,
+  array_to_string(ai_success_requirements, '; ') AS success_requirements, weekly_hours, recommended_semester,
+  array_to_string(ai_exams, '; ') AS exams, array_to_string(ai_module_parts, '; ') AS module_parts,
+  CAST(module_pages[1] AS VARCHAR) || '; ' || CAST(module_pages[2] AS VARCHAR) AS pages,
+  CASE WHEN version IS NULL THEN NULL WHEN version % 10 = 1 THEN 'Wintersemester ' || CAST(version // 10 AS VARCHAR) || '/' || CAST(version // 10 + 1 AS VARCHAR)
+       ELSE 'Sommersemester ' || CAST(version // 10 AS VARCHAR) END AS version,
+  CAST(correct_module_code AS DOUBLE) AS correct_module_code, CAST(correct_ects AS DOUBLE) AS correct_ects,
+  CAST(correct_title AS DOUBLE) AS correct_title,
+  round(CAST(correct_module_code + correct_ects + correct_title AS DOUBLE) / 3, 6) AS confidence_score
+FROM v_search_full"""
+
+
+def _joined_lists(rows: DataFrame) -> DataFrame:
+    """Lists as texts, for comparison."""
+    lists = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    return rows.withColumns({name: F.array_join(name, "; ") for name in lists})
+
+
+@query("c1_full_record", f"""{_RECORD}
+WHERE coalesce(module_code, ai_module_code) IS NOT NULL AND CAST(to_json(ai_requirements) AS VARCHAR) ILIKE '%modul 3%' AND ai_lecturer ILIKE '%prof. 1%'""")
+def c1_record(c: Corpus) -> DataFrame:
+    return _joined_lists(module_search(c, requirements="modul 3", lecturer="Prof. 1"))
+
+
+# Each filter of the search alone: its value and the condition that it stands for.
+_FILTERS: dict[str, tuple[dict[str, str], str]] = {
+    "module_code": ({"module_code": "eco-0000"}, "coalesce(module_code, ai_module_code) ILIKE '%eco-0000%'"),
+    "title": ({"title": "bolt"}, "(module_title ILIKE '%bolt%' OR ai_title ILIKE '%bolt%')"),
+    "ects": ({"ects": "12", "ects_type": "<="}, "coalesce(module_ects, ai_ects) <= 12"),
+    "lecturer": ({"lecturer": "prof. 11"}, "ai_lecturer ILIKE '%prof. 11%'"),
+    "requirements": ({"requirements": "modul 2"}, "CAST(to_json(ai_requirements) AS VARCHAR) ILIKE '%modul 2%'"),
+    "success_requirements": (
+        {"success_requirements": "Bestanden 1"}, "CAST(to_json(ai_success_requirements) AS VARCHAR) ILIKE '%bestanden 1%'"),
+    "weekly_hours": ({"weekly_hours": "4"}, "weekly_hours = 4"),
+    "recommended_semester": ({"recommended_semester": "6", "recommended_semester_type": ">="}, "recommended_semester >= 6"),
+    "exams": ({"exams": "klausur 2"}, "CAST(to_json(ai_exams) AS VARCHAR) ILIKE '%klausur 2%'"),
+    "version": ({"version": "SS 2020"}, "version = 20200"),
+    "subject": ({"subject": "sma"}, "coalesce(module_code, ai_module_code) ILIKE 'sma-%'"),
+}
+
+
+def _filter_query(name: str, wanted: dict[str, str], condition: str) -> None:
+    @query(f"b12_filter_{name}", f"""
+SELECT raw_module_id, coalesce(module_code, ai_module_code) AS module_code, round(CAST(correct_module_code + correct_ects + correct_title AS DOUBLE) / 3, 6) AS confidence_score
+FROM v_search_full WHERE coalesce(module_code, ai_module_code) IS NOT NULL AND {condition}""")
+    def search(c: Corpus) -> DataFrame:
+        return module_search(c, **wanted).select("raw_module_id", "module_code", "confidence_score")
+
+
+for _name, (_wanted, _condition) in _FILTERS.items():
+    _filter_query(_name, _wanted, _condition)
+
+
+@query("i43_full_merge", _RECORD)
+def i43_full(c: Corpus) -> DataFrame:
+    return _joined_lists(joins.merged_modules(c.view("v_search_full")))
 
 
 @query("c2_handbook_universities", """
@@ -77,8 +123,8 @@ def c3(c: Corpus) -> DataFrame:
     return joins.not_yet_in(c.view("v_modules_raw"), known, ["id"]).select("id", "module_code")
 
 
-# Links already stored: those of the pages that are linked to from another page.
-_KNOWN_PAGES = "SELECT url FROM pages WHERE page_id IN (SELECT dst FROM v_links)"
+# Links already stored: those of the pages that every third page links to.
+_KNOWN_PAGES = "SELECT url FROM pages WHERE page_id IN (SELECT dst FROM v_links WHERE src % 3 = 0)"
 
 
 @query("c4_new_links", f"""
@@ -88,17 +134,18 @@ def c4(c: Corpus) -> DataFrame:
     return joins.not_yet_in(c.table("pages").select("url").distinct(), known, ["url"])
 
 
-_STORED = "SELECT doc_id, md5(text) AS content_md5 FROM documents WHERE lang <> 'de'"
+# Stored and uploaded texts are two halves of the table; copies lie in both.
+_STORED = "SELECT doc_id, md5(text) AS content_md5 FROM documents WHERE doc_id % 2 = 0"
 
 
 @query("c5_content_hash_lookup", f"""
-WITH stored AS ({_STORED}), uploaded AS (SELECT DISTINCT md5(text) AS content_md5 FROM documents WHERE n_chars > 500)
+WITH stored AS ({_STORED}), uploaded AS (SELECT DISTINCT md5(text) AS content_md5 FROM documents WHERE doc_id % 4 <> 2)
 SELECT 'found' AS state, content_md5, doc_id FROM stored WHERE content_md5 IN (SELECT content_md5 FROM uploaded)
 UNION ALL
 SELECT 'missing', content_md5, NULL FROM uploaded WHERE content_md5 NOT IN (SELECT content_md5 FROM stored)""")
 def c5(c: Corpus) -> DataFrame:
     found, missing = joins.content_matches(
-        c.table("documents").filter(F.col("n_chars") > 500), "text", c.sql(_STORED)
+        c.table("documents").filter(F.col("doc_id") % 4 != 2), "text", c.sql(_STORED)
     )
     return found.select(F.lit("found").alias("state"), "content_md5", "doc_id").unionByName(
         missing.select(F.lit("missing").alias("state"), "content_md5", F.lit(None).cast("long").alias("doc_id"))
@@ -117,7 +164,15 @@ def c6(c: Corpus) -> DataFrame:
 SELECT l.module_code, coalesce(l.title, 'k.A.') AS title, coalesce(CAST(l.ects AS VARCHAR), 'k.A.') AS ects
 FROM v_modules l WHERE l.mhb_id = 4 AND l.module_code IN (SELECT module_code FROM v_modules WHERE mhb_id = 5)""")
 def c7(c: Corpus) -> DataFrame:
-    return joins.two_way_overlap(c.view("v_modules"), 4, 5, ["title", "ects"])
+    return joins.common_modules(c.view("v_modules"), [4, 5], ["title", "ects"])
+
+
+@query("c7_n_way_overlap", """
+WITH codes AS (SELECT module_code FROM v_modules WHERE mhb_id IN (1, 2, 3) GROUP BY module_code HAVING count(DISTINCT mhb_id) = 3)
+SELECT l.module_code, coalesce(l.title, 'k.A.') AS title, coalesce(CAST(l.ects AS VARCHAR), 'k.A.') AS ects
+FROM v_modules l WHERE l.mhb_id = 1 AND l.module_code IN (SELECT module_code FROM codes)""")
+def c7_many(c: Corpus) -> DataFrame:
+    return joins.common_modules(c.view("v_modules"), [1, 2, 3], ["title", "ects"])
 
 
 @query("c6_same_handbook_pages", """

@@ -70,10 +70,8 @@ def h4(c: Corpus) -> DataFrame:
 @query("h5_delete_where", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'removed' ELSE 'kept' END AS outcome FROM orders""")
 def h5(c: Corpus) -> DataFrame:
-    kept, removed = tables.delete(c.table("orders"), {"o_orderstatus": "F", "o_orderpriority": "5-LOW"})
-    return kept.select("o_orderkey", F.lit("kept").alias("outcome")).unionByName(
-        removed.select("o_orderkey", F.lit("removed").alias("outcome"))
-    )
+    goes = tables.to_delete({"o_orderstatus": "F", "o_orderpriority": "5-LOW"})
+    return c.table("orders").select("o_orderkey", F.when(goes, F.lit("removed")).otherwise(F.lit("kept")).alias("outcome"))
 
 
 _DIMENSION = "SELECT min(id) AS id, name, city FROM v_unis_db GROUP BY name, city"

@@ -115,8 +115,9 @@ SELECT vec_id, query_no, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE
 FROM embeddings e, (SELECT 0 AS query_no, {_QUERY_VECTOR} AS v UNION ALL
   SELECT 1, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id DESC LIMIT 1)) q""")
 def i34_matrix(c: Corpus) -> DataFrame:
-    last = list(c.table("embeddings").orderBy(F.col("vec_id").desc()).first()["embedding"])
-    cells = retrieval.cosine_to_queries(c.table("embeddings"), "embedding", "vec_id", [example_vector(c), last])
+    ends = [c.table("embeddings").orderBy(order).limit(1).select(F.lit(n).alias("query_no"), F.col("embedding").alias("query"))
+            for n, order in enumerate((F.col("vec_id"), F.col("vec_id").desc()))]
+    cells = retrieval.cosine_to_queries(c.table("embeddings"), "embedding", "vec_id", ends[0].unionByName(ends[1]))
     return cells.withColumn("score", F.round("score", 6))
 
 
@@ -149,9 +150,21 @@ def i35(c: Corpus) -> DataFrame:
     return pairs.select("left_id", "right_id", F.round(adjusted, 6).alias("adjusted"))
 
 
-@query("i36_k_means")
+def _k_means_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment and mean, written one after the other."""
+    parts = [f"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS cluster, v FROM e ORDER BY vec_id LIMIT {k})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS (SELECT vec_id, v, cluster FROM (SELECT e.vec_id, e.v, c.cluster, row_number() OVER (
+  PARTITION BY e.vec_id ORDER BY list_distance(e.v, c.v), c.cluster) AS nth FROM e, c{n} c) WHERE nth = 1)""")
+        parts.append(f"""c{n + 1} AS (SELECT cluster, list(m ORDER BY i) AS v FROM (SELECT cluster, i, avg(x) AS m FROM (
+  SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY cluster, i) GROUP BY cluster)""")
+    return f"WITH {', '.join(parts)} SELECT vec_id, cluster FROM a{rounds}"
+
+
+@query("i36_k_means", _k_means_sql(3, 5))
 def i36(c: Corpus) -> DataFrame:
-    return retrieval.cluster(c.table("embeddings"), "embedding", 3).select("vec_id", "cluster")
+    return retrieval.cluster(c.table("embeddings"), "embedding", "vec_id", 3, 5)
 
 
 @query("i37_token_count", r"""

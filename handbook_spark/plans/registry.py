@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from handbook_spark.corpus import Corpus, with_views
 
+# Positions of one part of a handbook record.
+PART_POSITIONS = 10_000
+
 _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
 

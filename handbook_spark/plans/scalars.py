@@ -8,7 +8,7 @@ from handbook_spark.corpus import Corpus
 from handbook_spark.functions import dates, nested, scoring, text, urls
 from handbook_spark.operators import aggregates, retrieval, sequences
 from handbook_spark.plans.ranking import _COSINE, example_vector
-from handbook_spark.plans.registry import query
+from handbook_spark.plans.registry import PART_POSITIONS, query
 from handbook_spark.plans.sequencing import section_sql
 from handbook_spark.sources import readers
 
@@ -454,7 +454,7 @@ def i41(c: Corpus) -> DataFrame:
 
 @query("i42_flatten_handbooks", "SELECT mhb_id, pos, module_code, title, ects FROM v_modules")
 def i42(c: Corpus) -> DataFrame:
-    handbooks = aggregates.roll_up(c.view("v_modules"), ["title", "ects"])
+    handbooks = aggregates.roll_up(c.view("v_modules"), ["title", "ects"], PART_POSITIONS)
     return handbooks.select("mhb_id", F.inline("modules"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from handbook_spark.corpus import Corpus
 from handbook_spark.functions.nested import snake_fields
 from handbook_spark.operators import aggregates
-from handbook_spark.plans.registry import query
+from handbook_spark.plans.registry import PART_POSITIONS, query
 from handbook_spark.schemas import HANDBOOK_DOCUMENT
 from handbook_spark.session import scratch_path
 from handbook_spark.sources import readers
@@ -66,7 +66,7 @@ def a4(c: Corpus) -> DataFrame:
 
 @query("a5_json_documents", "SELECT title AS name, module_code, module_title, ects FROM (SELECT h.title, m.module_code, m.title AS module_title, m.ects FROM v_modules m JOIN v_mhbs h ON h.id = m.mhb_id)")
 def a5(c: Corpus) -> DataFrame:
-    records = aggregates.roll_up(c.view("v_modules"), ["title", "ects"])
+    records = aggregates.roll_up(c.view("v_modules"), ["title", "ects"], PART_POSITIONS)
     names = c.view("v_mhbs").select(F.col("id").alias("mhb_id"), F.col("title").alias("name"))
     folder = scratch_path(c.spark)
     records.join(names, "mhb_id").select("name", "modules").write.json(folder)

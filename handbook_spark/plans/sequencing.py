@@ -44,19 +44,20 @@ def e3(c: Corpus) -> DataFrame:
 
 
 _SOURCE_LINES = """
-SELECT source, md5(line) AS line_md5, doc_id * 100000 + line_no AS pos FROM (
+SELECT source, md5(line) AS line_md5, doc_id, line_no FROM (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
          unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no FROM documents)"""
 
 
 @query("e4_first_occurrences", f"""
-SELECT source, line_md5, min(pos) AS pos FROM ({_SOURCE_LINES}) GROUP BY source, line_md5""")
+SELECT source, line_md5, doc_id, CAST(line_no AS BIGINT) AS line_no FROM (SELECT *, row_number() OVER (
+  PARTITION BY source, line_md5 ORDER BY doc_id, line_no) AS nth FROM ({_SOURCE_LINES})) WHERE nth = 1""")
 def e4(c: Corpus) -> DataFrame:
     lines = c.table("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     placed = lines.select(
-        "source", F.md5("line").alias("line_md5"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("pos")
+        "source", F.md5("line").alias("line_md5"), F.struct("doc_id", F.col("line_no").cast("long").alias("line_no")).alias("pos")
     )
-    return sequences.first_occurrences(placed, ["source"], "line_md5", "pos")
+    return sequences.first_occurrences(placed, ["source"], "line_md5", "pos").select("source", "line_md5", "pos.*")
 
 
 @query("e5_module_segments", r"""

@@ -57,12 +57,3 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Bring a scan with fewer partitions than cores to all cores; a larger input stays in place.
-
-    Meant before costly text work on a table stored in few row groups. Such a table is smaller
-    than cores x ``spark.sql.files.maxPartitionBytes``; ``key`` should be unique.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

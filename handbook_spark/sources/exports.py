@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from handbook_spark.operators.tables import insert_new
+from handbook_spark.session import materialize
 
 FILE_TYPES = ("json", "csv", "txt", "md", "html")
 DELIMITERS = (";", "\t", ",")
@@ -50,7 +51,7 @@ def _stack(*parts: DataFrame) -> DataFrame:
 def json_lines(modules: DataFrame, columns: Sequence[str], ordered: bool = True, module_code_key: bool = False) -> DataFrame:
     """``{"name": …, "modules": […]}``, or modules keyed by their code."""
     if ordered and module_code_key:
-        raise ValueError("ordered and module_code_key are mutually exclusive")
+        raise ValueError("modules keyed by their code have no order: choose one of the two")
     first = modules.groupBy("mhb_id").agg(F.min("pos").alias("_first"))
     entry = F.to_json(F.struct(*[c for c in columns if not (module_code_key and c == "module_code")]),
                       {"ignoreNullFields": "false"})
@@ -187,8 +188,9 @@ def append_raw_modules(path: str, rows: DataFrame, key: Sequence[str], order: Se
     """Append rows with new keys to a parquet table; returns counts of given, inserted and skipped rows."""
     spark = rows.sparkSession
     stored = spark.read.parquet(path)
-    before = stored.count()
-    insert_new(stored, rows, key, order).select(*stored.columns).write.mode("append").parquet(path)
+    # The new rows are fixed first, so what is counted is what is written, whoever else writes to the table.
+    new = materialize(insert_new(stored, rows, key, order).select(*stored.columns))
+    new.write.mode("append").parquet(path)
     given = rows.agg(F.count(F.lit(1)).alias("given"))
-    after = spark.read.parquet(path).agg((F.count(F.lit(1)) - F.lit(before)).alias("inserted"))
-    return given.select("given", after.scalar().alias("inserted")).withColumn("skipped", F.col("given") - F.col("inserted"))
+    inserted = new.agg(F.count(F.lit(1)).alias("inserted"))
+    return given.select("given", inserted.scalar().alias("inserted")).withColumn("skipped", F.col("given") - F.col("inserted"))

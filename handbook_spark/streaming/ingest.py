@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,8 +20,8 @@ def append_batch(table_path: str, batch: DataFrame) -> None:
     rows = with_content_hash(batch, "content")
     try:
         stored = batch.sparkSession.read.parquet(table_path)
-    except Exception as error:  # the first batch creates the table
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # the first batch creates the table
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = batch.sparkSession.createDataFrame([], rows.schema)
     insert_new(stored, rows, KEY, [F.col("mhb_id")]).write.mode("append").parquet(table_path)

@@ -101,9 +101,8 @@ def test_provenance_of_hot_codes_equals_pairing(spark):
     for i, code, lecturer, ects in ai:
         ids = [r for r, c, t in raw if c == code and (lecturer is None or all(x in t for x in lecturer.split(", "))) and (ects is None or str(ects) in t)]
         wanted.append((i, len(ids), min(ids, default=None)))
-    for limit in (0, 2000, 10**9):
-        got = rows(joins.provenance(left, right, pair_limit=limit), "raw_module_id", "n_matches", "first_raw_id")
-        assert got == sorted(wanted, key=repr)
+    got = rows(joins.provenance(left, right), "raw_module_id", "n_matches", "first_raw_id")
+    assert got == sorted(wanted, key=repr)
 
 
 def test_overlaps(spark):
@@ -111,11 +110,11 @@ def test_overlaps(spark):
     df = spark.createDataFrame(data, "mhb_id int, pos int, module_code string, title string, ects int, pages array<int>")
     overlap = joins.handbook_overlap(df, [1, 2]).orderBy("pos")
     assert [(r.module_code, r.title) for r in overlap.collect()] == [("B", "b"), ("A", "a")] and "pages" not in overlap.columns
-    assert rows(joins.two_way_overlap(df, 3, 2, ["title", "ects"]), "module_code", "title", "ects") == [("A", "k.A.", "k.A.")]
+    assert rows(joins.common_modules(df, [3, 2], ["title", "ects"]), "module_code", "title", "ects") == [("A", "k.A.", "k.A.")]
     assert rows(joins.shared_codes(df, [1, 2, 3]), "module_code") == [("A",)]
     assert aggregates.transferable_credits(joins.handbook_overlap(df, [1, 2])).first().credits == 5
     assert aggregates.smallest_handbook(df).first().mhb_id == 3
-    ordered = joins.two_way_overlap(df, 1, 2, ["title"]).collect()
+    ordered = joins.common_modules(df, [1, 2], ["title"]).collect()
     assert [(r.module_code, r.title) for r in ordered] == [("A", "a"), ("B", "b")]  # order of the smaller handbook
     same = joins.compare_handbooks(df, [1, 1]).collect()
     assert [(r.module_code, r.pages) for r in same] == [("D", "0"), ("C", "1"), ("B", "2"), ("A", "3")]
@@ -183,8 +182,9 @@ def test_nearest_handles_odd_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [-1.0, 0.0])], "id int, v array<float>")
     got = [(r.id, None if r.score is None else round(r.score, 4)) for r in retrieval.nearest(df, "v", "id", [2.0, 0.0], 3).collect()]
     assert got == [(1, 1.0), (2, 0.7071), (6, -1.0)]
-    with pytest.raises(ValueError):
-        retrieval.cosine_to_queries(df, "v", "id", [[1.0]] * 300)
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "query_no int, query array<float>")
+    cells = retrieval.cosine_to_queries(df.filter("id IN (1, 2, 6)"), "v", "id", queries).collect()
+    assert len({(r.id, r.query_no) for r in cells}) == len(cells) == 900
 
 
 def test_rank_fusion(spark):
@@ -196,8 +196,8 @@ def test_rank_fusion(spark):
 
 def test_clusters(spark):
     points = [(i, [float(10 * (i % 3)) + 0.01 * i, 0.0]) for i in range(30)]
-    got = retrieval.cluster(spark.createDataFrame(points, "id int, v array<float>"), "v").collect()
-    assert len({(r.id % 3, r.cluster) for r in got}) == 3
+    got = retrieval.cluster(spark.createDataFrame(points, "id int, v array<float>"), "v", "id").collect()
+    assert {(r.id % 3, r.cluster) for r in got} == {(0, 0), (1, 1), (2, 2)}
 
 
 def test_search_in_graph(spark):
