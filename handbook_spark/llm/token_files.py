@@ -36,11 +36,13 @@ END_ID = 2
 #: Ids of a block; it ends with the document that reaches this number.
 BLOCK_IDS = 1 << 20
 #: A pair is replaced if it occurs so often in a block; a round that saves less than this part ends the grammar.
-MIN_COUNT, MIN_SAVING, MAX_ROUNDS = 8, 0.02, 10
+MIN_COUNT, MIN_SAVING, MAX_ROUNDS = 8, 0.02, 8
 HEADER = struct.Struct("<4sIQQQQQ")
 MAGIC = b"RPG1"
 #: Different chunks whose ids a task remembers.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 1_000_000
+#: Text bytes that are encoded at once; large steps look a frequent word up less often.
+ENCODE_BYTES = 8 << 20
 #: Most range borders that one aggregate looks up.
 _ACCURACY = 100_000
 
@@ -52,8 +54,8 @@ class LibraryEncoder(ChunkMemo):
     ASCII letter. Each different chunk goes through the library once per memo.
     """
 
-    def __init__(self, path: str):
-        super().__init__(MEMO_CHUNKS)
+    def __init__(self, path: str, memo: int = MEMO_CHUNKS):
+        super().__init__(memo)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -118,8 +120,8 @@ class LibraryEncoder(ChunkMemo):
 
 
 @functools.lru_cache(maxsize=2)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def library_encoder(path: str, memo: int = MEMO_CHUNKS) -> LibraryEncoder:
+    return LibraryEncoder(path, memo)
 
 
 def grammar(ids: np.ndarray, firsts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +135,7 @@ def grammar(ids: np.ndarray, firsts: np.ndarray, vocabulary: int) -> tuple[np.nd
     half, wide = (16, np.uint32) if small else (32, np.uint64)
     multiplier, width = (0x9E3779B1, 32) if small else (0x9E3779B97F4A7C15, 64)
     symbols = ids.astype(wide)
-    inner = np.ones(len(symbols), bool)  # may be the right side of a pair: not the first of a document
-    inner[firsts[:-1][firsts[:-1] < len(symbols)]] = False
+    begins = firsts.astype(np.int64)  # of documents among the symbols, and the end
     rules: list[np.ndarray] = []
     n_rules, limit = 0, (1 << half) - vocabulary
     for turn in range(MAX_ROUNDS):
@@ -144,12 +145,19 @@ def grammar(ids: np.ndarray, firsts: np.ndarray, vocabulary: int) -> tuple[np.nd
         bits = max(12, min(18, size.bit_length() - 1))
         keys = (symbols[:-1] << wide(half)) | symbols[1:]
         slots = (keys * wide(multiplier + 2 * turn)) >> wide(width - bits)
-        owner = np.zeros(1 << bits, wide)
-        owner[slots] = keys
-        owned = (owner[slots] == keys) & inner[1:]
-        counts = np.bincount(slots[owned], minlength=1 << bits)
         # The first rounds take only the most frequent pairs: what they make is what later ones build upon.
         least = max(MIN_COUNT, size >> (11 + 2 * turn))
+        # Places in slots with enough pairs of any kind; then the pairs of the one that owns the slot.
+        at = np.flatnonzero((np.bincount(slots, minlength=1 << bits) >= least)[slots])
+        edge = np.zeros(size + 1, bool)
+        edge[begins] = True
+        at = at[~edge[at + 1]]
+        keys, slots = keys[at], slots[at]
+        owner = np.zeros(1 << bits, wide)
+        owner[slots] = keys
+        owned = owner[slots] == keys
+        at, slots = at[owned], slots[owned]
+        counts = np.bincount(slots, minlength=1 << bits)
         chosen = np.flatnonzero(counts >= least)
         if not len(chosen) and least > MIN_COUNT:
             continue
@@ -158,18 +166,20 @@ def grammar(ids: np.ndarray, firsts: np.ndarray, vocabulary: int) -> tuple[np.nd
             break
         marked = np.zeros(1 << bits, bool)
         marked[chosen] = True
-        at = np.flatnonzero(owned & marked[slots])
+        kept = marked[slots]
+        at, slots = at[kept], slots[kept]
         # Of neighbouring places every second one, from the first on.
         new_run = np.ones(len(at), bool)
         new_run[1:] = at[1:] != at[:-1] + 1
         begin = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
+        kept = (np.arange(len(at)) - begin) & 1 == 0
+        at, slots = at[kept], slots[kept]
         # A rule that overlaps left once or never would cost more than it saves.
-        used = np.bincount(slots[at], minlength=1 << bits)
+        used = np.bincount(slots, minlength=1 << bits)
         chosen = chosen[used[chosen] >= 2]
         name = np.zeros(1 << bits, wide)
         name[chosen] = np.arange(vocabulary + n_rules, vocabulary + n_rules + len(chosen)).astype(wide)
-        made = name[slots[at]]
+        made = name[slots]
         at, made = at[made > 0], made[made > 0]
         pair = owner[chosen]
         rules.append(np.stack((pair >> wide(half), pair & wide((1 << half) - 1)), 1).astype(np.int64))
@@ -177,17 +187,11 @@ def grammar(ids: np.ndarray, firsts: np.ndarray, vocabulary: int) -> tuple[np.nd
         symbols[at] = made
         keep = np.ones(size, bool)
         keep[at + 1] = False
-        symbols, inner = symbols[keep], inner[keep]
+        symbols = symbols[keep]
+        begins = begins - np.searchsorted(at, begins - 1)
         if len(at) < MIN_SAVING * size and least == MIN_COUNT:
             break
-    begins = np.flatnonzero(~inner)
-    # Documents without ids begin where the next one does.
-    filled = np.diff(firsts) > 0
-    out = np.full(len(firsts), len(symbols), np.int64)
-    out[:-1][filled] = begins
-    for row in np.flatnonzero(~filled)[::-1]:
-        out[row] = out[row + 1]
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), symbols, out
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), symbols, begins
 
 
 def lengths_of(rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -305,7 +309,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: in
         narrow = encoder.vocabulary <= 65536
         limits = np.array(borders, np.float64 if any(isinstance(b, float) for b in borders) else np.int64)
         for batch in batches:
-            for rows in steps(batch):
+            for rows in steps(batch, limit=ENCODE_BYTES):
                 ids, counts = encoder.encode(rows.column("text"), end_id)
                 data = ids.astype("<u2" if narrow else "<u4")
                 ends = np.concatenate(([0], np.cumsum(counts))) * data.itemsize
