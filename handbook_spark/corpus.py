@@ -185,7 +185,7 @@ def _page_streams(lines: str, join: str) -> str:
         ]
     toc += [_shown("40", "140", f"'nur Text ' || {number}"), "'ET'", "'Q'", "''"]
     module = [
-        "'BT'", _shown("40", "20", f"'Modul ' || {code}"), _shown("40", "25", f"'Titel ' || {number} || ' Grund-'"),
+        "'BT'", "'/F3 10 Tf'", _shown("40", "20", f"'Modul ' || {code}"), _shown("40", "25", f"'Titel ' || {number} || ' Grund-'"),
         _shown("40", "28", "'lagen'"), "'/F2 9 Tf'",
         f"CASE WHEN page_no % 5 = 0 THEN 'n' ELSE {_shown('40', '30', 'CAST(page_no % 5 * 3 AS STRING) || ' + chr(39) + ' ECTS/LP' + chr(39))} END",
         _shown("40", "60", "'Inhalte:'"), _shown("60", "70.5", escaped), _shown("160", "70.5", f"'Teil ' || CAST(page_no % 2 AS STRING)"),

@@ -282,6 +282,29 @@ def provenance(ai: DataFrame, raw: DataFrame) -> DataFrame:
     )
 
 
+def registered_domains(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
+    """Distinct URLs with their registered ``domain``: the longest listed public suffix and one label before it.
+
+    ``suffixes`` has one ``suffix`` per row, such as ``uk`` or ``gov.uk``. A host without a listed suffix ends with
+    its last label; numeric hosts, hosts without a dot and hosts that are a suffix themselves give the URL.
+    """
+    host = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
+    hosts = urls.select(url).distinct().withColumn("_host", host).withColumn("_labels", F.split("_host", r"\."))
+    count = F.size("_labels")
+
+    def tail(n: Column) -> Column:
+        return F.array_join(F.slice("_labels", count - n + 1, n), ".")
+
+    named = F.contains(F.col("_host"), F.lit(".")) & ~F.col("_host").rlike(r"^[0-9.]+$")
+    tails = hosts.filter(named).select(
+        url, F.explode(F.transform(F.sequence(F.lit(1), count), lambda n: F.struct(n.alias("n"), tail(n).alias("suffix")))).alias("t")
+    ).select(url, "t.n", "t.suffix")
+    longest = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy(url).agg(F.max("n").alias("_n"))
+    size = F.coalesce("_n", F.lit(1)) + 1
+    domain = F.when(named & (count >= size), tail(size)).otherwise(F.col(url))
+    return hosts.join(longest, url, "left").select(url, domain.alias("domain"))
+
+
 def file_names(urls: DataFrame, lookup: DataFrame) -> DataFrame:
     """File name of every URL: looked up, else its last path segment; ``.pdf`` added when absent."""
     named = urls.join(lookup, "url", "left")

@@ -1,0 +1,116 @@
+"""The assembled record of a module: everything the pages of a handbook say about it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from handbook_spark.functions.nested import let
+from handbook_spark.functions.text import (
+    MODULE_CODE, PAGE_HEADER, SHOWN_TEXT, clean_title, credits, decode_escapes, extract_or_null, footer_number, join_title_lines,
+)
+from handbook_spark.operators.sequences import PART_LABELS, pages_text, section_text
+
+# Fixed marks of the page streams.
+HEADER_FONT = "/F3 10"
+TRANSLATION_FONT = "\n/F2 9 Tf"
+BOX_END = "\nET"
+GRAY, BLACK = r"^\d+(?:\.\d+)? g", r"^0 0 1 rg"
+TITLE_WINDOW = 700
+
+
+def after_header(stream: Column) -> Column:
+    """What follows the module header that is set in the title font; NULL when the page has none."""
+    return extract_or_null(stream, rf"(?s){HEADER_FONT}[^\n]*\n[^\n]*?Tm \[\(Modul {MODULE_CODE}(.*)$", 1)
+
+
+def _black_texts(block: Column) -> Column:
+    """Texts shown by the lines of a block, those in gray (alternatives) left out."""
+    lines = F.transform(
+        F.split(block, "\n"),
+        lambda line, i: F.struct(
+            F.when(i == 0, F.regexp_extract(line, r"^(.*?)\)\]", 1)).otherwise(F.regexp_extract(line, r"\[\((.*?)\)\]", 1)).alias("text"),
+            line.rlike(GRAY).alias("gray"), line.rlike(BLACK).alias("black"),
+        ),
+    )
+    start = F.struct(F.lit(False).alias("gray"), F.array().cast("array<string>").alias("texts"))
+
+    def step(state: Column, line: Column) -> Column:
+        gray = F.when(line["gray"], F.lit(True)).when(line["black"], F.lit(False)).otherwise(state["gray"])
+        texts = F.when(~gray & (line["text"] != ""), F.concat(state["texts"], F.array(line["text"]))).otherwise(state["texts"])
+        return F.struct(gray.alias("gray"), texts.alias("texts"))
+
+    return F.aggregate(lines, start, step, lambda state: state["texts"])
+
+
+def page_title(stream: Column) -> Column:
+    """Title behind the module header, NULL when the page has no header in the title font.
+
+    It ends where the translated title's font begins, else with the box; without either the text after the
+    colon is taken. Hyphenated lines are joined and credit notes removed.
+    """
+
+    def located(window: Column) -> Column:
+        block = F.when(F.contains(window, F.lit(TRANSLATION_FONT)), F.substring_index(window, TRANSLATION_FONT, 1)).when(
+            F.contains(window, F.lit(BOX_END)), F.substring_index(window, BOX_END, 1))
+        joined = let(block, lambda b: join_title_lines(_black_texts(b)))
+        plain = extract_or_null(window, r": ([^\]]+?)\)\] TJ", 1)
+        return clean_title(F.regexp_replace(F.coalesce(F.nullif(joined, F.lit("")), plain), r"^\s*:\s*", ""))
+
+    return let(F.substring(after_header(stream), 1, TITLE_WINDOW), located)
+
+
+def page_parts(stream: Column) -> Column:
+    """Parts of the module on a page: name, teaching form, language, weekly hours, first exam."""
+    block = extract_or_null(stream, r"(?s) Tm \[\(Modulteile\)\] TJ(.*?) Tm \[\(G\\374ltig ", 1)
+
+    def fields(part: Column) -> Column:
+        name = extract_or_null(part, SHOWN_TEXT, 1)
+        exam = F.regexp_extract(part, r"(?s) Tm \[\(Pr\\374fung\)\] TJ\n(.*?)\nQ\nQ\n", 1)
+        return F.struct(
+            decode_escapes(F.when(~name.startswith("Lehrformen:"), name)).alias("name"),
+            *[decode_escapes(extract_or_null(part, rf"(?s) Tm \[\({label}: \)\] TJ.*?{SHOWN_TEXT}", 1)).alias(column)
+              for column, label in PART_LABELS.items()],
+            decode_escapes(F.nullif(F.array_join(F.regexp_extract_all(exam, F.lit(SHOWN_TEXT), F.lit(1)), "\n"), F.lit(""))).alias("exam"),
+        )
+
+    pieces = F.split(block, r" Tm \[\(Modulteil:")
+    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: fields(F.substr(p, F.lit(3))))
+
+
+def module_records(streams: DataFrame) -> DataFrame:
+    """One row per handbook and module code: title, ects, content, goals, module_parts, module_exam, pages.
+
+    Title and credits come from the first page that has a title, parts from the first page with parts; content
+    and goals are the page texts in page order, equal ones once. One scan: each page is cut down to what
+    the record needs, and only these pieces are shuffled.
+    """
+    pieces = streams.filter(F.contains("stream", F.lit("Tm [(Modul "))).select(
+        "handbook_id",
+        F.struct(
+            extract_or_null(F.col("stream"), PAGE_HEADER, 1).alias("module_code"),
+            F.col("page_no"),
+            page_title(F.col("stream")).alias("title"),
+            credits(after_header(F.col("stream"))).alias("ects"),
+            decode_escapes(section_text(F.col("stream"), "Inhalte:")).alias("content"),
+            decode_escapes(section_text(F.col("stream"), "Lernziele/Kompetenzen:")).alias("goals"),
+            page_parts(F.col("stream")).alias("parts"),
+            footer_number(F.col("stream")).alias("page"),
+        ).alias("p"),
+    )
+    # Tested after the generator, so that the extraction runs once.
+    pages = pieces.select("handbook_id", F.inline(F.filter(F.array("p"), lambda p: p["module_code"].isNotNull())))
+    whole = pages.groupBy("handbook_id", "module_code").agg(
+        F.sort_array(F.collect_list(F.struct("page_no", "title", "ects", "content", "goals", "parts", "page"))).alias("pages"))
+    titled = F.get(F.filter("pages", lambda p: p["title"].isNotNull()), F.lit(0))
+    parts = F.get(F.filter("pages", lambda p: F.size(p["parts"]) > 0), F.lit(0))["parts"]
+
+    def once(field: str) -> Column:
+        texts = F.array_distinct(F.filter(F.transform("pages", lambda p: p[field]), lambda t: t.isNotNull()))
+        return F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
+
+    return whole.select(
+        "handbook_id", "module_code", titled["title"].alias("title"), titled["ects"].alias("ects"),
+        once("content").alias("content"), once("goals").alias("goals"), parts.alias("module_parts"),
+        F.array_join(F.filter(F.transform(parts, lambda p: p["exam"]), lambda e: e.isNotNull()), "\n").alias("module_exam"),
+        pages_text(F.filter(F.transform("pages", lambda p: p["page"]), lambda n: n.isNotNull())).alias("pages"),
+    )

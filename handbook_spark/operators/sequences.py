@@ -233,9 +233,9 @@ def page_sections(streams: DataFrame, heading: str) -> DataFrame:
 
 
 def module_sections(streams: DataFrame, heading: str) -> DataFrame:
-    """Section text of every module: page texts in page order, equal ones once, joined by newlines."""
+    """Section text of every module: page texts in page order, equal ones once, joined by newlines and decoded."""
     once = first_occurrences(page_sections(streams, heading), ["handbook_id", "module_code"], "text", "page_no")
-    return once.groupBy("handbook_id", "module_code").agg(_ordered_join(["page_no"], "text", "\n").alias("text"))
+    return once.groupBy("handbook_id", "module_code").agg(decode_escapes(_ordered_join(["page_no"], "text", "\n")).alias("text"))
 
 
 def module_pages(streams: DataFrame) -> DataFrame:

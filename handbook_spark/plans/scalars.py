@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from handbook_spark.corpus import Corpus
 from handbook_spark.functions import dates, nested, scoring, text, urls
-from handbook_spark.operators import aggregates, retrieval, sequences
+from handbook_spark.operators import aggregates, records, retrieval, sequences
+from handbook_spark.plans.dialect import duck_decode
 from handbook_spark.plans.ranking import _COSINE, example_vector
 from handbook_spark.plans.registry import PART_POSITIONS, query
 from handbook_spark.plans.sequencing import section_sql
@@ -15,15 +16,6 @@ from handbook_spark.sources import readers
 _SHOWN = r" Tm \[\(([^\n\r]*?)\)\] TJ"
 
 
-def duck_decode(value: str) -> str:
-    """DuckDB text of the escape decoding."""
-    octal = "TRY_CAST(substr(p, 1, 1) AS INT) * 64 + TRY_CAST(substr(p, 2, 1) AS INT) * 8 + TRY_CAST(substr(p, 3, 1) AS INT)"
-    return (
-        f"replace(array_to_string(list_transform(string_split(replace({value}, chr(92) || chr(92), chr(57344)), chr(92)),"
-        f" lambda p, i: CASE WHEN i > 1 AND regexp_matches(p, '^[0-3][0-7]{{2}}') THEN chr({octal}) || substr(p, 4) ELSE p END), ''), chr(57344), '')"
-    )
-
-
 @query("i1_module_code", r"""
 SELECT id, nullif(regexp_extract(content, '[A-ZÄÖÜ]{2,}-\d{3,}'), '') AS code,
        nullif(regexp_extract(lower(content), '[A-ZÄÖÜ]{2,}-\d{3,}'), '') AS no_code FROM v_modules_raw""")
@@ -468,3 +460,37 @@ def i43(c: Corpus) -> DataFrame:
         "raw_module_id", *[F.coalesce(a, b).alias(n) for (a, b), n in zip(pairs.items(), names)]
     )
 
+
+
+_JOINED_TITLE = (
+    r"array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = len(ls) THEN x"
+    r" WHEN x LIKE '%-' AND regexp_matches(ls[i + 1], '^\p{Ll}') THEN substr(x, 1, len(x) - 1) ELSE x || ' ' END), '')"
+)
+
+
+@query("i44_module_record", rf"""
+WITH marked AS (SELECT *, regexp_extract(stream, 'Tm \[\(Modul ([A-ZÄÖÜ]{{2,}}-\d{{3,}})', 1) AS module_code FROM v_page_streams),
+first_pages AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY handbook_id, module_code ORDER BY page_no) AS rn FROM marked WHERE module_code <> '') WHERE rn = 1),
+titles AS (SELECT handbook_id, page_no, module_code, {_JOINED_TITLE} AS title, ects FROM (SELECT handbook_id, page_no, module_code,
+  regexp_extract_all(regexp_extract(stream, '(?s)/F3 10 Tf\n[^\n]*Tm \[\(Modul [A-ZÄÖÜ]+-\d+(.*?)\n/F2 9 Tf', 1), '\[\(([^\n]*?)\)\] TJ', 1) AS ls,
+  TRY_CAST(regexp_extract(stream, ' Tm \[\((\d+) ECTS/LP\)\] TJ', 1) AS INT) AS ects FROM first_pages)),
+contents AS (SELECT handbook_id, module_code, string_agg(text, chr(10) ORDER BY page_no) AS text FROM (
+  SELECT handbook_id, module_code, text, min(page_no) AS page_no FROM ({section_sql('Inhalte:')}) GROUP BY ALL) GROUP BY handbook_id, module_code),
+goals AS (SELECT handbook_id, module_code, string_agg(text, chr(10) ORDER BY page_no) AS text FROM (
+  SELECT handbook_id, module_code, text, min(page_no) AS page_no FROM ({section_sql('Lernziele/Kompetenzen:')}) GROUP BY ALL) GROUP BY handbook_id, module_code),
+parts AS (SELECT handbook_id, page_no, count(*) AS n_parts, coalesce(string_agg(exam, chr(10) ORDER BY part_no), '') AS module_exam FROM ({_PART_ROWS}) GROUP BY handbook_id, page_no),
+printed AS (SELECT DISTINCT handbook_id, module_code, CAST(list_last(regexp_extract_all(stream, ' Tm \[\((\d+)\)\] TJ\nET\nQ\n', 1)) AS INT) AS page FROM marked WHERE module_code <> ''),
+islands AS (SELECT *, page - row_number() OVER (PARTITION BY handbook_id, module_code ORDER BY page) AS island FROM printed),
+ranges AS (SELECT handbook_id, module_code, min(page) AS lo, max(page) AS hi FROM islands GROUP BY handbook_id, module_code, island),
+page_lists AS (SELECT handbook_id, module_code, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE CAST(lo AS VARCHAR) || ' - ' || CAST(hi AS VARCHAR) END, ', ' ORDER BY lo) AS pages FROM ranges GROUP BY handbook_id, module_code)
+SELECT t.handbook_id, t.module_code, t.title, t.ects, {duck_decode('c.text')} AS content, {duck_decode('g.text')} AS goals,
+  p.n_parts, p.module_exam, l.pages
+FROM titles t JOIN page_lists l ON l.handbook_id = t.handbook_id AND l.module_code = t.module_code
+LEFT JOIN contents c ON c.handbook_id = t.handbook_id AND c.module_code = t.module_code
+LEFT JOIN goals g ON g.handbook_id = t.handbook_id AND g.module_code = t.module_code
+LEFT JOIN parts p ON p.handbook_id = t.handbook_id AND p.page_no = t.page_no""")
+def i44(c: Corpus) -> DataFrame:
+    return records.module_records(c.view("v_page_streams")).select(
+        "handbook_id", "module_code", "title", "ects", "content", "goals",
+        F.size("module_parts").cast("long").alias("n_parts"), "module_exam", "pages",
+    )

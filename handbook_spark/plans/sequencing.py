@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from handbook_spark.corpus import Corpus
 from handbook_spark.operators import sequences
+from handbook_spark.plans.dialect import duck_decode
 from handbook_spark.plans.registry import query
 
 MARKER = "\n| Modul"
@@ -113,7 +114,7 @@ FROM (SELECT handbook_id, page_no, module_code, regexp_extract_all(block, '{line
 @query("e8_module_sections", f"""
 WITH sections AS ({section_sql('Inhalte:')}),
 once AS (SELECT handbook_id, module_code, text, min(page_no) AS page_no FROM sections GROUP BY handbook_id, module_code, text)
-SELECT handbook_id, module_code, string_agg(text, chr(10) ORDER BY page_no) AS text FROM once GROUP BY handbook_id, module_code""")
+SELECT handbook_id, module_code, {duck_decode("string_agg(text, chr(10) ORDER BY page_no)")} AS text FROM once GROUP BY handbook_id, module_code""")
 def e8(c: Corpus) -> DataFrame:
     return sequences.module_sections(c.view("v_page_streams"), "Inhalte:")
 
