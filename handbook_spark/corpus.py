@@ -12,7 +12,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from handbook_spark.session import scratch_path
+from handbook_spark.session import input_state, scratch_path
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -272,8 +272,10 @@ VIEWS = (*PORTABLE_VIEWS, *DIALECT_VIEWS)
 
 # Views stored once per application and input folder: the module table is the base of the raw,
 # extraction and search views, and costs a shuffle of the largest input each time it is derived.
-STAGED_VIEWS = ("v_modules",)
-_stage_paths: dict[tuple[str, str, str], str] = {}
+# They are written in the order by which they are filtered, so that such filters skip row groups,
+# and belong to one state of the tables that they come from.
+STAGED_VIEWS = {"v_modules": (("mhb_id", "pos"), ("lineitem", "part"))}
+_stage_paths: dict[tuple, str] = {}
 
 
 def _names_in(sql: str) -> set[str]:
@@ -340,14 +342,16 @@ class Corpus:
 
     def _staged(self, name: str) -> DataFrame:
         """Stored rows of a view, written on first use."""
-        key = (self.spark.sparkContext.applicationId, self.path, name)
+        order, tables = STAGED_VIEWS[name]
+        state = tuple(input_state(self.spark, f"{self.path}/{t}.parquet") for t in tables)
+        key = (self.spark.sparkContext.applicationId, name, state)
         if key in _stage_paths:
             try:
                 return self.spark.read.parquet(_stage_paths[key])
             except AnalysisException:  # the scratch folder was cleared meanwhile
                 del _stage_paths[key]
         path = scratch_path(self.spark)
-        self._derived(name).write.parquet(path)
+        self._derived(name).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
         _stage_paths[key] = path
         return self.spark.read.parquet(path)
 

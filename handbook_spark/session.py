@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: tempfile.TemporaryDirectory | None = None
+_scopes: list[list[str]] = []
 
 
 def build_session(app_name: str = "handbook_spark", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,7 +50,36 @@ def scratch_path(spark: SparkSession) -> str:
         if _local_scratch is None:
             _local_scratch = tempfile.TemporaryDirectory(prefix="handbook_spark_")
         base = _local_scratch.name
-    return f"{base.rstrip('/')}/handbook_spark/{spark.conf.get('spark.app.id', 'app')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/handbook_spark/{spark.conf.get('spark.app.id', 'app')}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder from whatever store it lies in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made inside the block are removed at its end; read the results before."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            remove_folder(spark, path)
+
+
+def input_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and modification times of a table's files: changes whenever the table does."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def materialize(df: DataFrame) -> DataFrame:

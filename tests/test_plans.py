@@ -22,6 +22,18 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name, most", [
+    ("b13_work_queue", 1), ("h5_delete_where", 1), ("i44_module_record", 1), ("c6_handbook_overlap", 2), ("e8_module_sections", 1),
+])
+def test_tables_are_scanned_at_most(spark, name, most):
+    assert plan(spark, name).split("== Initial Plan ==")[0].count("FileScan parquet") <= most
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n[0] in "eij" and "sql" not in n])
+def test_texts_are_not_dealt_out_to_spread_them(spark, name):
+    assert "REPARTITION_BY_NUM" not in plan(spark, name)
+
+
 @pytest.mark.parametrize("name", ["e1_best_version", "h2_insert_on_conflict_skip", "c9_preferred_match"])
 def test_first_per_key_prunes_before_the_shuffle(spark, name):
     text = plan(spark, name)
