@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from handbook_spark.functions.text import words
 from handbook_spark.functions.vectors import cosine, literal_vector
+from handbook_spark.session import materialize
 
 # Fixed parameters of the keyword ranking and of the rank fusion.
 BM25_K1 = 1.5
@@ -96,11 +97,11 @@ def penalised(similarity: Column, left_text: Column, right_text: Column, term: s
     return F.when(only_left, similarity * factor).otherwise(similarity)
 
 
-def bm25(df: DataFrame, text: str, query: str, floor: float = BM25_FLOOR) -> DataFrame:
-    """Okapi BM25 score of every text for the words of a query.
+def bm25(df: DataFrame, key: str, text: str, query: str, floor: float = BM25_FLOOR) -> DataFrame:
+    """``key`` and Okapi BM25 score of every text for the words of a query.
 
-    One pass counts texts, words and, per query word, the texts that have it: a row of numbers
-    whose width is the length of the query. The score is then an expression over each text alone.
+    Texts are read once: their lengths and the query words' counts are stored as a narrow table, from which both the
+    statistics (a row of numbers whose width is the length of the query) and the scores come.
     Words found in more than half of the texts get ``floor`` times the mean weight of the
     vocabulary, which is counted only when such a word is asked for.
     """
@@ -111,7 +112,7 @@ def bm25(df: DataFrame, text: str, query: str, floor: float = BM25_FLOOR) -> Dat
     counted = df.withColumn("_tokens", tokens).withColumn("_length", F.size("_tokens"))
     for i, term in enumerate(distinct):
         counted = counted.withColumn(f"_tf{i}", F.col("_length") - F.size(F.array_remove("_tokens", term)))
-    counted = counted.drop("_tokens")
+    counted = materialize(counted.select(key, "_length", *[f"_tf{i}" for i in range(len(distinct))]))
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("_length").alias("mean"),
@@ -135,7 +136,7 @@ def bm25(df: DataFrame, text: str, query: str, floor: float = BM25_FLOOR) -> Dat
             score = score + F.lit(weights[i]) * tf * (BM25_K1 + 1) / (
                 tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_length") / F.lit(mean))
             )
-    return counted.withColumn("score", score).drop("_length", *[f"_tf{i}" for i in range(len(distinct))])
+    return counted.select(key, score.alias("score"))
 
 
 def rank_hits(hits: DataFrame, score: str, key: str) -> DataFrame:
@@ -157,6 +158,16 @@ def fuse_ranks(lists: Sequence[DataFrame], weights: Sequence[float], content: st
     return parts.groupBy(content).agg(F.sum("part").alias("fused_score"))
 
 
+def fuse_hits(lists: Sequence[DataFrame], weights: Sequence[float], texts: DataFrame, key: str, content: str) -> DataFrame:
+    """``fuse_ranks`` of ranked hit lists (``key``, ``rank``) whose contents are fetched once for all of them."""
+    parts = None
+    for number, (hits, weight) in enumerate(zip(lists, weights, strict=True)):
+        part = hits.select(key, (F.lit(weight) / (F.col("rank") + FUSION_OFFSET)).alias("part"), F.lit(number).alias("list"))
+        parts = part if parts is None else parts.unionByName(part)
+    found = texts.select(key, content).join(F.broadcast(parts), key)  # k rows per list
+    return found.groupBy(content).agg(F.sum("part").alias("fused_score"))
+
+
 def hit_text(rank: Column, title: Column, content: Column, metadata: Column) -> Column:
     """Numbered hit with its title, content and metadata map."""
     return F.concat(

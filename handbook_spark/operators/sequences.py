@@ -288,14 +288,12 @@ def module_parts(streams: DataFrame) -> DataFrame:
     )
 
 
-def pack_modules(df: DataFrame, key: str, items: Column, limit: int, separator: str = MODULE_BREAK) -> DataFrame:
-    """Pack the ordered module texts of each document into chunks below a token budget.
+def _chunk_starts(sizes: Column, limit: int) -> Column:
+    """Places (from 1) where a chunk begins.
 
     A module joins the open chunk while the sum stays strictly below ``limit``; otherwise it opens
-    the next chunk, so a module larger than the limit stands alone. The fold runs inside the row
-    over sizes only and keeps just the chunk starts; rows never meet.
+    the next chunk, so a module larger than the limit stands alone.
     """
-    sized = df.select(key, items.alias("_items")).withColumn("_sizes", F.transform("_items", token_count))
     start = F.struct(
         F.array(F.lit(1)).alias("starts"), F.lit(0).cast("long").alias("filled"), F.lit(0).alias("place")
     )
@@ -309,15 +307,51 @@ def pack_modules(df: DataFrame, key: str, items: Column, limit: int, separator:
             place.alias("place"),
         )
 
-    starts = F.array_distinct(F.aggregate("_sizes", start, step)["starts"])
-    cut = sized.withColumn("_starts", starts).select(
-        key, "_items", "_sizes", "_starts", F.posexplode("_starts").alias("chunk_no", "_from")
-    )
-    following = F.coalesce(F.get("_starts", F.col("chunk_no") + 1), F.size("_items") + 1)
-    length = following - F.col("_from")
-    members = F.slice("_items", F.col("_from"), length)
-    return cut.filter(F.size("_items") > 0).select(
-        key, "chunk_no", length.alias("n_modules"),
-        F.aggregate(F.slice("_sizes", F.col("_from"), length), F.lit(0), lambda a, s: a + s).alias("n_tokens"),
-        F.array_join(F.transform(members, strip_text), separator).alias("text"),
+    return F.array_distinct(F.aggregate(sizes, start, step)["starts"])
+
+
+def pack_modules(df: DataFrame, key: str, items: Column, limit: int, separator: str = MODULE_BREAK) -> DataFrame:
+    """Pack the ordered module texts of each document into chunks below a token budget.
+
+    Chunks are put together inside the row, where each item is sized once; rows never meet.
+    """
+
+    def chunks(texts: Column) -> Column:
+        def cut(sizes: Column) -> Column:
+            def one(starts: Column) -> Column:
+                def chunk(begin: Column, number: Column) -> Column:
+                    length = F.coalesce(F.get(starts, number + 1), F.size(texts) + 1) - begin
+                    members = F.slice(texts, begin, length)
+                    return F.struct(
+                        number.alias("chunk_no"), length.alias("n_modules"),
+                        F.aggregate(F.slice(sizes, begin, length), F.lit(0), lambda a, s: a + s).alias("n_tokens"),
+                        F.array_join(F.transform(members, strip_text), separator).alias("text"),
+                    )
+
+                return F.filter(F.transform(starts, chunk), lambda c: c["n_modules"] > 0)
+
+            return let(_chunk_starts(sizes, limit), one)
+
+        return let(F.transform(texts, token_count), cut)
+
+    # The outer generator keeps the optimizer from copying the fold into a filter of the scan.
+    return df.select(key, F.inline_outer(let(items, chunks))).filter(F.col("chunk_no").isNotNull())
+
+
+def pack_rows(rows: DataFrame, key: str, position: str, text: str, limit: int, separator: str = MODULE_BREAK) -> DataFrame:
+    """Pack modules that are rows of their own, in order of ``position``, into chunks below a token budget.
+
+    Only positions and sizes of a document are folded in one place; the texts are then joined per chunk, which
+    the limit bounds (a larger module is a chunk of its own).
+    """
+    sized = rows.select(key, position, text, token_count(F.col(text)).alias("_size"))
+    fold = sized.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(position, "_size"))).alias("_rows"))
+    starts = _chunk_starts(F.transform("_rows", lambda r: r["_size"]), limit)
+    fold = fold.withColumn("_starts", starts)
+    length = F.coalesce(F.get("_starts", F.col("chunk_no") + 1), F.size("_rows") + 1) - F.col("_from")
+    numbered = fold.select(key, "_rows", "_starts", F.posexplode("_starts").alias("chunk_no", "_from")).select(
+        key, "chunk_no", F.inline(F.slice("_rows", F.col("_from"), length))).drop("_size")
+    return sized.join(numbered, [key, position]).groupBy(key, "chunk_no").agg(
+        F.count(F.lit(1)).alias("n_modules"), F.sum("_size").alias("n_tokens"),
+        _ordered_join([position], text, separator).alias("text"),
     )

@@ -60,7 +60,7 @@ bm25 AS (SELECT doc_id, sum(w * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length
 @query("f5_bm25_top_k", f"""
 WITH {_BM25.strip()} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 9) DESC, doc_id LIMIT 10""")
 def f5(c: Corpus) -> DataFrame:
-    scored = retrieval.bm25(c.table("documents").select("doc_id", "text"), "text", KEYWORDS)
+    scored = retrieval.bm25(c.table("documents"), "doc_id", "text", KEYWORDS)
     rounded = scored.withColumn("score", F.round("score", 9))
     return retrieval.top_k(rounded, "score", "doc_id", 10).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -73,15 +73,14 @@ hits AS (SELECT doc_id, rank FROM dense WHERE rank <= 10 UNION ALL SELECT doc_id
 SELECT md5(d.text) AS content_md5, round(sum(0.5 / (h.rank + 60)), 9) AS fused_score
 FROM hits h JOIN documents d ON d.doc_id = h.doc_id GROUP BY d.text""")
 def f6(c: Corpus) -> DataFrame:
-    documents = c.table("documents").select("doc_id", "text")
+    documents = c.table("documents")
     dense = retrieval.nearest(c.table("embeddings"), "embedding", "vec_id", example_vector(c), 10)
-    scored = retrieval.bm25(documents, "text", KEYWORDS).withColumn("score", F.round("score", 9))
+    scored = retrieval.bm25(documents, "doc_id", "text", KEYWORDS).withColumn("score", F.round("score", 9))
     sparse = retrieval.top_k(scored, "score", "doc_id", 10)
     lists = []
     for hits, key in ((dense, "vec_id"), (sparse, "doc_id")):
-        ranked = retrieval.rank_hits(hits, "score", key).select(F.col(key).alias("doc_id"), "rank")
-        lists.append(documents.join(F.broadcast(ranked), "doc_id"))
-    fused = retrieval.fuse_ranks(lists, [0.5, 0.5], "text")
+        lists.append(retrieval.rank_hits(hits, "score", key).select(F.col(key).alias("doc_id"), "rank"))
+    fused = retrieval.fuse_hits(lists, [0.5, 0.5], documents, "doc_id", "text")
     return fused.select(F.md5("text").alias("content_md5"), F.round("fused_score", 9).alias("fused_score"))
 
 

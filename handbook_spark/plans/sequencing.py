@@ -135,3 +135,30 @@ FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.place = f.place GROUP BY f
 def e9(c: Corpus) -> DataFrame:
     packed = sequences.pack_modules(c.table("documents"), "doc_id", F.split("text", "\n"), PACK_LIMIT)
     return packed.select("doc_id", "chunk_no", "n_modules", "n_tokens", F.md5("text").alias("text_md5"))
+
+
+_SEGMENTS = r"""
+SELECT * FROM (SELECT handbook_id, CAST(segment AS BIGINT) AS segment,
+  string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY page_no) AS content
+  FROM (SELECT *, sum(CASE WHEN contains(substr(text, 1, 15), chr(10) || '| Modul') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY handbook_id ORDER BY page_no) AS segment FROM v_md_pages)
+  GROUP BY handbook_id, segment) WHERE regexp_replace(content, '^\s+|\s+$', '', 'g') <> ''"""
+
+
+@query("e9_packed_modules", rf"""
+WITH RECURSIVE segments AS ({_SEGMENTS}),
+sized AS (SELECT handbook_id, content, row_number() OVER (PARTITION BY handbook_id ORDER BY segment) AS place,
+  len(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+|\S')) AS size FROM segments),
+fold AS (
+  SELECT handbook_id, place, size AS filled, 0 AS chunk_no FROM sized WHERE place = 1
+  UNION ALL
+  SELECT s.handbook_id, s.place, CASE WHEN f.filled + s.size < {PACK_LIMIT} THEN f.filled + s.size ELSE s.size END,
+         CASE WHEN f.filled + s.size < {PACK_LIMIT} OR f.place = 0 THEN f.chunk_no ELSE f.chunk_no + 1 END
+  FROM fold f JOIN sized s ON s.handbook_id = f.handbook_id AND s.place = f.place + 1)
+SELECT f.handbook_id, f.chunk_no, count(*) AS n_modules, CAST(sum(s.size) AS BIGINT) AS n_tokens,
+  md5(string_agg(s.content, chr(10) || chr(10) || '--- NEUES MODUL ---' || chr(10) || chr(10) ORDER BY s.place)) AS text_md5
+FROM fold f JOIN sized s ON s.handbook_id = f.handbook_id AND s.place = f.place GROUP BY f.handbook_id, f.chunk_no""")
+def e9_packed(c: Corpus) -> DataFrame:
+    modules = sequences.segment_modules(c.view("v_md_pages"), MARKER)
+    packed = sequences.pack_rows(modules, "handbook_id", "segment", "content", PACK_LIMIT)
+    return packed.select("handbook_id", "chunk_no", "n_modules", "n_tokens", F.md5("text").alias("text_md5"))

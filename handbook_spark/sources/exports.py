@@ -9,7 +9,6 @@ whose concatenation is the document.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -25,7 +24,7 @@ def text_cells(modules: DataFrame, columns: Sequence[str]) -> DataFrame:
     """List cells joined by commas, other cells as they are."""
     types = {f.name: f.dataType for f in modules.schema}
     return modules.select(
-        "mhb_id", "pos",
+        "mhb_id", "name", "pos",
         *[
             F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ", ", "None").alias(f"c_{c}")
             if isinstance(types[c], T.ArrayType) else F.col(c).cast("string").alias(f"c_{c}")
@@ -34,36 +33,39 @@ def text_cells(modules: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _lines(rows: DataFrame, line: Column) -> DataFrame:
-    return rows.select("mhb_id", F.lit(1).alias("section"), "pos", line.alias("line"))
+def _document(rows: DataFrame, line: Column, opening: Column, closing: Column | None = None) -> DataFrame:
+    """Lines of every handbook: the opening, one line per module, the closing.
 
+    The first and the last module of a handbook (by ``pos``, unique in a handbook) bring the opening and the closing
+    along; their places come from a grouped minimum and maximum of ``pos`` alone.
+    """
+    bounds = rows.groupBy("mhb_id").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
 
-def _frame(modules: DataFrame, section: int, line: Column) -> DataFrame:
-    """One opening or closing line per handbook."""
-    names = modules.select("mhb_id", "name").distinct()
-    return names.select("mhb_id", F.lit(section).alias("section"), F.lit(0).cast("long").alias("pos"), line.alias("line"))
-
+    def entry(section: int, pos: Column, text: Column) -> Column:
+        return F.array(F.struct(F.lit(section).alias("section"), pos.cast("long").alias("pos"), text.alias("line")))
 
-def _stack(*parts: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    none = F.array().cast("array<struct<section: int, pos: bigint, line: string>>")
+    lines = F.concat(
+        F.when(F.col("pos") == F.col("_first"), entry(0, F.lit(0), opening)).otherwise(none),
+        entry(1, F.col("pos"), line),
+        F.when(F.col("pos") == F.col("_last"), entry(2, F.lit(0), closing)).otherwise(none) if closing is not None else none,
+    )
+    return rows.join(bounds, "mhb_id").select("mhb_id", F.inline(lines))
 
 
 def json_lines(modules: DataFrame, columns: Sequence[str], ordered: bool = True, module_code_key: bool = False) -> DataFrame:
     """``{"name": …, "modules": […]}``, or modules keyed by their code."""
     if ordered and module_code_key:
         raise ValueError("modules keyed by their code have no order: choose one of the two")
-    first = modules.groupBy("mhb_id").agg(F.min("pos").alias("_first"))
     entry = F.to_json(F.struct(*[c for c in columns if not (module_code_key and c == "module_code")]),
                       {"ignoreNullFields": "false"})
     if module_code_key:
         entry = F.concat(_json_text(F.col("module_code")), F.lit(": "), entry)
     comma = F.when(F.col("pos") > F.col("_first"), F.lit(", ")).otherwise(F.lit(""))
-    rows = modules.join(first, "mhb_id")
     opening, closing = ("{", "}") if module_code_key else ("[", "]")
-    return _stack(
-        _frame(modules, 0, F.concat(F.lit('{"name": '), _json_text(F.col("name")), F.lit(f', "modules": {opening}'))),
-        _lines(rows, F.concat(comma, entry)),
-        _frame(modules, 2, F.lit(closing + "}")),
+    return _document(
+        modules, F.concat(comma, entry),
+        F.concat(F.lit('{"name": '), _json_text(F.col("name")), F.lit(f', "modules": {opening}')), F.lit(closing + "}"),
     )
 
 
@@ -85,9 +87,9 @@ def csv_lines(modules: DataFrame, columns: Sequence[str], delimiter: str = ";",
     header = delimiter.join(columns)
     name = F.concat(F.col("name"), F.lit("\n")) if with_name else F.lit("")
     cells = text_cells(modules, columns)
-    return _stack(
-        _frame(modules, 0, F.concat(F.lit(BYTE_ORDER_MARK), name, F.lit(header))),
-        _lines(cells, F.concat_ws(delimiter, *[csv_cell(F.col(f"c_{c}"), delimiter) for c in columns])),
+    return _document(
+        cells, F.concat_ws(delimiter, *[csv_cell(F.col(f"c_{c}"), delimiter) for c in columns]),
+        F.concat(F.lit(BYTE_ORDER_MARK), name, F.lit(header)),
     )
 
 
@@ -99,9 +101,9 @@ def txt_lines(modules: DataFrame, columns: Sequence[str], delimiter: str = ";",
     """Optional name line, header line, one delimited line per module."""
     header = F.lit(delimiter.join(columns))
     cells = text_cells(modules, columns)
-    return _stack(
-        _frame(modules, 0, F.concat(F.col("name"), F.lit("\n"), header) if with_name else header),
-        _lines(cells, F.concat_ws(delimiter, *[_shown(F.col(f"c_{c}")) for c in columns])),
+    return _document(
+        cells, F.concat_ws(delimiter, *[_shown(F.col(f"c_{c}")) for c in columns]),
+        F.concat(F.col("name"), F.lit("\n"), header) if with_name else header,
     )
 
 
@@ -111,21 +113,19 @@ def _table_opening(columns: Sequence[str], borders: bool) -> str:
     return f"<table {border}>\n<thead>\n<tr>\n{heads}\n</tr>\n</thead>\n<tbody>"
 
 
-def _table_rows(modules: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _table(modules: DataFrame, columns: Sequence[str], opening: Column, closing: str) -> DataFrame:
     cells = text_cells(modules, columns)
     cell = [
         F.concat(F.lit("<td>"), F.replace(_shown(F.col(f"c_{c}")), F.lit("\n"), F.lit("<br>")), F.lit("</td>"))
         for c in columns
     ]
-    return _lines(cells, F.concat(F.lit("<tr>"), F.concat_ws("\n", *cell), F.lit("</tr>")))
+    return _document(cells, F.concat(F.lit("<tr>"), F.concat_ws("\n", *cell), F.lit("</tr>")), opening, F.lit(closing))
 
 
 def md_lines(modules: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Title line and an HTML table."""
     opening = F.concat(F.lit("# "), F.col("name"), F.lit("\n" + _table_opening(columns, False)))
-    return _stack(
-        _frame(modules, 0, opening), _table_rows(modules, columns), _frame(modules, 2, F.lit("</tbody>\n</table>"))
-    )
+    return _table(modules, columns, opening, "</tbody>\n</table>")
 
 
 def html_lines(modules: DataFrame, columns: Sequence[str], borders: bool = False) -> DataFrame:
@@ -134,10 +134,7 @@ def html_lines(modules: DataFrame, columns: Sequence[str], borders: bool = False
         F.lit("<!DOCTYPE html>\n<html>\n<head>\n<title>"), F.col("name"), F.lit("</title>\n</head>\n<body>\n<h1>"),
         F.col("name"), F.lit("</h1>\n" + _table_opening(columns, borders)),
     )
-    return _stack(
-        _frame(modules, 0, opening), _table_rows(modules, columns),
-        _frame(modules, 2, F.lit("</tbody>\n</table>\n</body></html>")),
-    )
+    return _table(modules, columns, opening, "</tbody>\n</table>\n</body></html>")
 
 
 def export_lines(

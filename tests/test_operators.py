@@ -174,7 +174,7 @@ def test_bm25_with_common_word(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["der", "der", "der", "karte", "stadt", "fluss", "berg"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = [r.score for r in retrieval.bm25(df, "t", "der karte karte fehlt").orderBy("id").collect()]
+    got = [r.score for r in retrieval.bm25(df, "id", "t", "der karte karte fehlt").orderBy("id").collect()]
     assert got == pytest.approx(okapi(texts, "der karte karte fehlt"), abs=1e-9)
 
 

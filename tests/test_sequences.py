@@ -135,3 +135,13 @@ def test_packing_matches_a_plain_loop(spark):
         chunks = [c for c in [*chunks, current] if c]
         mine = sorted((r.chunk_no, r.n_modules, r.n_tokens) for r in got if r.d == d)
         assert mine == [(i, len(c), sum(c)) for i, c in enumerate(chunks)]
+
+
+def test_rows_pack_like_the_items_of_a_document(spark):
+    rng = random.Random(12)
+    documents = [(d, [" ".join(["w"] * rng.randint(1, 30)) for _ in range(n)]) for d, n in ((1, 1), (2, 9000), (3, 40))]
+    items = spark.createDataFrame(documents, "d int, items array<string>")
+    rows = spark.createDataFrame([(d, i, t) for d, texts in documents for i, t in enumerate(texts)], "d int, pos int, t string").repartition(7)
+    fields = ("d", "chunk_no", "n_modules", "n_tokens", "text")
+    want = sorted(tuple(r[f] for f in fields) for r in sequences.pack_modules(items, "d", F.col("items"), 50).collect())
+    assert sorted(tuple(r[f] for f in fields) for r in sequences.pack_rows(rows, "d", "pos", "t", 50).collect()) == want
