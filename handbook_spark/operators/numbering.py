@@ -18,7 +18,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str, start: Column | int = 1) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: Sequence[str], name: str, start: Column | int = 1, keep_slice: bool = False
+) -> DataFrame:
     """Consecutive numbers in the order of ``order`` without a global window.
 
     Rows are range-partitioned (a hot key is cut at the following order columns), numbered inside
@@ -41,15 +43,20 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, start: Column |
         placed.withColumn("_slice", slice_id)
         .join(F.broadcast(offsets), "_slice")
         .withColumn(name, F.col("_before") + place + first)
-        .drop("_slice", "_before", "_id")
+        .drop("_before", "_id", *(() if keep_slice else ("_slice",)))
     )
 
 
 def number_rows_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Numbers from 1 inside every key: the global number minus the key's first one."""
-    numbered = number_rows(df, [*keys, *order], "_n")
-    starts = numbered.groupBy(*keys).agg(F.min("_n").alias("_start"))
-    return numbered.join(starts, list(keys)).withColumn(name, F.col("_n") - F.col("_start") + 1).drop("_n", "_start")
+    """Numbers from 1 inside every key: the global number minus the key's first one.
+
+    First numbers are joined by key and slice, so the rows of a hot key, which fill many slices, do not meet.
+    """
+    numbered = number_rows(df, [*keys, *order], "_n", keep_slice=True)
+    on = [*keys, "_slice"]
+    firsts = numbered.groupBy(*on).agg(F.min("_n").alias("_first"))  # one row per slice and key in it
+    starts = firsts.select(*on, F.min("_first").over(Window.partitionBy(*keys)).alias("_start"))
+    return numbered.join(starts, on).withColumn(name, F.col("_n") - F.col("_start") + 1).drop("_n", "_start", "_slice")
 
 
 def block_of(position: str, size: int = BLOCK) -> Column:

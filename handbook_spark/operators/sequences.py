@@ -36,12 +36,12 @@ def best_versions(scored: DataFrame, tie_breaker: str) -> DataFrame:
     return first_per_key(scored, ["module_code"], [*order, F.col(tie_breaker)])
 
 
-def module_texts(pages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Modules as runs of pages with the same header; a header coming back later is a new module.
+def module_text_pieces(pages: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Modules as runs of pages with the same header, in ordered pieces; a header coming back later is a new module.
 
     The header line and the two footer lines of every page are dropped. Columns ``handbook_id,
-    page_no, header, text``. Pages are put together inside their block of positions first, where
-    they already lie in one task, so only one piece per module and block is shuffled.
+    page_no, header, text``. Pages are put together inside their block of positions, where
+    they already lie in one task: a piece (``handbook_id, run, first_page, header, body``) holds at most ``block`` pages.
     """
     lines = F.split("text", "\n")
     body = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 3, F.lit(0))), "\n")
@@ -52,8 +52,13 @@ def module_texts(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     pieces = local.groupBy("handbook_id", "_block", "_local", "header").agg(
         F.min("page_no").alias("first_page"), _ordered_join(["page_no"], "body", "\n").alias("body")
     )
+    return with_offsets(pieces, offsets, ["handbook_id"], "run").drop("_block")
+
+
+def module_texts(pages: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pieces of each module put together to one text."""
     return (
-        with_offsets(pieces, offsets, ["handbook_id"], "run")
+        module_text_pieces(pages, block)
         .groupBy("handbook_id", "run", "header")
         .agg(F.min("first_page").alias("_first"), _ordered_join(["first_page"], "body", "\n").alias("_body"))
         .select(
@@ -120,26 +125,35 @@ def starts_module(text: Column, marker: str, window: int = 15) -> Column:
     return F.contains(F.substring(text, 1, window), F.lit(marker))
 
 
-def segment_modules(pages: DataFrame, marker: str, block: int = BLOCK) -> DataFrame:
-    """Pages collected to modules: a marked page opens one, other pages join the open one; blank ones drop."""
+def segment_pieces(pages: DataFrame, marker: str, block: int = BLOCK) -> DataFrame:
+    """Pages collected to modules, in ordered pieces: a marked page opens one, other pages join the open one.
+
+    A piece (``handbook_id, segment, first_page, n_pages, content``) holds at most ``block`` pages.
+    """
     opens = starts_module(F.col("text"), marker).cast("int")
     local, offsets = local_sums(pages, ["handbook_id"], ["page_no"], opens, block=block)
     pieces = (
         local.withColumn("_text", strip_text(F.col("text")))
         .groupBy("handbook_id", "_block", "_local")
         .agg(
-            F.min("page_no").alias("_first"), F.count(F.lit(1)).alias("_pages"),
-            _ordered_join(["page_no"], "_text", "\n\n").alias("_content"),
+            F.min("page_no").alias("first_page"), F.count(F.lit(1)).alias("n_pages"),
+            _ordered_join(["page_no"], "_text", "\n\n").alias("content"),
         )
     )
+    return with_offsets(pieces, offsets, ["handbook_id"], "segment").drop("_block")
+
+
+def segment_modules(pages: DataFrame, marker: str, block: int = BLOCK) -> DataFrame:
+    """The pieces of each module put together to one text; blank ones drop."""
     return (
-        with_offsets(pieces, offsets, ["handbook_id"], "segment")
+        segment_pieces(pages, marker, block)
         .groupBy("handbook_id", "segment")
         .agg(
-            F.min("_first").alias("first_page"), F.sum("_pages").alias("n_pages"),
-            _ordered_join(["_first"], "_content", "\n\n").alias("content"),
+            F.min("first_page").alias("_first"), F.sum("n_pages").alias("_pages"),
+            _ordered_join(["first_page"], "content", "\n\n").alias("content"),
         )
         .filter(strip_text(F.col("content")) != "")
+        .select("handbook_id", "segment", F.col("_first").alias("first_page"), F.col("_pages").alias("n_pages"), "content")
     )
 
 

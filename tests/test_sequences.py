@@ -145,3 +145,13 @@ def test_rows_pack_like_the_items_of_a_document(spark):
     fields = ("d", "chunk_no", "n_modules", "n_tokens", "text")
     want = sorted(tuple(r[f] for f in fields) for r in sequences.pack_modules(items, "d", F.col("items"), 50).collect())
     assert sorted(tuple(r[f] for f in fields) for r in sequences.pack_rows(rows, "d", "pos", "t", 50).collect()) == want
+
+
+def test_long_modules_come_in_pieces(spark):
+    pages = [(1, i, "A", f"Modul A\nz{i}\nStand\n{i}") for i in range(100)]
+    df = spark.createDataFrame(pages, "handbook_id int, page_no int, header string, text string").repartition(5)
+    pieces = sequences.module_text_pieces(df, block=8).orderBy("first_page").collect()
+    assert {r.run for r in pieces} == {1} and max(len(r.body.split("\n")) for r in pieces) <= 8
+    assert "\n".join(r.body for r in pieces) == "\n".join(f"z{i}" for i in range(100))
+    segments = sequences.segment_pieces(df, "|", block=8).collect()
+    assert max(r.n_pages for r in segments) <= 8 and sum(r.n_pages for r in segments) == 100 and {r.segment for r in segments} == {0}
