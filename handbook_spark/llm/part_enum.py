@@ -118,12 +118,14 @@ def _shared(elements: DataFrame) -> DataFrame:
         out, at = [], 0
         for key, places, rows in zip(keys, bucket["places"], bucket["rows"]):
             place = np.frombuffer(places.as_py(), np.uint16)
-            out.append(np.bincount(place[same[at : at + len(key)]], minlength=rows.as_py()).astype(np.uint16).tobytes())
+            out.append(np.bincount(place[same[at : at + len(key)]], minlength=rows.as_py()).astype(np.uint32).tobytes())
             at += len(key)
         return pa.table({"step": bucket["step"], "counts": pa.array(out, pa.binary())})
 
     def add(step: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(c.as_py(), np.uint16).astype(np.int64) for c in step["counts"]], axis=0)
+        total = np.zeros(len(step["counts"][0].as_py()) // 4, np.int64)
+        for counts in step["counts"]:
+            total += np.frombuffer(counts.as_py(), np.uint32)
         return pa.table({"step": pa.repeat(step["step"][0], len(total)), "place": pa.array(np.arange(len(total)), pa.int32()),
                          "shared": pa.array(total, pa.int64())})
 
