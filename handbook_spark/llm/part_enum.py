@@ -47,6 +47,8 @@ ABOVE, BELOW = 75, 100
 SPARE = 2.0
 #: Members of a group that are compared pair by pair.
 FEW = 8
+#: Tasks that the rows of one class are dealt to when they get its smallest id.
+SALTS = 16
 #: Sets and elements of a block at most, on average.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 1 << 18
 
@@ -202,7 +204,9 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     rows = both.drop("packed")
     # Copies count as partners here, so all copies of a set stay or leave together.
     left = _survivors(rows.filter("n > 0 AND doc_id IS NOT NULL"), both.select(F.inline("packed")))
-    reps = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    # Only sets that several documents have; all other documents stand for themselves.
+    reps = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     left = materialize(left.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     texts = docs.select("doc_id", "text").join(left.hint("shuffle_hash"), "doc_id", "left_semi")
 
@@ -223,9 +227,22 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     kept = _survivors(few.select("doc_id", "n", F.col("n").alias("counted"), "step", "place").filter("n > 0"),
                       few.select(F.inline("packed"))).select("step", "place")
     sets = few.select("doc_id", "n", "grams", "step", "place").join(kept, ["step", "place"]).select("doc_id", "n", "grams")
-    named = rows.join(reps.select(*[F.col(c).alias(f"__{c}") for c in ("n", "f1", "f2")], "rep"),
-                      (F.col("n") == F.col("__n")) & (F.col("f1") == F.col("__f1")) & (F.col("f2") == F.col("__f2")), "left")
-    return named.select("doc_id", "n", "rep"), materialize(sets)
+    rep = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    named = _with(rows.select("doc_id", "n", "f1", "f2"), reps, ["n", "f1", "f2"]).select("doc_id", "n", rep.alias("rep"))
+    return named, materialize(sets)
+
+
+def _with(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Left join with one row per key on the right; a key that very many rows have is dealt to ``SALTS`` tasks.
+
+    Always a shuffled join: the optimizer's estimate of the right side does not see that salting multiplies it.
+    """
+    salted = few.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in few.columns if c not in on],
+                        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("__salt"))
+    same = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("__salt")
+    for c in on:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    return rows.join(salted.hint("merge"), same, "left").drop("__salt", *[f"__{c}" for c in on])
 
 
 def _struct(schema: str) -> str:
@@ -434,5 +451,5 @@ def near_copies(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows, sets = classes(docs, size)
     labels = similar_classes(sets)
-    return rows.join(labels, rows["rep"] == labels["node"], "left").select(
+    return _with(rows, labels.withColumnRenamed("node", "rep"), ["rep"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
