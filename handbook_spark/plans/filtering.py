@@ -93,9 +93,9 @@ def b9(c: Corpus) -> DataFrame:
     ).select("raw_module_id")
 
 
-@query("b10_semester_filter", _SEARCH + "version = 20200")
+@query("b10_semester_filter", _SEARCH + "version = 20191")
 def b10(c: Corpus) -> DataFrame:
-    return _search(c, version="SS 2020")
+    return _search(c, version="WS 2019/2020")
 
 
 @query("b11_subject_prefix", _SEARCH + """

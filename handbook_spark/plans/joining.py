@@ -83,7 +83,7 @@ _FILTERS: dict[str, tuple[dict[str, str], str]] = {
     "weekly_hours": ({"weekly_hours": "4"}, "weekly_hours = 4"),
     "recommended_semester": ({"recommended_semester": "6", "recommended_semester_type": ">="}, "recommended_semester >= 6"),
     "exams": ({"exams": "klausur 2"}, "CAST(to_json(ai_exams) AS VARCHAR) ILIKE '%klausur 2%'"),
-    "version": ({"version": "SS 2020"}, "version = 20200"),
+    "version": ({"version": "WS 2019/2020"}, "version = 20191"),
     "subject": ({"subject": "sma"}, "coalesce(module_code, ai_module_code) ILIKE 'sma-%'"),
 }
 
