@@ -13,10 +13,10 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ MATCHER = {"window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 4, "
 NARROW = 0.01
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def learn(docs: DataFrame, training: Column) -> dict[str, tuple[bytes, bytes]]:
