@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -152,8 +153,7 @@ class Machine:
         self.weights, self.intercept, self.curve = weights.astype(np.float32), intercept, curve
 
     def words(self, words: pa.Array) -> np.ndarray:
-        pieces = Pieces(words)
-        return np.where(pieces.size > 1, pieces.linear(self.weights) + self.intercept, LOWEST)
+        return _scored(words, self.weights, self.intercept)
 
     def probability(self, best: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(features(best, hits, words) @ self.curve, -30, 30)))
@@ -192,6 +192,12 @@ class Machine:
 LOWEST = -3.0
 
 
+def _scored(words: pa.Array, weights: np.ndarray, intercept: float) -> np.ndarray:
+    """Score of each word; single letters and words without letters get the lowest one."""
+    pieces = Pieces(words)
+    return np.where(pieces.size > 1, pieces.linear(weights) + intercept, LOWEST)
+
+
 def _inserted(word: str) -> list[str]:
     """Forms of an insult with one more character, as training examples."""
     middle = max(len(word) // 2, 1)
@@ -252,10 +258,14 @@ def _toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
     """
     sizes = len(toxic), max(len(clean), 1)
     ratio = sizes[0] / sizes[1]
-    keys_of = {w: [f"={w}", *(w[:n] for n in STEMS if n < len(w))] for words in [*toxic, *clean] for w in words}
-    toxic_keys = [{k for w in words for k in keys_of[w]} for words in toxic]
+
+    def keys(word: str) -> list[str]:
+        return [f"={word}", *(word[:n] for n in STEMS if n < len(word))]
+
+    toxic_keys = [frozenset(sys.intern(k) for w in words for k in keys(w)) for words in toxic]
     in_toxic = Counter(k for row in toxic_keys for k in row)
-    in_clean = Counter(k for words in clean for k in {k for w in words for k in keys_of[w]})
+    # Only keys of toxic documents matter.
+    in_clean = Counter(k for words in clean for k in {k for w in words for k in keys(w)} if k in in_toxic)
 
     def rare(key: str) -> bool:
         return in_toxic[key] >= RATIO * ratio * (in_clean[key] + 0.5)
@@ -270,7 +280,7 @@ def _toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
         found.add(best)
         rest = [row for row in rest if best not in row]
     return {w for words in toxic for w in words
-            if any(k in found for k in keys_of[w]) and (in_clean[f"={w}"] <= 1 or rare(f"={w}"))}
+            if any(k in found for k in keys(w)) and (in_clean[f"={w}"] <= 1 or rare(f"={w}"))}
 
 
 def fit(documents: list[tuple[str, int]]) -> Machine:
@@ -319,8 +329,7 @@ def fit(documents: list[tuple[str, int]]) -> Machine:
         weight = np.concatenate((counts, np.repeat(0.3 * counts, 3), np.full(len(negative), 2.0)))
         v = _solve(x, signs, weight / weight.mean())
         triples, intercept = landmarks.astype(np.float64) @ (root @ v[:-1]), float(v[-1])
-        pieces = Pieces(listed)
-        score = np.where(pieces.size > 1, pieces.linear(triples) + intercept, LOWEST)
+        score = np.concatenate([_scored(listed.slice(at, 20_000), triples, intercept) for at in range(0, len(listed), 20_000)])
         # Clean words that score highest are learned as such in the next turn.
         negatives |= set(clean_words[np.argsort(-score[clean_words], kind="stable")[: NEGATIVES // TURNS // 2]].tolist())
         # A toxic document without any toxic word yet: its best sentence's best word, if that is near the border.
