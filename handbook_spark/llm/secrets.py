@@ -48,7 +48,8 @@ MIN_LENGTH, MIN_SCORE = 6, 0.5
 
 _NAMED = "|".join(sorted(SENSITIVE, key=len, reverse=True))
 #: What a text must hold, in lower case, before any of the scans can find a span in it.
-_ANY = f"{_NAMED}|akia[a-z0-9]{{16}}|[0-9a-f]{{24}}"
+#: ``sensitivity`` reads ``.``, ``-`` and the border of a camel-case part as ``_``, and the Kelvin sign as k.
+_ANY = f"{_NAMED.replace('_', '[_.-]?').replace('k', '[k\u212a]')}|akia[a-z0-9]{{16}}|[0-9a-f]{{24}}"
 _SENSITIVE = re.compile(_NAMED)
 _LEXEMES = re.compile(
     r'''(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)'''
