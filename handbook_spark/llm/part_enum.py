@@ -15,7 +15,9 @@ Work is bounded as follows; none of it drops a link.
   leave.
 * n is larger than k + 1, so a set may ignore n - k - 1 of its signatures, less its empty parts. It ignores those of
   the largest groups (such as the parts of a common passage), in one order for all sets: of the signatures that two
-  similar sets share, the one of the smallest group has so many above it that neither set ignores it.
+  similar sets share, the one of the smallest group has so many above it that neither set ignores it. A set that fills
+  fewer than k + 1 parts ignores none of these: a partner that fills more of them shares one of them at least. Its empty parts are
+  signatures of a kind of their own, by which it meets other such sets, and of which it may ignore n - k - 1.
 * In each group all sets are compared with its smallest one. Only sets that this leaves in different components are
   compared with each other: pair by pair in groups of up to ``FEW`` members, and in tiles for larger ones. Large groups that overlap
   form a cluster, a cluster's sets are dealt out in blocks, and a tile counts the common elements of two
@@ -160,7 +162,8 @@ def signatures(grams: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int
     """(scheme, spare, signatures) of one sorted set in its own and the next band's scheme.
 
     ``spare`` is how many of the signatures may be ignored. Empty parts give no signature unless they are
-    more than may be ignored.
+    more than may be ignored; then they are listed by themselves, under the complement of the scheme's number, and all
+    other signatures are kept (``spare`` is -1).
     """
     own = int(np.searchsorted(starts, len(grams), "right")) - 1
     for band in (own, own + 1):
@@ -170,11 +173,11 @@ def signatures(grams: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int
         content = np.add.reduceat(mixed(grams + np.uint64(1)), first)
         number = part[first]
         spare = parts - k - 1 - (parts - len(first))
+        named = mixed(content * _FOLD + number * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
+        yield band, max(spare, -1), named
         if spare < 0:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), number)
-            number, content = np.concatenate((number, empty)), np.concatenate((content, np.zeros(len(empty), np.uint64)))
-            spare = parts - k - 1
-        yield band, spare, mixed(content * _FOLD + number * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
+            yield ~band, parts - k - 1, mixed(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
 
 
 def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -273,25 +276,26 @@ def groups(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                signs, rows, schemes, spares = [], [], [], []
+                signs, places, rows, schemes, spares = [], [], [], [], []
                 for row, cell in enumerate(part.column("grams")):
                     grams = cell.values.to_numpy().view(np.uint64)
                     if len(grams) >= starts[-3]:
                         starts = bands(2 * len(grams))
-                    for turn, (band, spare, found) in enumerate(signatures(grams, starts)):
+                    for band, spare, found in signatures(grams, starts):
                         signs.append(found)
-                        rows.append(np.full(len(found), 2 * row + turn))
+                        places.append(np.full(len(found), len(rows)))
+                        rows.append(row)
                         schemes.append(band)
                         spares.append(spare)
                 if not signs:
                     continue
-                flat, places = np.concatenate(signs), np.concatenate(rows)
+                flat = np.concatenate(signs)
                 buckets = ((flat >> np.uint64(40)) % np.uint64(number)).astype(np.int64)
-                for bucket, values, where in packed(buckets, number, flat, places.astype(np.uint16)):
+                for bucket, values, where in packed(buckets, number, flat, np.concatenate(places).astype(np.uint16)):
                     used, inverse = np.unique(np.frombuffer(where, np.uint16), return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([bucket], pa.int32()),
-                         pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), part.column("doc_id").take(pa.array(used // 2))),
+                         pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), part.column("doc_id").take(pa.array(np.array(rows)[used]))),
                          pa.array([np.array(schemes)[used].tolist()], pa.list_(pa.int32())),
                          pa.array([np.array(spares)[used].tolist()], pa.list_(pa.int32())),
                          pa.array([values], pa.binary()), pa.array([inverse.astype(np.uint16).tobytes()], pa.binary())],

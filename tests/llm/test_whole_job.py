@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from handbook_spark.llm import secrets
+from collections.abc import Iterator
+
+import numpy as np
+
+from handbook_spark.llm import part_enum, secrets
 
 
 def test_every_form_of_a_sensitive_name_is_scanned(spark):
@@ -16,3 +20,49 @@ def test_every_form_of_a_sensitive_name_is_scanned(spark):
         text = texts[row.doc_id]
         assert ("literal", text.index(value), len(text)) in [tuple(s) for s in row.spans], text
         assert value not in row.clean
+
+
+def _kept(signed: list[tuple[int, int, np.ndarray]], shared: set[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Signatures of a set whose only partner shares ``shared``, without those it may ignore."""
+    return {x for scheme, spare, found in signed
+            for x in sorted(x for x in ((scheme, s) for s in found.tolist()) if x in shared)[max(spare, 0):]}
+
+
+def _pairs(number: int, most: int = 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Similar sets of 3 to ``most`` elements."""
+    rng = np.random.default_rng(12)
+    while number:
+        size = int(rng.integers(3, most + 1))
+        base = rng.integers(0, 1 << 62, size + 6).astype(np.uint64)
+        a, b = np.sort(base[:size]), np.sort(base[rng.integers(0, size // 4 + 1) : size + rng.integers(0, 7)])
+        if 3 <= len(b) <= most and 100 * len(same := np.intersect1d(a, b)) >= 75 * (len(a) + len(b) - len(same)):
+            number -= 1
+            yield a, b
+
+
+def test_small_similar_sets_keep_a_common_group(spark):
+    starts, lonely = part_enum.bands(64), []
+    for a, b in _pairs(20_000):
+        left, right = (list(part_enum.signatures(x, starts)) for x in (a, b))
+        in_both = set.intersection(*({(s, x) for s, _, found in side for x in found.tolist()} for side in (left, right)))
+        assert _kept(left, in_both) & _kept(right, in_both), (a, b)
+        # Pairs of which only one set fills enough parts.
+        if len({len(left), len(right)}) > 1 and not any(len(a) == len(x) and len(b) == len(y) for x, y in lonely):
+            lonely.append((a, b))
+    assert lonely
+    for a, b in lonely[:3]:
+        rows = [(i, len(x), x.view(np.int64).tolist()) for i, x in enumerate((a, b))]
+        sets = spark.createDataFrame(rows, "doc_id long, n long, grams array<long>")
+        found = part_enum.candidate_groups(part_enum.groups(sets)).collect()
+        assert {r.gid for r in found if r.doc_id == 0} & {r.gid for r in found if r.doc_id == 1}
+
+
+def test_candidate_groups_equal_brute_force(spark):
+    pairs = list(_pairs(4000))
+    sets = [x for pair in pairs for x in pair]
+    rows = [(i, len(x), x.view(np.int64).tolist()) for i, x in enumerate(sets)]
+    found = part_enum.candidate_groups(part_enum.groups(spark.createDataFrame(rows, "doc_id long, n long, grams array<long>")))
+    of: dict[int, set[int]] = {}
+    for r in found.collect():
+        of.setdefault(r.doc_id, set()).add(r.gid)
+    assert all(of.get(2 * i, set()) & of.get(2 * i + 1, set()) for i in range(len(pairs)))
