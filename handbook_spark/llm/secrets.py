@@ -3,7 +3,7 @@
 Spans are (kind, start, end) in code points, end exclusive. ``assign``, ``access`` and ``hex`` come from
 fixed patterns. ``literal`` comes from an assignment-aware lexer: it reads names, quoted strings, bare
 configuration values and operators, pairs each literal with the name it is assigned to (``name = "x"``,
-``"name": "x"``, ``NAME=x``, concatenations with ``+``), follows names that stand for such literals, and scores
+``"name": "x"``, ``NAME=x``, ``table["name"] = "x"``, ``name: Type = "x"``, concatenations with ``+``), follows names that stand for such literals, and scores
 a literal by the name it ends up under and by its own form.
 
 Results for odd input: null and empty texts have no spans; a span is reported once per kind; equal
@@ -54,6 +54,12 @@ _SENSITIVE = re.compile(_NAMED)
 _LEXEMES = re.compile(
     r'''(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)'''
     r"""|(?P<name>[^\W\d][\w.\-]*)|(?P<number>\d[\w.+/=\-]*)|(?P<bind>:=|=>|={1,3}|:)|(?P<join>\+|\.\.)|(?P<line>\n)|(?P<other>[^\s])""")
+#: Parts of a declared type; a single colon, a quote or a line's end is none.
+_TYPE = re.compile(r"""(?P<space>[ \t]+)|(?P<word>[^\W\d][\w.]*+(?:::[\w.]++)*+)|(?P<open>[\[<(])|(?P<close>[\])>])"""
+                   r"""|(?P<mark>'\w++(?!')|[&*?|])|(?P<inner>,|\d++|::|->)|(?P<equals>=(?![=>]))""")
+_FOLLOWS, _QUOTES = re.compile(r"[ \t]*+(\S)"), "'\"`"
+#: Words of a type that another word follows.
+_BEFORE_TYPE = frozenset(("mut", "const", "dyn", "impl", "readonly", "static", "unsigned", "signed", "long", "short"))
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>#]+")
 
 
@@ -83,21 +89,35 @@ def secrecy(literal: str) -> float:
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Names with the spans of the literals assigned to them, in text order.
 
+    A closing bracket may stand between name and operator (``table["name"] = "x"``), and a type behind a colon
+    (``name: Type = "x"``). Behind ``)`` only an assignment counts: ``:`` and ``=>`` there begin a body or a result type.
     A value is a string, a bare configuration value, or a name; parts joined by ``+`` belong together. A
     name as value stands for the literals last assigned to it before (constants are propagated).
     """
     constants: dict[str, list[tuple[int, int]]] = {}
-    target, target_end, at, size = None, -1, 0, len(text)
+    target, target_end, closed, at, size = None, -1, "", 0, len(text)
     while at < size:
         m = _LEXEMES.search(text, at)
         if m is None:
             return
         kind, at = m.lastgroup, m.end()
         if kind == "name":
-            target, target_end = m[0], at
+            target, target_end, closed = m[0], at, ""
         elif kind == "string":
-            target, target_end = m[0][1:-1], at
-        elif kind == "bind" and target is not None and not text[target_end : m.start()].strip(" \t"):
+            target, target_end, closed = m[0][1:-1], at, ""
+        elif target is None or text[target_end : m.start()].strip(" \t"):
+            target = None
+        elif kind == "other" and m[0] in "])":
+            target_end, closed = at, m[0]
+        elif kind == "bind":
+            typed = _typed(text, at) if m[0] == ":" else None
+            if closed == ")" and typed is None and m[0] in (":", "=>"):
+                target = None
+                continue
+            if typed is not None:
+                if text[typed] not in _QUOTES and (parts := _value(text, at, constants)[0]):
+                    yield target, parts  # ``password: x = y`` can also be a bare value with a remark
+                at = typed
             parts, at = _value(text, at, constants)
             if parts:
                 constants[target] = parts
@@ -107,6 +127,35 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             target = None
 
 
+def _typed(text: str, at: int) -> int | None:
+    """Where the value begins if a type and ``=`` stand at ``at``.
+
+    A bare value that holds ``=`` itself (base64, ``key=value``) is no type: without a space before ``=`` a quote has to follow.
+    """
+    depth, words, last = 0, 0, ""
+    if text.startswith(":", at):
+        return None
+    while m := _TYPE.match(text, at):
+        kind, at = m.lastgroup, m.end()
+        if kind == "equals":
+            spaced, value = text[m.start() - 1] in " \t", _FOLLOWS.match(text, at)
+            return value.start(1) if value and words and not depth and (spaced or value[1] in _QUOTES) else None
+        if kind == "open":
+            depth += 1
+        elif kind == "close":
+            depth -= 1
+        elif kind == "inner" and not depth or kind == "word" and not depth and last == "word":
+            return None
+        if depth < 0:
+            return None
+        if kind == "word":
+            words += 1
+            kind = "" if m[0] in _BEFORE_TYPE else kind
+        if kind != "space":
+            last = kind
+    return None
+
+
 def _value(text: str, at: int, constants: dict[str, list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], int]:
     """Literal spans of the expression at ``at`` and where it ends."""
     parts: list[tuple[int, int]] = []

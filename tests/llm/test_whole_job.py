@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
+import pytest
 
 from handbook_spark.llm import part_enum, secrets
 
@@ -66,3 +68,40 @@ def test_candidate_groups_equal_brute_force(spark):
     for r in found.collect():
         of.setdefault(r.doc_id, set()).add(r.gid)
     assert all(of.get(2 * i, set()) & of.get(2 * i + 1, set()) for i in range(len(pairs)))
+
+
+@pytest.mark.parametrize("text, literals", [
+    ('config["password"] = "hT7x9!kQ2"', ["hT7x9!kQ2"]),
+    ("os.environ['API_KEY'] = 'Zk39dkQ02m'", ["Zk39dkQ02m"]),
+    ('settings["db"]["password"] = "Zx81kQ72" + "mN45pR98"', ["Zx81kQ72", "mN45pR98"]),
+    ("config[password] = hT7x9kQ2m", ["hT7x9kQ2m"]),
+    ("[password] => hT7x9kQ2m", ["hT7x9kQ2m"]),
+    ('(password) = "hT7x9!kQ2"', ["hT7x9!kQ2"]),
+    ('password: str = "hT7x9!kQ2"', ["hT7x9!kQ2"]),
+    ('token:string="hT7x9!kQ2"', ["hT7x9!kQ2"]),
+    ('let token: string = "hT7x9!kQ2";', ["hT7x9!kQ2"]),
+    ('password: Optional[Dict[str, str]] | None = "hT7x9!kQ2"', ["hT7x9!kQ2"]),
+    ('const PASSWORD: &\'static str = "hT7x9!kQ2";', ["hT7x9!kQ2"]),
+    ('config["password"]: str = "hT7x9!kQ2"', ["hT7x9!kQ2"]),
+    ('password: std::string = "hT7x9!kQ2"', ["hT7x9!kQ2"]),
+    ('K = "hT7x9!kQ2"\npassword: str = K', ["hT7x9!kQ2"]),
+    # No types: these keep their bare value.
+    ("token: Zk39dkQ02mmPq81x==", ["Zk39dkQ02mmPq81x=="]),
+    ("token: Zk39dkQ02mmPq81=", ["Zk39dkQ02mmPq81="]),
+    ("password: hT7x9kQ2m = mine", ["hT7x9kQ2m"]),
+    ("password: hT7x9kQ2m", ["hT7x9kQ2m"]),
+    # No assignments.
+    ("(password) => authenticateUser", []),
+    ("function f($password): UserToken {", []),
+    ("def f(password: str, colour: str = 'hT7x9!kQ2'): pass", []),
+])
+def test_subscripts_and_declared_types(text, literals):
+    assert [text[a:b] for a, kind, b in secrets.scan(text) if kind == "literal"] == literals
+
+
+def test_lexer_stays_linear():
+    for text in ("password: a<" * 40_000, "a: [" * 100_000, "a::" * 100_000, "password)" * 50_000, "password: a |" * 40_000,
+                 "password: x = " * 30_000):
+        begin = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - begin < 15
