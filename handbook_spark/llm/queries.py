@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from handbook_spark.llm import (
-    bit_sliced, byte_bpe, language, lm_scoring, mixing, neighbours, part_enum, secrets, token_files, toxicity,
+    bit_sliced, byte_bpe, fill_middle, language, lm_scoring, mixing, neighbours, part_enum, piece_bpe, prefix_trie, secrets, token_files,
+    toxicity,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +219,77 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.taken_words(mixing.sized_documents(docs)).select(
         "doc_id", "size", "source_size", "target", "taken", "source")
+
+
+_OP11_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), chosen AS (
+  SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+         WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut
+), parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM chosen
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts
+"""
+
+
+@_query("op11_fill_in_middle", _OP11_SQL)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    made = fill_middle.fill_in_middle(docs, "doc_id")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@_query("op12_sentence_piece")
+def op12_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return piece_bpe.digests(docs, tokenizer_file("piece_bpe_32k.model"), "doc_id")
+
+
+_OP13_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS hash,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(hash ORDER BY turn NULLS FIRST, hash) AS turns,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
+  FROM said GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, coalesce(f.turns[1:o.h], []) || o.turns[o.h + 1:len(o.turns)] AS path
+  FROM own o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 20
+), reached AS (
+  SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM rebuilt
+), nodes AS (
+  SELECT path[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '') AS ends
+  FROM reached GROUP BY p, depth
+), weighed AS (
+  SELECT n.*, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * w.words END AS saved, CASE WHEN depth = 0 THEN NULL ELSE p[1:depth - 1] END AS up
+  FROM nodes n LEFT JOIN (SELECT DISTINCT hash, words FROM said) w ON w.hash = p[depth]
+), born AS (
+  SELECT up, count(*) AS n FROM weighed WHERE depth > 0 GROUP BY up
+), above AS (
+  SELECT p[1:unnest(range(0, depth + 1))] AS top, saved, CASE WHEN b.n IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM weighed x LEFT JOIN born b ON b.up = x.p
+), under AS (
+  SELECT top, sum(saved) AS saved, sum(leaf) AS leaves FROM above GROUP BY top
+)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(b.n, 0) AS n_children, t.leaves::BIGINT AS n_leaves,
+  t.saved::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM weighed x LEFT JOIN weighed u ON u.p = x.up AND u.depth = x.depth - 1 LEFT JOIN born b ON b.up = x.p JOIN under t ON t.top = x.p
+"""
+
+
+@_query("op13_prefix_trie", _OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))

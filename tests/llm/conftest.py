@@ -12,6 +12,7 @@ from tests.llm import brute
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, label string"
 EMBEDDINGS = "vec_id long, embedding array<float>, label int, score string, ids int"
 LABELS = "doc_id long, quality int, toxic int, score int"
+CONVERSATIONS = "conv_id long, turn long, role string, text string, depth int, words string"
 
 
 def prose(rng: random.Random, words: int, pool: list[str]) -> str:
@@ -64,18 +65,33 @@ def odd_labels() -> list[tuple]:
     return rows + [(62, None, None, None), (None, 0, 1, 1), (7, 1, 1, 0), (999, 0, 1, 0)]
 
 
+def odd_conversations() -> list[tuple]:
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["a b", "c", "d e f", ""]), 1, "x")
+            for c in [*range(-25, 70), 400, 401] for t in range(rng.randint(1, 6))]
+    for c in range(100, 160):  # copies, and copies that go on
+        rows += [(c, t, "user", f"same {t}", 1, "x") for t in range(3 + (c % 7 == 0))]
+    rows += [(200, t, "user", f"long {t % 50} words here", 1, "x") for t in range(700)]
+    rows += [(201, t, "user", f"long {t % 50} words here", 1, "x") for t in range(690)]
+    rows += [(None, 0, "user", "no id", 1, "x"), (300, None, None, None, None, None), (300, 1, "user", "b", 1, "x"),
+             (300, None, "user", "null turn", 1, "x"), (301, 0, None, "", 1, "x"), (302, 0, "", None, 1, "x"), (302, 0, "", None, 1, "x"),
+             (303, 5, "user", "tie b", 1, "x"), (303, 5, "user", "tie a", 1, "x"), (303, 2**40, "1:", "2:x", 1, "x"), (403, 0, "user", "alone", 1, "x")]
+    return rows
+
+
 @pytest.fixture(scope="session")
 def odd_dir(spark, tmp_path_factory):
-    return stored(spark, tmp_path_factory.mktemp("odd"), odd_documents(), odd_embeddings(), odd_labels())
+    return stored(spark, tmp_path_factory.mktemp("odd"), odd_documents(), odd_embeddings(), odd_labels(), odd_conversations())
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, tmp_path_factory):
-    return stored(spark, tmp_path_factory.mktemp("empty"), [], [], [])
+    return stored(spark, tmp_path_factory.mktemp("empty"), [], [], [], [])
 
 
-def stored(spark, folder, documents, embeddings, labels) -> str:
-    for name, rows, schema in (("documents", documents, DOCUMENTS), ("embeddings", embeddings, EMBEDDINGS), ("labels", labels, LABELS)):
+def stored(spark, folder, documents, embeddings, labels, conversations) -> str:
+    for name, rows, schema in (("documents", documents, DOCUMENTS), ("embeddings", embeddings, EMBEDDINGS), ("labels", labels, LABELS),
+                               ("conversations", conversations, CONVERSATIONS)):
         spark.createDataFrame(rows, schema).repartition(3, F.rand(1)).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
