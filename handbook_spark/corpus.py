@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from handbook_spark.session import input_state, scratch_path
+from handbook_spark.sources.page_streams import scan_pages
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -275,6 +276,10 @@ VIEWS = (*PORTABLE_VIEWS, *DIALECT_VIEWS)
 # They are written in the order by which they are filtered, so that such filters skip row groups,
 # and belong to one state of the tables that they come from.
 STAGED_VIEWS = {"v_modules": (("mhb_id", "pos"), ("lineitem", "part"))}
+# Scanned pages: streams are parsed once, and all page readers share the arrays. Pages are dealt out by key, not by ranges, for
+# which the scanner would run a second time.
+PAGES = "pages_scanned"
+PAGE_KEY, PAGE_TABLES = ("handbook_id", "page_no"), ("documents",)
 _stage_paths: dict[tuple, str] = {}
 
 
@@ -335,14 +340,20 @@ class Corpus:
         self._register_tables(text)
         return self.spark.sql(text, args) if args is not None else self.spark.sql(text)
 
+    def pages(self) -> DataFrame:
+        """Scanned pages of all handbooks: shown texts with their places, one row per page."""
+        return self._staged(PAGES)
+
     def _derived(self, name: str) -> DataFrame:
+        if name == PAGES:
+            return scan_pages(self.view("v_page_streams"))
         text = view_sql(name, "spark")
         self._register_tables(text)
         return self.spark.sql(text)
 
     def _staged(self, name: str) -> DataFrame:
         """Stored rows of a view, written on first use."""
-        order, tables = STAGED_VIEWS[name]
+        order, tables = STAGED_VIEWS.get(name, (PAGE_KEY, PAGE_TABLES))
         state = tuple(input_state(self.spark, f"{self.path}/{t}.parquet") for t in tables)
         key = (self.spark.sparkContext.applicationId, name, state)
         if key in _stage_paths:
@@ -351,7 +362,9 @@ class Corpus:
             except AnalysisException:  # the scratch folder was cleared meanwhile
                 del _stage_paths[key]
         path = scratch_path(self.spark)
-        self._derived(name).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+        rows = self._derived(name)
+        dealt = rows.repartition(*order) if name == PAGES else rows.repartitionByRange(*order)
+        dealt.sortWithinPartitions(*order).write.parquet(path)
         _stage_paths[key] = path
         return self.spark.read.parquet(path)
 

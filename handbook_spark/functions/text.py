@@ -8,14 +8,9 @@ from pyspark.sql import Column, functions as F
 
 from handbook_spark.functions.nested import let
 
-# Fixed patterns of the page streams and of module codes.
+# Fixed patterns of module codes and of kerning in shown texts.
 MODULE_CODE = r"[A-ZÄÖÜ]{2,}-\d{3,}"
-SHOWN_TEXT = r" Tm \[\(([^\n\r]*?)\)\] TJ"
 KERNING = r"\s\)\s*-?\d+(?:\.\d+)?\s*\(\s*"
-FOOTER_NUMBER = r" Tm \[\((\d+)\)\] TJ\nET\nQ\n"
-CREDITS = r" Tm \[\((\d+) ECTS/LP\)\] TJ"
-PAGE_HEADER = r"Tm \[\(Modul (" + MODULE_CODE + ")"
-HANDBOOK_TITLE = r"Modulhandbuch[^\n]*\n[^\n]*\n[^\n]*?\[\(([^\n]*?)\)\] TJ"
 
 # Fixed labels of a module record, in source order.
 LABELS: dict[str, str] = {
@@ -59,18 +54,8 @@ def subject(code: Column) -> Column:
     return F.when(F.contains(code, F.lit("-")), F.upper(F.substring_index(code, "-", 1)))
 
 
-def shown_lines(stream: Column) -> Column:
-    """Texts shown by a page stream, in stream order."""
-    return F.regexp_extract_all(stream, F.lit(SHOWN_TEXT), F.lit(1))
-
-
-def shown_text(stream: Column) -> Column:
-    return F.array_join(shown_lines(stream), "\n")
-
-
 def decode_escapes(text: Column) -> Column:
     """Replace ``\\ddd`` octal escapes by their Windows-1252 characters and drop other backslashes."""
-    pieces = F.split(F.replace(text, F.lit("\\\\"), F.lit(_ESCAPED_BACKSLASH)), r"\\")
 
     def decoded(piece: Column, index: Column) -> Column:
         octal = F.conv(F.substring(piece, 1, 3), 8, 10).cast("int")
@@ -78,8 +63,12 @@ def decode_escapes(text: Column) -> Column:
             (index > 0) & piece.rlike("^[0-3][0-7]{2}"), F.concat(F.chr(octal), F.substr(piece, F.lit(4)))
         ).otherwise(piece)
 
-    joined = F.replace(F.array_join(F.transform(pieces, decoded), ""), F.lit(_ESCAPED_BACKSLASH), F.lit(""))
-    return F.translate(joined, _C1_FROM, _C1_TO)
+    def unescaped(whole: Column) -> Column:
+        pieces = F.split(F.replace(whole, F.lit("\\\\"), F.lit(_ESCAPED_BACKSLASH)), r"\\")
+        joined = F.replace(F.array_join(F.transform(pieces, decoded), ""), F.lit(_ESCAPED_BACKSLASH), F.lit(""))
+        return F.when(F.contains(whole, F.lit("\\")), joined).otherwise(whole)
+
+    return F.translate(let(text, unescaped), _C1_FROM, _C1_TO)
 
 
 def repair_text(text: Column) -> Column:
@@ -130,20 +119,6 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def credits(stream: Column) -> Column:
-    return F.regexp_extract(stream, CREDITS, 1).try_cast("int")
-
-
-def handbook_title(stream: Column) -> Column:
-    """Text shown after the title keyword of a cover page."""
-    return F.replace(extract_or_null(stream, HANDBOOK_TITLE, 1), F.lit("\\"), F.lit(""))
-
-
-def footer_number(stream: Column) -> Column:
-    """Last numeric footer of a page."""
-    return F.try_element_at(F.regexp_extract_all(stream, F.lit(FOOTER_NUMBER), F.lit(1)), F.lit(-1)).cast("int")
-
-
 def key_value_text(columns: Mapping[str, Column] | Sequence[str], separator: str = "\n\n") -> Column:
     """``key: value`` lines in the given order; a missing value reads ``None``."""
     if not isinstance(columns, Mapping):

@@ -1,4 +1,4 @@
-"""Operators on ordered pages and lines: runs, ranges, segments, sections, packing."""
+"""Operators on ordered pages and lines: runs, ranges, segments, packing."""
 
 from __future__ import annotations
 
@@ -7,15 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from handbook_spark.functions.nested import let
-from handbook_spark.functions.text import (
-    MODULE_CODE, PAGE_HEADER, SHOWN_TEXT, decode_escapes, extract_or_null, footer_number, token_count,
-)
-from handbook_spark.operators.numbering import (
-    BLOCK, block_of, first_per_key, local_runs, local_sums, run_numbers, with_offsets,
-)
-
-POSITIONED = r"1 0 0 -1 (\d+(?:\.\d+)?) (\d+(?:\.\d+)?) Tm\s?\[\(([^\n\r]*?)\)"
-SECTION_LINE = r"(?m)^1 0 0 -1 (\d+(?:\.\d+)?) (\d+(?:\.\d+)?) Tm \[\(([^\n]*?)\)\] TJ"
+from handbook_spark.functions.text import token_count
+from handbook_spark.operators.numbering import BLOCK, block_of, first_per_key, local_runs, local_sums, with_offsets
+
 MODULE_BREAK = "\n\n--- NEUES MODUL ---\n\n"
 
 
@@ -24,7 +18,7 @@ def strip_text(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _ordered_join(order: Sequence[str], text: str, separator: str) -> Column:
+def ordered_join(order: Sequence[str], text: str, separator: str) -> Column:
     """Aggregate: texts of a group joined in order."""
     entries = F.sort_array(F.collect_list(F.struct(*order, text)))
     return F.array_join(F.transform(entries, lambda e: e[text]), separator)
@@ -50,7 +44,7 @@ def module_text_pieces(pages: DataFrame, block: int = BLOCK) -> DataFrame:
         block=block,
     )
     pieces = local.groupBy("handbook_id", "_block", "_local", "header").agg(
-        F.min("page_no").alias("first_page"), _ordered_join(["page_no"], "body", "\n").alias("body")
+        F.min("page_no").alias("first_page"), ordered_join(["page_no"], "body", "\n").alias("body")
     )
     return with_offsets(pieces, offsets, ["handbook_id"], "run").drop("_block")
 
@@ -60,7 +54,7 @@ def module_texts(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     return (
         module_text_pieces(pages, block)
         .groupBy("handbook_id", "run", "header")
-        .agg(F.min("first_page").alias("_first"), _ordered_join(["first_page"], "body", "\n").alias("_body"))
+        .agg(F.min("first_page").alias("_first"), ordered_join(["first_page"], "body", "\n").alias("_body"))
         .select(
             "handbook_id", F.col("_first").alias("first_page"), F.col("header").alias("module_code"),
             F.concat(F.lit("Modul "), F.col("header"), F.col("_body")).alias("content"),
@@ -137,7 +131,7 @@ def segment_pieces(pages: DataFrame, marker: str, block: int = BLOCK) -> DataFra
         .groupBy("handbook_id", "_block", "_local")
         .agg(
             F.min("page_no").alias("first_page"), F.count(F.lit(1)).alias("n_pages"),
-            _ordered_join(["page_no"], "_text", "\n\n").alias("content"),
+            ordered_join(["page_no"], "_text", "\n\n").alias("content"),
         )
     )
     return with_offsets(pieces, offsets, ["handbook_id"], "segment").drop("_block")
@@ -150,7 +144,7 @@ def segment_modules(pages: DataFrame, marker: str, block: int = BLOCK) -> DataFr
         .groupBy("handbook_id", "segment")
         .agg(
             F.min("first_page").alias("_first"), F.sum("n_pages").alias("_pages"),
-            _ordered_join(["first_page"], "content", "\n\n").alias("content"),
+            ordered_join(["first_page"], "content", "\n\n").alias("content"),
         )
         .filter(strip_text(F.col("content")) != "")
         .select("handbook_id", "segment", F.col("_first").alias("first_page"), F.col("_pages").alias("n_pages"), "content")
@@ -173,135 +167,6 @@ def table_of_contents(pages: DataFrame, marker: str) -> DataFrame:
     return pages.join(firsts, "handbook_id", "left").withColumn("region", region).drop("_first")
 
 
-def positioned_texts(stream: Column, pattern: str) -> Column:
-    """Array of (y, text) of the fragments of a page stream, in stream order."""
-    return F.zip_with(
-        F.regexp_extract_all(stream, F.lit(pattern), F.lit(2)),
-        F.regexp_extract_all(stream, F.lit(pattern), F.lit(3)),
-        lambda y, text: F.struct(y.cast("double").alias("y"), text.alias("text")),
-    )
-
-
-def toc_codes(streams: DataFrame) -> DataFrame:
-    """Module codes of the table of contents, each once with its first place.
-
-    Consecutive fragments of equal height form a line, also across pages; the first fragment of a
-    line that starts with a code gives the line's code.
-    """
-    fragments = (
-        streams.filter(F.contains("stream", F.lit("Inhaltsverzeichnis")))
-        .select("handbook_id", "page_no", F.posexplode(positioned_texts(F.col("stream"), POSITIONED)).alias("place", "f"))
-        .filter(F.col("f.text") != ".")
-        .select("handbook_id", "page_no", "place", F.col("f.y").alias("y"),
-                extract_or_null(F.col("f.text"), f"^({MODULE_CODE})", 1).alias("module_code"))
-    )
-    lines = run_numbers(fragments, ["handbook_id"], ["page_no", "place"], "y", name="line")
-    codes = (
-        lines.filter(F.col("module_code").isNotNull())
-        .groupBy("handbook_id", "line")
-        .agg(F.min(F.struct("page_no", "place", "module_code")).alias("first"))
-        .select("handbook_id", "first.*")
-    )
-    return (
-        codes.groupBy("handbook_id", "module_code")
-        .agg(F.min(F.struct("page_no", "place")).alias("first"))
-        .select("handbook_id", "module_code", "first.page_no", "first.place")
-    )
-
-
-def section_text(stream: Column, heading: str) -> Column:
-    """Text below a heading up to the end of its block, NULL when the page has no such heading.
-
-    Fragments of equal height are joined by blanks, lines by newlines.
-    """
-    block = extract_or_null(stream, rf"(?s) Tm \[\({heading}\)\] TJ(.*?)\nET\nQ", 1)
-
-    def lines(fragments: Column) -> Column:
-        pieces = F.transform(
-            fragments,
-            lambda f, i: F.concat(
-                F.when(i == 0, F.lit("")).when(F.get(fragments, i - 1)["y"] == f["y"], F.lit(" ")).otherwise(F.lit("\n")),
-                f["text"],
-            ),
-        )
-        return F.array_join(pieces, "")
-
-    return let(block, lambda text: let(positioned_texts(text, SECTION_LINE), lines))
-
-
-def page_sections(streams: DataFrame, heading: str) -> DataFrame:
-    """Section text of every page that has a module header and the heading."""
-    marked = streams.filter(F.contains("stream", F.lit(f" Tm [({heading})] TJ")) & F.contains("stream", F.lit("Tm [(Modul ")))
-    sections = marked.select(
-        "handbook_id", "page_no",
-        F.struct(
-            extract_or_null(F.col("stream"), PAGE_HEADER, 1).alias("module_code"),
-            section_text(F.col("stream"), heading).alias("text"),
-        ).alias("s"),
-    )
-    # Both values are computed once and tested after the generator.
-    return sections.select(
-        "handbook_id", "page_no",
-        F.inline(F.filter(F.array("s"), lambda s: s["module_code"].isNotNull() & s["text"].isNotNull())),
-    )
-
-
-def module_sections(streams: DataFrame, heading: str) -> DataFrame:
-    """Section text of every module: page texts in page order, equal ones once, joined by newlines and decoded."""
-    once = first_occurrences(page_sections(streams, heading), ["handbook_id", "module_code"], "text", "page_no")
-    return once.groupBy("handbook_id", "module_code").agg(decode_escapes(_ordered_join(["page_no"], "text", "\n")).alias("text"))
-
-
-def module_pages(streams: DataFrame) -> DataFrame:
-    """Printed page number of every page that carries a module header."""
-    return streams.filter(F.contains("stream", F.lit("Tm [(Modul "))).select(
-        "handbook_id", "page_no", extract_or_null(F.col("stream"), PAGE_HEADER, 1).alias("module_code"),
-        footer_number(F.col("stream")).alias("printed_page"),
-    ).filter(F.col("module_code").isNotNull())
-
-
-PART_MARK = " Tm [(Modulteil:"
-PART_LABELS = {"type_of_study": "Lehrformen", "language": "Sprache", "weekly_hours": "SWS"}
-
-
-def module_part_rows(streams: DataFrame) -> DataFrame:
-    """Parts of the modules on each page: name, teaching form, language, weekly hours, first exam."""
-    # Block from the parts heading to the validity line.
-    block = F.regexp_extract("stream", r"(?s) Tm \[\(Modulteile\)\] TJ(.*?) Tm \[\(G\\374ltig ", 1)
-    parts = F.split(block, r" Tm \[\(Modulteil:")
-    rows = (
-        streams.filter(F.contains("stream", F.lit(PART_MARK)))
-        .select("handbook_id", "page_no", F.posexplode(parts).alias("part_no", "_part"))
-        .filter(F.col("part_no") > 0)
-        .withColumn("_part", F.substr("_part", F.lit(3)))
-    )
-    part = F.col("_part")
-    name = extract_or_null(part, SHOWN_TEXT, 1)
-    exam_block = F.regexp_extract(part, r"(?s) Tm \[\(Pr\\374fung\)\] TJ\n(.*?)\nQ\nQ\n", 1)
-    exam = F.array_join(F.regexp_extract_all(exam_block, F.lit(SHOWN_TEXT), F.lit(1)), "\n")
-    return rows.select(
-        "handbook_id", "page_no", "part_no",
-        decode_escapes(F.when(~name.startswith("Lehrformen:"), name)).alias("name"),
-        *[
-            decode_escapes(extract_or_null(part, rf"(?s) Tm \[\({label}: \)\] TJ.*?{SHOWN_TEXT}", 1)).alias(column)
-            for column, label in PART_LABELS.items()
-        ],
-        decode_escapes(F.nullif(exam, F.lit(""))).alias("exam"),
-    )
-
-
-def module_parts(streams: DataFrame) -> DataFrame:
-    """Parts of each page as an array, and the exam texts joined by newlines."""
-    fields = ["part_no", "name", *PART_LABELS, "exam"]
-    entries = F.sort_array(F.collect_list(F.struct(*fields)))
-    return (
-        module_part_rows(streams)
-        .groupBy("handbook_id", "page_no")
-        .agg(entries.alias("module_parts"))
-        .withColumn("module_exam", F.array_join(F.col("module_parts.exam"), "\n"))
-    )
-
-
 def _chunk_starts(sizes: Column, limit: int) -> Column:
     """Places (from 1) where a chunk begins.
 
@@ -367,5 +232,5 @@ def pack_rows(rows: DataFrame, key: str, position: str, text: str, limit: int, s
         key, "chunk_no", F.inline(F.slice("_rows", F.col("_from"), length))).drop("_size")
     return sized.join(numbered, [key, position]).groupBy(key, "chunk_no").agg(
         F.count(F.lit(1)).alias("n_modules"), F.sum("_size").alias("n_tokens"),
-        _ordered_join([position], text, separator).alias("text"),
+        ordered_join([position], text, separator).alias("text"),
     )

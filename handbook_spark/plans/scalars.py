@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from handbook_spark.corpus import Corpus
 from handbook_spark.functions import dates, nested, scoring, text, urls
-from handbook_spark.operators import aggregates, records, retrieval, sequences
+from handbook_spark.operators import aggregates, pages, retrieval, sequences
 from handbook_spark.plans.dialect import duck_decode
 from handbook_spark.plans.ranking import _COSINE, example_vector
 from handbook_spark.plans.registry import PART_POSITIONS, query
@@ -39,7 +39,7 @@ _SHOWN_SQL = f"array_to_string(regexp_extract_all(stream, '{_SHOWN}', 1), chr(10
 
 @query("i3_shown_text", f"SELECT handbook_id, page_no, {_SHOWN_SQL} AS shown FROM v_page_streams")
 def i3(c: Corpus) -> DataFrame:
-    return c.view("v_page_streams").select("handbook_id", "page_no", text.shown_text(F.col("stream")).alias("shown"))
+    return c.pages().select("handbook_id", "page_no", pages.page_text(F.col("fragments")).alias("shown"))
 
 
 _REPAIRED = duck_decode(
@@ -49,8 +49,8 @@ _REPAIRED = duck_decode(
 
 @query("i4_text_repair", f"SELECT handbook_id, page_no, {_REPAIRED} AS repaired FROM v_page_streams")
 def i4(c: Corpus) -> DataFrame:
-    return c.view("v_page_streams").select(
-        "handbook_id", "page_no", text.repair_text(text.shown_text(F.col("stream"))).alias("repaired")
+    return c.pages().select(
+        "handbook_id", "page_no", text.repair_text(pages.page_text(F.col("fragments"))).alias("repaired")
     )
 
 
@@ -78,12 +78,12 @@ def i5_lines(c: Corpus) -> DataFrame:
 @query("i6_credits", r"""
 SELECT handbook_id, page_no, TRY_CAST(regexp_extract(stream, ' Tm \[\((\d+) ECTS/LP\)\] TJ', 1) AS INT) AS ects FROM v_page_streams""")
 def i6(c: Corpus) -> DataFrame:
-    return c.view("v_page_streams").select("handbook_id", "page_no", text.credits(F.col("stream")).alias("ects"))
+    return c.pages().select("handbook_id", "page_no", pages.credits(F.col("fragments")).alias("ects"))
 
 
 @query("i7_section_text", section_sql("Lernziele/Kompetenzen:"))
 def i7(c: Corpus) -> DataFrame:
-    return sequences.page_sections(c.view("v_page_streams"), "Lernziele/Kompetenzen:")
+    return pages.page_sections(c.pages(), "Lernziele/Kompetenzen:")
 
 
 def _label(label: str) -> str:
@@ -107,14 +107,14 @@ WHERE part_no > 0"""
 
 @query("i8_module_parts", _PART_ROWS)
 def i8(c: Corpus) -> DataFrame:
-    return sequences.module_part_rows(c.view("v_page_streams"))
+    return pages.module_part_rows(c.pages())
 
 
 @query("i8_module_exam", f"""
 SELECT handbook_id, page_no, count(*) AS n_parts, coalesce(string_agg(exam, chr(10) ORDER BY part_no), '') AS module_exam
 FROM ({_PART_ROWS}) GROUP BY handbook_id, page_no""")
 def i8_exam(c: Corpus) -> DataFrame:
-    parts = sequences.module_parts(c.view("v_page_streams"))
+    parts = pages.module_parts(c.pages())
     return parts.select("handbook_id", "page_no", F.size("module_parts").alias("n_parts"), "module_exam")
 
 
@@ -123,10 +123,7 @@ SELECT handbook_id, replace(nullif(regexp_extract(stream, 'Modulhandbuch[^\n]*\n
 FROM (SELECT *, row_number() OVER (PARTITION BY handbook_id ORDER BY page_no) AS rn FROM v_page_streams WHERE contains(stream, 'Modulhandbuch'))
 WHERE rn = 1""")
 def i9(c: Corpus) -> DataFrame:
-    covers = c.view("v_page_streams").filter(F.contains("stream", F.lit("Modulhandbuch"))).select(
-        "handbook_id", "page_no", text.handbook_title(F.col("stream")).alias("title")
-    )
-    return sequences.first_per_key(covers, ["handbook_id"], [F.col("page_no")]).select("handbook_id", "title")
+    return pages.handbook_titles(c.pages())
 
 
 @query("i10_module_pages", r"""
@@ -138,7 +135,7 @@ SELECT handbook_id, module_code, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VA
 FROM ranges GROUP BY handbook_id, module_code""")
 def i10(c: Corpus) -> DataFrame:
     return sequences.page_ranges(
-        sequences.module_pages(c.view("v_page_streams")), ["handbook_id", "module_code"], "printed_page"
+        pages.module_pages(c.pages()), ["handbook_id", "module_code"], "printed_page"
     )
 
 
@@ -490,7 +487,7 @@ LEFT JOIN contents c ON c.handbook_id = t.handbook_id AND c.module_code = t.modu
 LEFT JOIN goals g ON g.handbook_id = t.handbook_id AND g.module_code = t.module_code
 LEFT JOIN parts p ON p.handbook_id = t.handbook_id AND p.page_no = t.page_no""")
 def i44(c: Corpus) -> DataFrame:
-    return records.module_records(c.view("v_page_streams")).select(
+    return pages.module_records(c.pages()).select(
         "handbook_id", "module_code", "title", "ects", "content", "goals",
         F.size("module_parts").cast("long").alias("n_parts"), "module_exam", "pages",
     )

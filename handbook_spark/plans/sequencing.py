@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from handbook_spark.corpus import Corpus
-from handbook_spark.operators import sequences
+from handbook_spark.operators import pages, sequences
 from handbook_spark.plans.dialect import duck_decode
 from handbook_spark.plans.registry import query
 
@@ -96,7 +96,7 @@ firsts AS (SELECT *, row_number() OVER (PARTITION BY handbook_id, line ORDER BY
 codes AS (SELECT *, row_number() OVER (PARTITION BY handbook_id, code ORDER BY page_no, place) AS nth FROM firsts WHERE rn = 1)
 SELECT handbook_id, code AS module_code, page_no, place FROM codes WHERE nth = 1""")
 def e7(c: Corpus) -> DataFrame:
-    return sequences.toc_codes(c.view("v_page_streams"))
+    return pages.toc_codes(c.pages())
 
 
 def section_sql(heading: str) -> str:
@@ -116,7 +116,7 @@ WITH sections AS ({section_sql('Inhalte:')}),
 once AS (SELECT handbook_id, module_code, text, min(page_no) AS page_no FROM sections GROUP BY handbook_id, module_code, text)
 SELECT handbook_id, module_code, {duck_decode("string_agg(text, chr(10) ORDER BY page_no)")} AS text FROM once GROUP BY handbook_id, module_code""")
 def e8(c: Corpus) -> DataFrame:
-    return sequences.module_sections(c.view("v_page_streams"), "Inhalte:")
+    return pages.module_sections(c.pages(), "Inhalte:")
 
 
 @query("e9_token_packing", rf"""

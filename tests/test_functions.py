@@ -31,11 +31,6 @@ def test_repair_text(spark):
     assert column(spark, ["Grund-\nlagen der T ) -12.5 ( heorie ) 3 ( x"], text.repair_text) == ["Grundlagen der T heorie x"]
 
 
-def test_shown_text(spark):
-    stream = "1 0 0 -1 4 5 Tm [(eins)] TJ\nBT\n1 0 0 -1 4 6 Tm [(zwei)] TJ"
-    assert column(spark, [stream, "leer"], text.shown_text) == ["eins\nzwei", ""]
-
-
 @pytest.mark.parametrize("raw, clean", [
     ("Geographie (6LP)", "Geographie"), (r"Geographie \(6LP\) 2", "Geographie 2"), ("Geographie (6 LP) II", "Geographie II"),
     ("Mathe 6 CP", "Mathe"), ("Mathe 6 CP b", "Mathe 6 CP b"), ("Bio (6 LP; alt)", "Bio (alt)"),

@@ -2,8 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from handbook_spark.functions.nested import snake_fields
-from handbook_spark.operators import joins, records
+from handbook_spark.functions.nested import let, snake_fields
+from handbook_spark.operators import joins, pages
+from handbook_spark.sources.page_streams import scan_pages
 
 import pytest
 
@@ -17,8 +18,9 @@ def page(*lines: str, code: str = "INF-0001", footer: int = 3) -> str:
 
 
 def titles(spark, *streams: str) -> list:
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(streams)], "i int, s string")
-    return [r.t for r in df.select("i", records.page_title(F.col("s")).alias("t")).orderBy("i").collect()]
+    scanned = scan_pages(spark.createDataFrame([(i, s) for i, s in enumerate(streams)], "i int, stream string"))
+    raw = let(pages.title_header(F.col("fragments")), lambda h: pages.raw_title(h, F.col("fragments"), F.col("fonts"), F.col("boxes")))
+    return [r.t for r in scanned.select("i", pages.finished_title(raw).alias("t")).orderBy("i").collect()]
 
 
 def test_titles_of_pages(spark):
@@ -40,7 +42,7 @@ def test_record_over_pages(spark):
         (1, 7, page(shown("banken"), "/F2 9 Tf", section, footer=8)),
         (1, 8, "Modul ohne Kopf"),
     ]
-    found = records.module_records(spark.createDataFrame(rows, "handbook_id int, page_no int, stream string")).collect()
+    found = pages.module_records(scan_pages(spark.createDataFrame(rows, "handbook_id int, page_no int, stream string"))).collect()
     assert [(r.handbook_id, r.module_code, r.title, r.ects, r.content, r.goals, r.pages) for r in found] == [
         (1, "INF-0001", "Datenbanken", 8, "Gründung", None, "7 - 8")]
 

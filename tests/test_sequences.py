@@ -8,7 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from handbook_spark.functions.text import token_count
-from handbook_spark.operators import numbering, sequences
+from handbook_spark.operators import numbering, pages, sequences
+from handbook_spark.sources.page_streams import scan_pages
 
 
 def test_run_numbers_across_blocks(spark):
@@ -98,7 +99,7 @@ def test_toc_lines_join_across_pages(spark):
         (1, 2, "1 0 0 -1 1 10 Tm [(NOT-100)] TJ"),
     ]
     df = spark.createDataFrame(rows, "handbook_id int, page_no int, stream string")
-    got = [r.module_code for r in sequences.toc_codes(df).orderBy("page_no", "place").collect()]
+    got = [r.module_code for r in pages.toc_codes(scan_pages(df)).orderBy("page_no", "place").collect()]
     assert got == ["GEO-100", "MA-0042", "ÄÖ-777"]
 
 
@@ -111,10 +112,10 @@ def test_sections_join_pages_and_drop_copies(spark):
     first = "1 0 0 -1 60 70 Tm [(Erster)] TJ\n1 0 0 -1 90 70 Tm [(Satz)] TJ\n/F1 9 Tf\n1 0 0 -1 60 80 Tm [(Zweiter)] TJ"
     rows = [(1, 0, page(first, 3)), (1, 1, page(first, 4)), (1, 2, page("1 0 0 -1 60 70 Tm [(Neu)] TJ", 5)), (1, 3, "leer")]
     df = spark.createDataFrame(rows, "handbook_id int, page_no int, stream string")
-    got = sequences.module_sections(df, "Inhalte:").collect()
+    got = pages.module_sections(scan_pages(df), "Inhalte:").collect()
     assert [(r.module_code, r.text) for r in got] == [("GEO-100", "Erster Satz\nZweiter\nNeu")]
-    pages = sequences.module_pages(df).orderBy("page_no").collect()
-    assert [(r.module_code, r.printed_page) for r in pages] == [("GEO-100", 3), ("GEO-100", 4), ("GEO-100", 5)]
+    printed = pages.module_pages(scan_pages(df)).orderBy("page_no").collect()
+    assert [(r.module_code, r.printed_page) for r in printed] == [("GEO-100", 3), ("GEO-100", 4), ("GEO-100", 5)]
 
 
 def test_packing_matches_a_plain_loop(spark):
