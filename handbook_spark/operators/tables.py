@@ -1,4 +1,7 @@
-"""Table mutations as transforms from one table state to the next."""
+"""Table mutations as transforms from one table state to the next.
+
+Keys are compared null-safe: a NULL in a key column is a value like any other, equal to itself, so a repeated write finds its rows again.
+"""
 
 from __future__ import annotations
 
@@ -38,10 +41,19 @@ def insert(
     return table.unionByName(new), new
 
 
+def join_keys(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Null-safe equi join on ``key``: all columns of ``left``, and those of ``right`` but for its key."""
+    own = {k: f"__key_{n}" for n, k in enumerate(key)}
+    right = right.withColumnsRenamed(own)
+    same = F.lit(True)
+    for k, name in own.items():
+        same = same & left[k].eqNullSafe(right[name])
+    return left.join(right, same, how).drop(*own.values())
+
+
 def insert_new(table: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows to append so that every key stays unique: the first row of each key not yet stored."""
-    first = first_per_key(rows, key, order)
-    return first.join(table.select(*key), list(key), "left_anti")
+    return join_keys(first_per_key(rows, key, order), table.select(*key), key, "left_anti")
 
 
 def insert_or_skip(table: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -76,11 +88,12 @@ def update(
     return table.select(*after), table.filter(hit).select(*[value(f) for f in table.schema])
 
 
-def update_from(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+def update_from(table: DataFrame, changes: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Take the columns of ``changes`` for the keys it names (one row per key)."""
-    columns = [c for c in changes.columns if c != key]
-    new = changes.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = table.join(new, key, "left")
+    key = [key] if isinstance(key, str) else list(key)
+    columns = [c for c in changes.columns if c not in key]
+    new = changes.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    joined = join_keys(table, new, key, "left")
     return joined.select(
         *[
             F.when(F.col("_hit"), F.col(f"_new_{f.name}").cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
@@ -106,16 +119,17 @@ def get_or_create(
 ) -> tuple[DataFrame, DataFrame]:
     """Dimension with the missing keys added, and the facts with the dimension id instead of key and attributes.
 
-    New ids continue after the largest one in key order.
+    New ids continue after the largest one in key order. A key is one value per dimension row, NULL included; facts of a
+    key that the dimension holds more than once go to its smallest id, so each fact keeps exactly one link and a second run adds no row.
     """
     wanted = facts.select(*key, *attributes)
     order = [F.col(a) for a in attributes] or [F.col(key[0])]
-    missing = first_per_key(wanted, key, order).join(dimension.select(*key), list(key), "left_anti")
+    missing = join_keys(first_per_key(wanted, key, order), dimension.select(*key), key, "left_anti")
     numbered = number_rows(missing, key, "_n", start=0)
     created = numbered.withColumn("id", next_id(dimension, "id") + F.col("_n")).drop("_n")
     full = dimension.unionByName(created, allowMissingColumns=True)
-    linked = facts.join(full.select(*key, F.col("id").alias("dimension_id")), list(key)).drop(*key, *attributes)
-    return full, linked
+    ids = full.groupBy(*key).agg(F.min("id").alias("dimension_id"))
+    return full, join_keys(facts, ids, key, "inner").drop(*key, *attributes)
 
 
 def store_raw_modules(
@@ -124,7 +138,7 @@ def store_raw_modules(
     """Store new raw texts once per (code, content hash) and link every handbook to its texts.
 
     ``rows`` has ``mhb_id, module_code, content``; ``stored`` has ``id, module_code, content,
-    content_md5``; ``relation`` has unique ``mhb_id, modules_raw_id``.
+    content_md5``; ``relation`` has unique ``mhb_id, modules_raw_id``. Texts without content or code are stored once as well.
     """
     hashed = with_content_hash(rows, "content")
     key = ["module_code", "content_md5"]
@@ -132,8 +146,9 @@ def store_raw_modules(
     numbered = number_rows(texts, key, "_n", start=0)
     created = numbered.withColumn("id", next_id(stored, "id") + F.col("_n")).drop("_n")
     full = stored.unionByName(created)
-    pairs = hashed.join(full.select(*key, F.col("id").alias("modules_raw_id")), key).select("mhb_id", "modules_raw_id")
-    fresh = pairs.distinct().join(relation, ["mhb_id", "modules_raw_id"], "left_anti")
+    ids = full.groupBy(*key).agg(F.min("id").alias("modules_raw_id"))
+    pairs = join_keys(hashed, ids, key, "inner").select("mhb_id", "modules_raw_id")
+    fresh = join_keys(pairs.distinct(), relation, ["mhb_id", "modules_raw_id"], "left_anti")
     return full, relation.unionByName(fresh)
 
 

@@ -10,6 +10,7 @@ from handbook_spark.operators import tables
 from handbook_spark.plans.registry import query
 from handbook_spark.session import scratch_path
 from handbook_spark.sources import exports
+from handbook_spark.sources.keyed_table import KeyedTable
 
 COLUMNS = ["module_code", "title", "ects", "pages"]
 _MODULES = """SELECT m.mhb_id, h.title AS name, m.pos, m.module_code, m.title, m.ects, m.pos % 7 AS p FROM v_modules m JOIN v_mhbs h ON h.id = m.mhb_id"""
@@ -118,10 +119,28 @@ _KEY = ["module_code", "content_md5"]
 SELECT given, inserted, given - inserted AS skipped FROM (SELECT (SELECT count(*) FROM v_modules_raw) AS given, count(*) AS inserted FROM (
   SELECT DISTINCT module_code, md5(content) AS content_md5 FROM v_modules_raw EXCEPT SELECT module_code, content_md5 FROM ({_STORED})))""")
 def a17(c: Corpus) -> DataFrame:
-    path = scratch_path(c.spark)
-    c.sql(_STORED).write.parquet(path)
+    stored = c.sql(_STORED)
+    table = KeyedTable(c.spark, scratch_path(c.spark), stored.schema, _KEY)
+    table.insert_new(1, stored, [F.col("id")])
     rows = tables.with_content_hash(c.view("v_modules_raw"), "content")
-    return exports.append_raw_modules(path, rows, _KEY, [F.col("id")])
+    return exports.append_raw_modules(table, 2, rows, [F.col("id")])
+
+
+_APPENDED = f"""
+SELECT module_code, content_md5, min(id) AS id FROM ({_STORED}) GROUP BY module_code, content_md5
+UNION ALL SELECT r.module_code, md5(r.content), min(r.id) FROM v_modules_raw r WHERE NOT EXISTS (
+  SELECT 1 FROM ({_STORED}) s WHERE s.module_code = r.module_code AND s.content_md5 = md5(r.content)) GROUP BY r.module_code, md5(r.content)"""
+
+
+@query("a17_repeated_batches", _APPENDED)
+def a17_repeated(c: Corpus) -> DataFrame:
+    """The table after two batches of which each was run twice."""
+    stored = c.sql(_STORED)
+    table = KeyedTable(c.spark, scratch_path(c.spark), stored.schema, _KEY)
+    rows = tables.with_content_hash(c.view("v_modules_raw"), "content")
+    for batch, given in ((1, stored), (1, stored), (2, rows), (2, rows)):
+        table.insert_new(batch, given, [F.col("id")])
+    return table.read().select("module_code", "content_md5", "id")
 
 
 @query("i40_stored_json", """

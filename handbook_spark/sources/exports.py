@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from handbook_spark.operators.tables import insert_new
+from handbook_spark.sources.keyed_table import KeyedTable
 from handbook_spark.session import materialize
 
 FILE_TYPES = ("json", "csv", "txt", "md", "html")
@@ -181,13 +181,12 @@ def write_export(lines: DataFrame, path: str) -> None:
     placed.select("mhb_id", F.col("line").alias("value")).write.partitionBy("mhb_id").text(path)
 
 
-def append_raw_modules(path: str, rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Append rows with new keys to a parquet table; returns counts of given, inserted and skipped rows."""
-    spark = rows.sparkSession
-    stored = spark.read.parquet(path)
-    # The new rows are fixed first, so what is counted is what is written, whoever else writes to the table.
-    new = materialize(insert_new(stored, rows, key, order).select(*stored.columns))
-    new.write.mode("append").parquet(path)
+def append_raw_modules(table: KeyedTable, batch: int, rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Append rows with new keys as batch number ``batch``; returns counts of given, inserted and skipped rows.
+
+    The counts are those of the stored batch, so a repeated batch, which appends nothing, returns the same ones.
+    """
+    table.insert_new(batch, rows, order)
     given = rows.agg(F.count(F.lit(1)).alias("given"))
-    inserted = new.agg(F.count(F.lit(1)).alias("inserted"))
+    inserted = table.rows_of(batch).agg(F.count(F.lit(1)).alias("inserted"))
     return given.select("given", inserted.scalar().alias("inserted")).withColumn("skipped", F.col("given") - F.col("inserted"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F, types as T
 from handbook_spark import session
 from handbook_spark.operators import tables
 from handbook_spark.sources import exports, readers
-from handbook_spark.streaming.ingest import ingest_raw_modules
+from handbook_spark.sources.keyed_table import KeyedTable
+from handbook_spark.streaming.ingest import RAW_SCHEMA, append_batch, ingest_raw_modules, raw_table
 
 
 def test_list_files(spark, tmp_path):
@@ -187,13 +188,14 @@ def test_write_export(spark, modules, tmp_path):
 
 
 def test_bulk_append(spark, tmp_path):
-    path = str(tmp_path / "raw")
-    schema = "module_code string, content string, content_md5 string"
-    spark.createDataFrame([("A", "x", None)], schema).withColumn("content_md5", F.md5("content")).write.parquet(path)
-    rows = tables.with_content_hash(spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "x"), ("B", "x")], "module_code string, content string"), "content")
-    counts = exports.append_raw_modules(path, rows, ["module_code", "content_md5"], [F.col("content")]).first()
-    assert counts.asDict() == {"given": 4, "inserted": 2, "skipped": 2}
-    assert spark.read.parquet(path).count() == 3
+    rows = tables.with_content_hash(spark.createDataFrame(
+        [("A", "x"), ("A", "y"), ("B", "x"), ("B", "x"), (None, "x"), ("A", None), ("A", None)], "module_code string, content string"), "content")
+    table = KeyedTable(spark, str(tmp_path / "raw"), rows.schema, ["module_code", "content_md5"], 4)
+    table.insert_new(1, rows.limit(1), [F.col("content")])
+    for _ in range(2):
+        counts = exports.append_raw_modules(table, 2, rows, [F.col("content")]).first()
+        assert counts.asDict() == {"given": 7, "inserted": 4, "skipped": 3}
+        assert table.read().count() == 5
 
 
 def test_incremental_ingest(spark, tmp_path):
@@ -206,6 +208,11 @@ def test_incremental_ingest(spark, tmp_path):
 
     assert arrive((1, "A", "x"), (2, "A", "x"), (1, "B", "y")) == [(1, "A", "x"), (1, "B", "y")]
     assert arrive((3, "A", "x"), (3, "A", "z")) == [(1, "A", "x"), (1, "B", "y"), (3, "A", "z")]
+    arrived = spark.createDataFrame([(4, "C", None), (5, "C", None)], RAW_SCHEMA)
+    for _ in range(2):
+        append_batch(table, arrived, 2)  # a module without content is stored once, however often the batch runs
+    append_batch(table, arrived, 3)
+    assert raw_table(spark, table).read().filter("module_code = 'C'").count() == 1
 
 
 def test_scratch_needs_a_shared_folder(spark, monkeypatch, tmp_path):
