@@ -215,22 +215,3 @@ def pack_modules(df: DataFrame, key: str, items: Column, limit: int, separator:
 
     # The outer generator keeps the optimizer from copying the fold into a filter of the scan.
     return df.select(key, F.inline_outer(let(items, chunks))).filter(F.col("chunk_no").isNotNull())
-
-
-def pack_rows(rows: DataFrame, key: str, position: str, text: str, limit: int, separator: str = MODULE_BREAK) -> DataFrame:
-    """Pack modules that are rows of their own, in order of ``position``, into chunks below a token budget.
-
-    Only positions and sizes of a document are folded in one place; the texts are then joined per chunk, which
-    the limit bounds (a larger module is a chunk of its own).
-    """
-    sized = rows.select(key, position, text, token_count(F.col(text)).alias("_size"))
-    fold = sized.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(position, "_size"))).alias("_rows"))
-    starts = _chunk_starts(F.transform("_rows", lambda r: r["_size"]), limit)
-    fold = fold.withColumn("_starts", starts)
-    length = F.coalesce(F.get("_starts", F.col("chunk_no") + 1), F.size("_rows") + 1) - F.col("_from")
-    numbered = fold.select(key, "_rows", "_starts", F.posexplode("_starts").alias("chunk_no", "_from")).select(
-        key, "chunk_no", F.inline(F.slice("_rows", F.col("_from"), length))).drop("_size")
-    return sized.join(numbered, [key, position]).groupBy(key, "chunk_no").agg(
-        F.count(F.lit(1)).alias("n_modules"), F.sum("_size").alias("n_tokens"),
-        ordered_join([position], text, separator).alias("text"),
-    )

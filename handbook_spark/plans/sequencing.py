@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from handbook_spark.corpus import Corpus
-from handbook_spark.operators import pages, sequences
+from handbook_spark.operators import packing, pages, sequences
 from handbook_spark.plans.dialect import duck_decode
 from handbook_spark.plans.registry import query
 
@@ -160,5 +160,5 @@ SELECT f.handbook_id, f.chunk_no, count(*) AS n_modules, CAST(sum(s.size) AS BIG
 FROM fold f JOIN sized s ON s.handbook_id = f.handbook_id AND s.place = f.place GROUP BY f.handbook_id, f.chunk_no""")
 def e9_packed(c: Corpus) -> DataFrame:
     modules = sequences.segment_modules(c.view("v_md_pages"), MARKER)
-    packed = sequences.pack_rows(modules, "handbook_id", "segment", "content", PACK_LIMIT)
+    packed = packing.pack_rows(modules, "handbook_id", "segment", "content", PACK_LIMIT)
     return packed.select("handbook_id", "chunk_no", "n_modules", "n_tokens", F.md5("text").alias("text_md5"))

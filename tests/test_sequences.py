@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from handbook_spark.functions.text import token_count
-from handbook_spark.operators import numbering, pages, sequences
+from handbook_spark.operators import numbering, packing, pages, sequences
 from handbook_spark.sources.page_streams import scan_pages
 
 
@@ -145,7 +145,7 @@ def test_rows_pack_like_the_items_of_a_document(spark):
     rows = spark.createDataFrame([(d, i, t) for d, texts in documents for i, t in enumerate(texts)], "d int, pos int, t string").repartition(7)
     fields = ("d", "chunk_no", "n_modules", "n_tokens", "text")
     want = sorted(tuple(r[f] for f in fields) for r in sequences.pack_modules(items, "d", F.col("items"), 50).collect())
-    assert sorted(tuple(r[f] for f in fields) for r in sequences.pack_rows(rows, "d", "pos", "t", 50).collect()) == want
+    assert sorted(tuple(r[f] for f in fields) for r in packing.pack_rows(rows, "d", "pos", "t", 50).collect()) == want
 
 
 def test_long_modules_come_in_pieces(spark):
