@@ -8,13 +8,18 @@ once per dialect.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from handbook_spark.operators.text_index import TextIndex, build_index
 from handbook_spark.session import input_state, scratch_path
 from handbook_spark.sources.page_streams import scan_pages
 
+T = TypeVar("T")
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -354,19 +359,33 @@ class Corpus:
     def _staged(self, name: str) -> DataFrame:
         """Stored rows of a view, written on first use."""
         order, tables = STAGED_VIEWS.get(name, (PAGE_KEY, PAGE_TABLES))
+
+        def write(path: str) -> None:
+            rows = self._derived(name)
+            dealt = rows.repartition(*order) if name == PAGES else rows.repartitionByRange(*order)
+            dealt.sortWithinPartitions(*order).write.parquet(path)
+
+        return self._stored(name, tables, write, self.spark.read.parquet)
+
+    def text_index(self) -> TextIndex:
+        """Inverted index of the documents' texts, written on first use."""
+        return self._stored(
+            "text_index", ("documents",), lambda path: build_index(self.table("documents"), "doc_id", "text", path),
+            lambda path: TextIndex(self.spark, path, "doc_id"))
+
+    def _stored(self, name: str, tables: tuple[str, ...], write: Callable[[str], object], read: Callable[[str], T]) -> T:
+        """What ``read`` makes of a scratch folder that ``write`` filled, once per application and state of the input tables."""
         state = tuple(input_state(self.spark, f"{self.path}/{t}.parquet") for t in tables)
         key = (self.spark.sparkContext.applicationId, name, state)
         if key in _stage_paths:
             try:
-                return self.spark.read.parquet(_stage_paths[key])
+                return read(_stage_paths[key])
             except AnalysisException:  # the scratch folder was cleared meanwhile
                 del _stage_paths[key]
         path = scratch_path(self.spark)
-        rows = self._derived(name)
-        dealt = rows.repartition(*order) if name == PAGES else rows.repartitionByRange(*order)
-        dealt.sortWithinPartitions(*order).write.parquet(path)
+        write(path)
         _stage_paths[key] = path
-        return self.spark.read.parquet(path)
+        return read(path)
 
     def _register_tables(self, text: str) -> None:
         names = _names_in(text)

@@ -60,9 +60,14 @@ bm25 AS (SELECT doc_id, sum(w * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length
 @query("f5_bm25_top_k", f"""
 WITH {_BM25.strip()} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 9) DESC, doc_id LIMIT 10""")
 def f5(c: Corpus) -> DataFrame:
+    return c.text_index().top_k(KEYWORDS, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("f5_bm25_scores", f"""
+WITH {_BM25.strip()} SELECT doc_id, round(score, 6) AS score FROM bm25""")
+def f5_scores(c: Corpus) -> DataFrame:
     scored = retrieval.bm25(c.table("documents"), "doc_id", "text", KEYWORDS)
-    rounded = scored.withColumn("score", F.round("score", 9))
-    return retrieval.top_k(rounded, "score", "doc_id", 10).select("doc_id", F.round("score", 6).alias("score"))
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("f6_rank_fusion", f"""
@@ -75,8 +80,7 @@ FROM hits h JOIN documents d ON d.doc_id = h.doc_id GROUP BY d.text""")
 def f6(c: Corpus) -> DataFrame:
     documents = c.table("documents")
     dense = retrieval.nearest(c.table("embeddings"), "embedding", "vec_id", example_vector(c), 10)
-    scored = retrieval.bm25(documents, "doc_id", "text", KEYWORDS).withColumn("score", F.round("score", 9))
-    sparse = retrieval.top_k(scored, "score", "doc_id", 10)
+    sparse = c.text_index().top_k(KEYWORDS, 10)
     lists = []
     for hits, key in ((dense, "vec_id"), (sparse, "doc_id")):
         lists.append(retrieval.rank_hits(hits, "score", key).select(F.col(key).alias("doc_id"), "rank"))
