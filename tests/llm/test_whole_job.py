@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from handbook_spark.llm import part_enum, secrets
+from handbook_spark.llm import components, part_enum, secrets
 
 
 def test_every_form_of_a_sensitive_name_is_scanned(spark):
@@ -105,3 +106,42 @@ def test_lexer_stays_linear():
         begin = time.process_time()
         secrets.scan(text)
         assert time.process_time() - begin < 15
+
+
+def _found(links) -> dict:
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+def test_components_of_stars_chains_and_copies(spark):
+    rng = np.random.default_rng(5)
+    links = [(0, i) for i in range(1, 3000)]  # one node that a third of all links have
+    links += [(10_000 + i, 10_001 + i) for i in range(400)] + [(20_000 + int(a), 20_000 + int(b)) for a, b in rng.integers(0, 3000, (2000, 2))]
+    given = spark.createDataFrame([*links, (1, None), (7, 7), (99_999, 99_999)] + links[:50], "a long, b long").repartition(5)
+    found = {r.node: r.label for r in components.components(given).collect()}
+    assert found == _found([(a, b) for a, b in links if a != b])
+    assert components.components(given.limit(0)).collect() == []
+
+
+def test_the_rows_of_one_key_are_dealt_over_many_tasks(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("node"), F.when(F.col("id") < 10_000, F.lit(3)).otherwise(F.col("id")).alias("label"))
+    values = rows.select(F.col("node").alias("of"), (F.col("label") * 2).alias("twice"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        joined = components.dealt_join(rows, "label", "node", values, "of")
+        sizes = sorted(joined.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+        assert joined.filter("twice = 2 * IF(label = 3, 3, label)").count() == sum(sizes) == 30_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
