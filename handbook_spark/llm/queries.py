@@ -157,7 +157,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = lm_scoring.score(docs, fold("doc_id", 10) != 0, tokenizer_file("word_bpe_49k.json"))
     return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
-                         "base_score", "score", "model_score")
+                         "base_score", "score", "mixed_score")
 
 
 @_query("op9_secret_scan")

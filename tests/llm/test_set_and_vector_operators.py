@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,14 +196,19 @@ def test_attention_gradient_and_causality():
     assert np.allclose(before[0][:20], after[0][:20]) and not np.allclose(before[0][20], after[0][20])
 
 
-def test_model_is_a_distribution_over_ids():
+def small_model(vocabulary: int = 700) -> lm_scoring.Model:
     rng = np.random.default_rng(3)
-    vocabulary = 700
-    samples = [rng.integers(0, 50, 60) for _ in range(20)]
-    model = lm_scoring.fit(samples, vocabulary)
-    ids = np.bincount(np.concatenate(samples), minlength=vocabulary + 1).astype(float)
+    ids = np.bincount(rng.integers(0, 50, 1200), minlength=vocabulary + 1)
     ids[vocabulary] = 20
-    model.set_counts(rng.integers(0, 5, (lm_scoring.BUCKETS, lm_scoring.BUCKETS)).astype(float), ids)
+    pairs = rng.integers(0, 5, (lm_scoring.BUCKETS, lm_scoring.BUCKETS))
+    pairs[:, 0] = 0  # nothing is followed by the beginning
+    model = lm_scoring.Model(lm_scoring.buckets(ids), lm_scoring.classes(pairs), lm_scoring.Attention())
+    model.set_counts(pairs, ids)
+    return model
+
+
+def test_model_is_a_distribution_over_ids():
+    model, vocabulary = small_model(), 700
     # The probabilities of all ids at the second place of a text add up to one.
     start = 4
     totals = 0.0
@@ -212,11 +218,82 @@ def test_model_is_a_distribution_over_ids():
     assert totals == pytest.approx(1, abs=1e-3)
 
 
+def test_scores_equal_a_slow_scorer():
+    model, rng = small_model(), np.random.default_rng(4)
+    model.attention.p["place"] = rng.standard_normal((lm_scoring.SCORED, lm_scoring.WINDOW)).astype(np.float32)
+    texts = [rng.integers(0, 701, n) for n in (1, 2, 23, 24, 25, 49, 130)]
+    found = model.scores(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert found == pytest.approx([brute.language_model_score(model, t.tolist()) for t in texts], abs=1e-4)
+
+
 def test_training_lowers_the_loss():
     pattern = np.tile([2, 3, 4, 5, 6], 60)
     counts = np.array([len(pattern)])
     places, absent, used = lm_scoring.windows(counts)
     before = np.concatenate(([0], pattern[:-1]))
     targets = (pattern % lm_scoring.CLASSES)[places[:, -lm_scoring.SCORED:]]
-    losses = lm_scoring.Attention().train(np.repeat(before[places], 40, 0), np.repeat(absent, 40, 0), np.repeat(targets, 40, 0), np.repeat(used, 40, 0))
+    attention, state = lm_scoring.Attention(), {}
+    losses = [attention.step(state, (before[places], absent, targets, used), 0.01) for _ in range(60)]
     assert losses[-1] < losses[0] / 2
+    again = lm_scoring.Attention()
+    again.set_vector(attention.vector())
+    assert all(np.array_equal(again.p[k], v) for k, v in attention.p.items())
+
+
+def test_rounds_take_every_window_of_a_text_once():
+    rng = np.random.default_rng(6)
+    counts = np.array([5000, 1, 37, 24])
+    ids = rng.integers(0, 30_000, counts.sum())
+    taken = []
+    for turn in range(7):
+        places, _, used = lm_scoring.chosen_windows(ids, counts, turn, 7)
+        assert len(places) > 10  # of 213 windows, at any depth of the text
+        taken += places[:, -lm_scoring.SCORED:][used].tolist()
+    assert sorted(taken) == list(range(counts.sum()))
+
+
+def test_model_learns_from_all_training_texts(spark):
+    """Counts equal plain ones, deep places count, and the trained weights predict better than untrained ones."""
+    rng = np.random.default_rng(7)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["red", "blue", "green", "dog", "cat", "bird", "runs", "sleeps"]
+    # A colour decides the verb two words later, which neither the word before nor frequencies can tell.
+
+    def phrase(colour: int, animal: int) -> str:
+        return f"{words[colour]} {words[3 + animal]} {words[6 + (colour == 0)]}"
+
+    lines = [" ".join(phrase(*map(int, rng.integers(0, 3, 2))) for _ in range(300)) for _ in range(40)]
+    rows = [(i, t, i % 4 != 0) for i, t in enumerate(lines)] + [(100, "dog " * 3000 + "zebra zebra", True), (101, None, True)]
+    docs = spark.createDataFrame(rows, "text_id long, text string, train boolean").repartition(3)
+    stored = lm_scoring.encoded(docs, path)
+    model = lm_scoring.fit(stored, path, rounds=3, every=2)
+    encoder = brute.Tokenizers().word
+    texts = [[*encoder.encode(t or "", add_special_tokens=False).ids] for _, t, train in rows if train]
+    vocabulary = len(model.bucket_of) - 1
+    want = np.bincount(np.concatenate([[*t, vocabulary] for t in texts]).astype(int), minlength=vocabulary + 1)
+    training = stored.filter("train")
+    assert np.array_equal(lm_scoring.id_counts(training, vocabulary, lm_scoring._kind(path)), want)
+    pairs = np.zeros((lm_scoring.BUCKETS, lm_scoring.BUCKETS), int)
+    for t in texts:
+        row = [0, *model.bucket_of[[*t, vocabulary]].tolist()]
+        for a, b in zip(row, row[1:]):
+            pairs[a, b] += 1
+    assert np.array_equal(lm_scoring.pair_counts(training, model.bucket_of, lm_scoring._kind(path)), pairs)
+    plain = lm_scoring.Model(model.bucket_of, model.class_of, lm_scoring.Attention())
+    plain.set_counts(pairs, want)
+    held_out = [np.array([*encoder.encode(t, add_special_tokens=False).ids, vocabulary]) for i, t, train in rows if not train]
+    flat, counts = np.concatenate(held_out), np.array([len(t) for t in held_out])
+    assert model.scores(flat, counts).sum() > 0.8 * plain.scores(flat, counts).sum()
+
+
+def test_training_grows_with_the_corpus(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    steps = []
+    for number in (2, 8):
+        docs = spark.createDataFrame([(i, f"start {i} " + " ".join(f"n{i * 5000 + j}" for j in range(9000)), True) for i in range(number)],
+                                     "text_id long, text string, train boolean").coalesce(1)
+        stored = lm_scoring.encoded(docs, path)
+        total = sum(len(lm_scoring.chosen_windows(np.frombuffer(bytes(r.ids), lm_scoring._kind(path)).astype(np.int64), np.array([len(r.ids) // 2]), t, 12)[0])
+                    for r in stored.collect() for t in range(lm_scoring.ROUNDS))
+        steps.append(total)
+    assert 3 < steps[1] / steps[0] < 5
