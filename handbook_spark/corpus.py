@@ -14,6 +14,8 @@ from typing import TypeVar
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from handbook_spark.operators import substring_index
+from handbook_spark.operators.filters import INDEXED_TEXTS
 from handbook_spark.operators.text_index import TextIndex, build_index
 from handbook_spark.session import input_state, scratch_path
 from handbook_spark.sources.page_streams import scan_pages
@@ -373,6 +375,14 @@ class Corpus:
             "text_index", ("documents",), lambda path: build_index(self.table("documents"), "doc_id", "text", path),
             lambda path: TextIndex(self.spark, path, "doc_id"))
 
+    def search_index(self) -> substring_index.SubstringIndex:
+        """Joined extraction rows in the order of their titles with bitmaps for substring filters, written on first use."""
+        rows, order = self.view("v_search_full"), ["module_title", "raw_module_id", "module_id"]
+        fields = {name: texts() for name, texts in INDEXED_TEXTS.items()}
+        return self._stored(
+            "search_index", ("lineitem", "part", "supplier"), lambda path: substring_index.build_index(rows, fields, order, path),
+            lambda path: substring_index.SubstringIndex(self.spark, path, rows.schema))
+
     def _stored(self, name: str, tables: tuple[str, ...], write: Callable[[str], object], read: Callable[[str], T]) -> T:
         """What ``read`` makes of a scratch folder that ``write`` filled, once per application and state of the input tables."""
         state = tuple(input_state(self.spark, f"{self.path}/{t}.parquet") for t in tables)

@@ -136,6 +136,26 @@ SEARCH_FILTERS: dict[str, Callable[[str, str], Column]] = {
     "version": lambda v, _: F.col("version") == semester_from_label(v),
     "subject": lambda v, _: code_matches(F.col("module_code"), F.col("ai_module_code"), f"{v}-%"),
 }
+# Substring filter name -> the texts of which any may hold the value, and the pattern that it makes.
+INDEXED_TEXTS: dict[str, Callable[[], list[Column]]] = {
+    "module_code": lambda: [F.coalesce(F.col("module_code"), F.col("ai_module_code"))],
+    "title": lambda: [F.col("module_title"), F.col("ai_title")],
+    "lecturer": lambda: [F.col("ai_lecturer")],
+    "requirements": lambda: [F.to_json("ai_requirements")],
+    "success_requirements": lambda: [F.to_json("ai_success_requirements")],
+    "exams": lambda: [F.to_json("ai_exams")],
+}
+
+
+def substring_patterns(filters: Mapping[str, str | None]) -> dict[str, str]:
+    """LIKE patterns of the non-blank substring filters by indexed field; a subject is the beginning of a code."""
+    present = {k: v for k, v in filters.items() if v is not None and v.strip() != ""}
+    found = {k: like_text(v) for k, v in present.items() if k in INDEXED_TEXTS}
+    if "subject" in present:
+        found["module_code"] = f"{present['subject']}-%" + found.get("module_code", "")
+    return found
+
+
 COMPARISON_KEYS = {f"{name}_type": name for name in ("ects", "weekly_hours", "recommended_semester")}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from handbook_spark.corpus import Corpus
 from handbook_spark.operators import joins
-from handbook_spark.operators.filters import search_modules
+from handbook_spark.operators.filters import search_modules, substring_patterns
 from handbook_spark.plans.registry import query
 
 
@@ -29,6 +29,13 @@ def module_search(c: Corpus, **filters: str) -> DataFrame:
     return joins.merged_modules(found).orderBy(F.col("confidence_score").desc(), "raw_module_id")
 
 
+def indexed_search(c: Corpus, **filters: str) -> DataFrame:
+    """``module_search`` over stored rows: substring filters read only the buckets of rows that can match."""
+    rows = c.search_index().candidates(substring_patterns(filters))
+    found = joins.with_agreements(search_modules(rows, filters))
+    return joins.merged_modules(found).orderBy(F.col("confidence_score").desc(), "raw_module_id")
+
+
 @query("c1_module_search", """
 SELECT raw_module_id, coalesce(module_code, ai_module_code) AS module_code, coalesce(module_title, ai_title) AS title,
        coalesce(module_ects, ai_ects) AS ects, CAST(correct_module_code AS DOUBLE) AS correct_module_code,
@@ -93,12 +100,19 @@ def _filter_query(name: str, wanted: dict[str, str], condition: str) -> None:
 SELECT raw_module_id, coalesce(module_code, ai_module_code) AS module_code, round(CAST(correct_module_code + correct_ects + correct_title AS DOUBLE) / 3, 6) AS confidence_score
 FROM v_search_full WHERE coalesce(module_code, ai_module_code) IS NOT NULL AND {condition}""")
     def search(c: Corpus) -> DataFrame:
-        return module_search(c, **wanted).select("raw_module_id", "module_code", "confidence_score")
+        return indexed_search(c, **wanted).select("raw_module_id", "module_code", "confidence_score")
 
 
 for _name, (_wanted, _condition) in _FILTERS.items():
     _filter_query(_name, _wanted, _condition)
 
+# Patterns that the index cannot narrow, or only in part: short ones, wildcards, several fields.
+_filter_query("short_pattern", {"title": "bo", "lecturer": "1"}, "(module_title ILIKE '%bo%' OR ai_title ILIKE '%bo%') AND ai_lecturer ILIKE '%1%'")
+_filter_query("wildcards", {"title": "b_lt%1"}, "(module_title ILIKE '%b_lt%1%' OR ai_title ILIKE '%b_lt%1%')")
+_filter_query("several", {"title": "bolt", "lecturer": "prof. 1", "subject": "eco", "exams": "klausur"}, """
+(module_title ILIKE '%bolt%' OR ai_title ILIKE '%bolt%') AND ai_lecturer ILIKE '%prof. 1%'
+AND coalesce(module_code, ai_module_code) ILIKE 'eco-%' AND CAST(to_json(ai_exams) AS VARCHAR) ILIKE '%klausur%'""")
+
 
 @query("i43_full_merge", _RECORD)
 def i43_full(c: Corpus) -> DataFrame:
