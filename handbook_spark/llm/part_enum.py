@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from handbook_spark.llm.components import components
+from handbook_spark.llm.components import components, dealt_join
 from handbook_spark.llm.packing import packed, step_key
 from handbook_spark.llm.words import gather, hashes, lowered, mixed, split, steps
 from handbook_spark.session import materialize
@@ -387,7 +387,7 @@ def in_tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = docs.groupBy("cluster").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    dealt = docs.join(sizes, "cluster").withColumn("block", block).withColumn(
+    dealt = dealt_join(docs, "cluster", "doc_id", sizes.withColumnRenamed("cluster", "of"), "of").withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         (F.col("block") > F.col("other")).alias("second"), "doc_id", "label", "grams")
