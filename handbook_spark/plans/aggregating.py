@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from handbook_spark.corpus import Corpus
 from handbook_spark.functions.dates import study_semesters
 from handbook_spark.operators import aggregates, joins, quality
 from handbook_spark.plans.registry import PART_POSITIONS, query
+from handbook_spark.session import scratch_path
+from handbook_spark.streaming.checked import CheckedJob
 
 
 @query("d1_row_count", "SELECT count(*) AS n FROM lineitem")
@@ -153,3 +156,46 @@ def l3(c: Corpus) -> DataFrame:
     # The second run accepts small numbers.
     retried, _ = quality.split_bad(quality.with_error(again, {"event failed": F.col("event_type") != "error"}))
     return quality.after_retry(good.select("event_id"), retried.select("event_id"))
+
+
+_JOB_SCHEMA = "event_id long, event_type string, k int"
+_JOB_ROWS = """
+SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"""
+
+
+def _job(c: Corpus, least: int) -> CheckedJob:
+    """The events in two batches: the odd ones with a strict check, then the even ones and the failures with the given one."""
+    limits = [10, least]
+    job = CheckedJob(c.spark, scratch_path(c.spark), StructType.fromDDL(_JOB_SCHEMA), ["event_id"], lambda: {
+        "event failed": F.col("event_type") != "error", "k too small": F.col("k") >= limits[0]}, buckets=8)
+    rows = c.table("events").select(
+        "event_id", "event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
+    for number, odd in ((1, 1), (2, 0)):
+        for _ in range(2):  # each batch is run twice, as after a lost mark
+            job.run_batch(rows.filter(F.col("event_id") % 2 == odd), number)
+        limits.pop(0)
+        limits.append(least)
+    return job
+
+
+@query("l3_job_good_rows", f"SELECT event_id, k FROM ({_JOB_ROWS}) WHERE event_type <> 'error' AND k >= 5")
+def l3_job_good(c: Corpus) -> DataFrame:
+    return _job(c, 5).good.read().select("event_id", "k")
+
+
+@query("l3_job_quarantine", f"""
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'event failed' ELSE 'k too small' END AS error, CAST(1 + event_id % 2 AS INT) AS attempts
+FROM ({_JOB_ROWS}) WHERE event_type = 'error' OR k IS NULL OR k < 5""")
+def l3_job_quarantine(c: Corpus) -> DataFrame:
+    return _job(c, 5).quarantine.read().select("event_id", "error", "attempts")
+
+
+@query("l2_job_status", f"""
+SELECT batch, n_good, n_bad, CASE WHEN n_bad = 0 THEN 'FULL_SUCCESS' WHEN n_good = 0 THEN 'FULL_ERROR' ELSE 'PARTIAL_SUCCESS' END AS status, n_bad > 0 AS is_error
+FROM (
+  SELECT 1 AS batch, count(*) FILTER (event_type <> 'error' AND k >= 10) AS n_good,
+    count(*) - count(*) FILTER (event_type <> 'error' AND k >= 10) AS n_bad FROM ({_JOB_ROWS}) WHERE event_id % 2 = 1
+  UNION ALL SELECT 2, count(*) FILTER (event_type <> 'error' AND k >= 5), count(*) - count(*) FILTER (event_type <> 'error' AND k >= 5)
+  FROM ({_JOB_ROWS}) WHERE event_id % 2 = 0 OR NOT coalesce(event_type <> 'error' AND k >= 10, false))""")
+def l2_job(c: Corpus) -> DataFrame:
+    return _job(c, 5).status.read()

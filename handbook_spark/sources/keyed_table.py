@@ -180,6 +180,20 @@ class KeyedTable:
 
         return self._commit(batch, write)
 
+    def rewrite(self, batch: int, keys: DataFrame, after: Callable[[DataFrame], DataFrame]) -> bool:
+        """Write the buckets of some keys anew, as ``after`` makes them of their rows; keys stay unique and in these buckets."""
+
+        def write(live: list[tuple[int, int, int]]) -> None:
+            touched = self._buckets_of(self._placed(keys.select(*self.key)))
+
+            def changed(rows: DataFrame) -> DataFrame:
+                made = after(rows.select(*self.schema.names))
+                return self._placed(made.select(*self.schema.names))
+
+            self._replace(batch, live, touched, changed)
+
+        return self._commit(batch, write)
+
     def compact(self, batch: int) -> bool:
         """Write each bucket that has several folders as one."""
 
