@@ -12,8 +12,8 @@ are context, so each id is scored once. Windows of many documents are one batch
 
 Training. The attention weights are trained where the documents lie: in each of ``ROUNDS`` rounds every task starts from the common
 weights, takes those windows of its training documents, at any depth, whose hash is the round's, and steps along them; the weights
-of all tasks are then averaged by their windows, in two levels of tables of fixed size. The work grows with the corpus; a task with few windows
-steps along them several times.
+of all tasks are then averaged by their windows, in two levels of tables of fixed size. Every window of every training document belongs to
+one round, so after the last one each has been stepped along. The work grows with the corpus; a task with few windows steps along them several times.
 
 The score is the model's log probability of the text. ``mixed_score`` is that of an even mixture of the model and the word counts.
 
@@ -40,13 +40,12 @@ from handbook_spark.session import materialize
 ADD = 0.1
 BUCKETS, CLASSES, WIDTH = 512, 32, 16
 WINDOW, SCORED = 32, 24
-#: Rounds of training, the share of windows that each takes (one in so many, others each round), windows of a step, and steps that
-#: a task makes at least in a round.
-ROUNDS, EVERY, BATCH, LEAST_STEPS = 4, 12, 256, 48
+#: Rounds of training, which share all windows among them, windows of a step, and steps that a task makes at least in a round.
+ROUNDS, BATCH, LEAST_STEPS = 4, 256, 48
 #: Different words whose ids a task remembers.
 MEMO_CHUNKS = 400_000
-#: Windows that are scored together.
-SCORE_BATCH = 256
+#: Windows whose arrays are held at once in training, so few that they stay in a core's cache, and windows that are scored together.
+SLICE, SCORE_BATCH = 32, 64
 #: Ids at a window's first scored places that make its hash.
 _HASHED_IDS = 5
 _BEGIN = 0  # bucket of the place before a text, 1 is the end token's
@@ -174,22 +173,26 @@ class Attention:
         """
         p, size = self.p, len(buckets)
         x = p["embed"][buckets]
-        q = x[:, -SCORED:] @ p["q"] * np.float32(WIDTH ** -0.5)
-        k, v = x @ p["k"], x @ p["v"]
+        flat = x.reshape(-1, WIDTH)
+        q = (x[:, -SCORED:].reshape(-1, WIDTH) @ (p["q"] * np.float32(WIDTH ** -0.5))).reshape(size, SCORED, WIDTH)
+        k, v = ((flat @ p[name]).reshape(x.shape) for name in ("k", "v"))
         scores = q @ k.transpose(0, 2, 1)
         scores += p["place"] + _MASK
         some = absent.any(1)
         if some.any():
             scores[some] += np.where(absent[some], np.float32(-1e9), np.float32(0))[:, None, :]
-        scores -= scores.max(2, keepdims=True)
-        weight = np.exp(scores, out=scores)
-        weight /= weight.sum(2, keepdims=True)
+        weight, total, _ = _exponentials(scores)
+        weight /= total
         both = np.concatenate((x[:, -SCORED:], weight @ v), axis=2).reshape(size * SCORED, 2 * WIDTH)
-        hidden = np.maximum(both @ p["hidden"] + p["hidden_add"], 0)
-        logits = hidden @ p["out"] + p["out_add"]
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-        return {"x": x, "q": q, "k": k, "v": v, "weight": weight, "both": both, "hidden": hidden, "log": logits}
+        hidden = both @ p["hidden"]
+        hidden += p["hidden_add"]
+        np.maximum(hidden, 0, out=hidden)
+        logits = hidden @ p["out"]
+        logits += p["out_add"]
+        share, total, logits = _exponentials(logits)
+        share /= total
+        logits -= np.log(total)
+        return {"x": x, "q": q, "k": k, "v": v, "weight": weight, "both": both, "hidden": hidden, "log": logits, "share": share}
 
     def target_log(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Log probability of each scored place's class: ``forward`` with fewer array steps.
@@ -224,34 +227,50 @@ class Attention:
         return (chosen - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(size, SCORED)
 
     def gradient(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray, used: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over used places and its gradient."""
+        """Mean loss over used places and its gradient, added up over slices of windows."""
+        n = max(int(used.sum()), 1)
+        loss, total = 0.0, {k: np.zeros_like(v) for k, v in self.p.items()}
+        for at in range(0, len(buckets), SLICE):
+            rows = slice(at, at + SLICE)
+            part, g = self._gradient(buckets[rows], absent[rows], targets[rows], used[rows], n)
+            loss += part
+            for k, v in g.items():
+                total[k] += v.astype(np.float32, copy=False)
+        return loss, total
+
+    def _gradient(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray, used: np.ndarray, n: int) -> tuple[float, dict[str, np.ndarray]]:
+        """Share of some windows in the loss and gradient over ``n`` places."""
         p, f = self.p, self.forward(buckets, absent)
         flat, used = targets.reshape(-1), used.reshape(-1)
-        n = max(int(used.sum()), 1)
-        loss = -float(f["log"][np.arange(len(flat)), flat][used].sum()) / n
-        d = np.exp(f["log"])
-        d[np.arange(len(flat)), flat] -= 1
-        d *= used[:, None] / np.float32(n)
-        g = {"out": f["hidden"].T @ d, "out_add": d.sum(0)}
-        dh = (d @ p["out"].T) * (f["hidden"] > 0)
-        g["hidden"], g["hidden_add"] = f["both"].T @ dh, dh.sum(0)
+        cell = np.arange(0, len(flat) * CLASSES, CLASSES) + flat
+        loss = -float(f["log"].reshape(-1)[cell][used].sum()) / n
+        d = f["share"]
+        d.reshape(-1)[cell] -= 1
+        d *= (used / np.float32(n)).astype(np.float32)[:, None]
+        one = np.ones(len(flat), np.float32)
+        g = {"out": f["hidden"].T @ d, "out_add": one @ d}
+        dh = d @ p["out"].T
+        dh *= f["hidden"] > 0
+        g["hidden"], g["hidden_add"] = f["both"].T @ dh, one @ dh
         db = (dh @ p["hidden"].T).reshape(len(buckets), SCORED, 2 * WIDTH)
         dx = np.zeros_like(f["x"])
         dx[:, -SCORED:] += db[:, :, :WIDTH]
-        dc = db[:, :, WIDTH:]
-        dw = dc @ f["v"].transpose(0, 2, 1)
-        dv = f["weight"].transpose(0, 2, 1) @ dc
-        ds = f["weight"] * (dw - (dw * f["weight"]).sum(2, keepdims=True))
+        dc = np.ascontiguousarray(db[:, :, WIDTH:])
+        ds = dc @ f["v"].transpose(0, 2, 1)
+        dv = (f["weight"].transpose(0, 2, 1) @ dc).reshape(-1, WIDTH)
+        ds -= ((ds * f["weight"]) @ np.ones(WINDOW, np.float32))[:, :, None]
+        ds *= f["weight"]
         g["place"] = ds.sum(0)
-        dq, dk = ds @ f["k"] * np.float32(WIDTH ** -0.5), ds.transpose(0, 2, 1) @ f["q"]
+        dq = (ds @ f["k"]).reshape(-1, WIDTH) * np.float32(WIDTH ** -0.5)
+        dk = (ds.transpose(0, 2, 1) @ f["q"]).reshape(-1, WIDTH)
         last = f["x"][:, -SCORED:].reshape(-1, WIDTH)
         every = f["x"].reshape(-1, WIDTH)
-        g["q"] = last.T @ dq.reshape(-1, WIDTH)
-        g["k"], g["v"] = every.T @ dk.reshape(-1, WIDTH), every.T @ dv.reshape(-1, WIDTH)
-        dx[:, -SCORED:] += dq @ p["q"].T
-        dx += dk @ p["k"].T + dv @ p["v"].T
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], buckets.reshape(-1), dx.reshape(-1, WIDTH))
+        g["q"] = last.T @ dq
+        g["k"], g["v"] = every.T @ dk, every.T @ dv
+        dx[:, -SCORED:] += (dq @ p["q"].T).reshape(-1, SCORED, WIDTH)
+        dx += (dk @ p["k"].T + dv @ p["v"].T).reshape(dx.shape)
+        cells = (buckets.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
+        g["embed"] = np.bincount(cells, dx.reshape(-1), BUCKETS * WIDTH).reshape(BUCKETS, WIDTH)
         return loss, g
 
     def step(self, state: dict, windows: tuple[np.ndarray, ...], rate: float) -> float:
@@ -284,6 +303,22 @@ class Attention:
 _MASK = np.where(np.arange(WINDOW)[None] <= np.arange(SCORED)[:, None] + WINDOW - SCORED, 0, -1e9).astype(np.float32)
 
 
+def _exponentials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the last axis, their sums, and the values that they are of.
+
+    Maxima are taken off only when a row's sum would otherwise leave the range in which it is exact.
+    """
+    ones = np.ones(values.shape[-1], np.float32)
+    with np.errstate(over="ignore"):
+        out = np.exp(values)
+        total = (out @ ones)[..., None]
+    if total.size and not (1e-20 < total.min() and total.max() < 1e20):
+        values = values - values.max(-1, keepdims=True)
+        out = np.exp(values)
+        total = (out @ ones)[..., None]
+    return out, total, values
+
+
 def windows(counts: np.ndarray, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input places of the windows of texts with ``counts`` ids, one text after the other.
 
@@ -473,7 +508,7 @@ def pair_counts(training: DataFrame, bucket_of: np.ndarray, kind: str) -> np.nda
 
 
 def chosen_windows(ids: np.ndarray, counts: np.ndarray, turn: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``windows`` of texts whose hash is the round's.
+    """``windows`` of texts whose hash is the round's; ``every`` rounds take each window once.
 
     The hash is that of the window's first scored ids, so no depth of a text is preferred and the result doesn't depend on how texts are dealt out.
     """
@@ -535,8 +570,12 @@ def trained_round(training: DataFrame, model: Model, kind: str, turn: int, round
     return out
 
 
-def fit(stored: DataFrame, path: str, rounds: int = ROUNDS, every: int = EVERY) -> Model:
-    """Buckets, classes, counts and attention from all training texts of ``stored`` (train, ids)."""
+def fit(stored: DataFrame, path: str, rounds: int = ROUNDS, every: int | None = None) -> Model:
+    """Buckets, classes, counts and attention from all training texts of ``stored`` (train, ids).
+
+    A round takes one window in ``every``; the rounds share all windows unless it is given.
+    """
+    every = rounds if every is None else every
     vocabulary, kind = library_encoder(path, MEMO_CHUNKS).vocabulary, _kind(path)
     training = stored.filter("train")
     ids = id_counts(training, vocabulary, kind)

@@ -286,6 +286,26 @@ def test_model_learns_from_all_training_texts(spark):
     assert model.scores(flat, counts).sum() > 0.8 * plain.scores(flat, counts).sum()
 
 
+def test_training_steps_along_every_window(spark, monkeypatch):
+    """The rounds of the query's own settings share all windows of the training texts, each taken once."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, " ".join(f"n{i * 5000 + j}" for j in range(900)), True) for i in range(5)], "text_id long, text string, train boolean")
+    stored = lm_scoring.encoded(docs, path)
+    counts = np.array([len(r.ids) // 2 + 1 for r in stored.collect()])
+    used, trained = [], lm_scoring.trained_round
+
+    def round_of(training, model, kind, turn, rounds, every):
+        for r in training.collect():
+            ids = np.append(np.frombuffer(bytes(r.ids), kind).astype(np.int64), len(model.bucket_of) - 1)
+            places, _, present = lm_scoring.chosen_windows(ids, np.array([len(ids)]), turn, every)
+            used.extend((r.text_id, p) for p in places[:, -lm_scoring.SCORED:][present].tolist())
+        return trained(training, model, kind, turn, rounds, every)
+
+    monkeypatch.setattr(lm_scoring, "trained_round", round_of)
+    lm_scoring.fit(stored, path)
+    assert len(used) == len(set(used)) == counts.sum()
+
+
 def test_training_grows_with_the_corpus(spark, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     steps = []
