@@ -144,6 +144,7 @@ _HEADER_CODE = "'SRC-' || " + padded("(CAST(substr(source, 4) AS INT) * 10 + CAS
 _SPARK_LINES = (
     "SELECT doc_id, lang, source, page_no, line FROM documents LATERAL VIEW posexplode(split(text, '\\n')) x AS page_no, line"
 )
+_SPARK_JOIN = "array_join(array({}), chr(10))"
 _DUCK_LINES = (
     "SELECT doc_id, lang, source, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS page_no,"
     " unnest(string_split(text, chr(10))) AS line FROM documents"
@@ -262,7 +263,7 @@ FROM v_ai_full ai JOIN v_modules_raw r ON ai.raw_module_id = r.id
     "v_page_text": (_page_text(_SPARK_LINES), _page_text(_DUCK_LINES)),
     "v_md_pages": (_md_pages(_SPARK_LINES), _md_pages(_DUCK_LINES)),
     "v_page_streams": (
-        _page_streams(_SPARK_LINES, "array_join(array({}), chr(10))"),
+        _page_streams(_SPARK_LINES, _SPARK_JOIN),
         _page_streams(_DUCK_LINES, "array_to_string([{}], chr(10))"),
     ),
     "v_facts": (
@@ -283,10 +284,10 @@ VIEWS = (*PORTABLE_VIEWS, *DIALECT_VIEWS)
 # They are written in the order by which they are filtered, so that such filters skip row groups,
 # and belong to one state of the tables that they come from.
 STAGED_VIEWS = {"v_modules": (("mhb_id", "pos"), ("lineitem", "part"))}
-# Scanned pages: streams are parsed once, and all page readers share the arrays. Pages are dealt out by key, not by ranges, for
-# which the scanner would run a second time.
-PAGES = "pages_scanned"
-PAGE_KEY, PAGE_TABLES = ("handbook_id", "page_no"), ("documents",)
+# Scanned pages: streams are parsed once, and all page readers share the arrays. The lines that the streams are built from are dealt out by key
+# and put in order; streams and arrays, many times as wide, are made behind that and written as they come.
+PAGES, DEALT_LINES = "pages_scanned", "v_dealt_lines"
+PAGE_TABLES = ("documents",)
 _stage_paths: dict[tuple, str] = {}
 
 
@@ -353,19 +354,22 @@ class Corpus:
 
     def _derived(self, name: str) -> DataFrame:
         if name == PAGES:
-            return scan_pages(self.view("v_page_streams"))
+            self._register_tables(_SPARK_LINES)
+            place = ["doc_id", "page_no"]  # what the key is called in the lines
+            self.spark.sql(_SPARK_LINES).repartition(*place).sortWithinPartitions(*place).createOrReplaceTempView(DEALT_LINES)
+            return scan_pages(self.spark.sql(_page_streams(f"SELECT * FROM {DEALT_LINES}", _SPARK_JOIN)))
         text = view_sql(name, "spark")
         self._register_tables(text)
         return self.spark.sql(text)
 
     def _staged(self, name: str) -> DataFrame:
         """Stored rows of a view, written on first use."""
-        order, tables = STAGED_VIEWS.get(name, (PAGE_KEY, PAGE_TABLES))
+        order, tables = STAGED_VIEWS.get(name, ((), PAGE_TABLES))
 
         def write(path: str) -> None:
             rows = self._derived(name)
-            dealt = rows.repartition(*order) if name == PAGES else rows.repartitionByRange(*order)
-            dealt.sortWithinPartitions(*order).write.parquet(path)
+            placed = rows if name == PAGES else rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            placed.write.parquet(path)
 
         return self._stored(name, tables, write, self.spark.read.parquet)
 

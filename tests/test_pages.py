@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from handbook_spark import corpus
 from handbook_spark.operators import pages
 from handbook_spark.sources import page_streams
 
@@ -114,3 +115,16 @@ def test_readers_prune_the_arrays_that_they_do_not_need(spark):
     assert "fragments" not in plan
     plan = entry.queries()["i3_shown_text"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "fonts" not in plan and "blocks" not in plan
+
+
+def test_lines_are_dealt_out_before_streams_are_built(spark, tmp_path):
+    """The shuffle and the sort carry lines of the documents, not the streams and arrays made from them; rows are the same."""
+    rows = [(1, "a\nb (c)", "de", "src1"), (1, "a\nb (c)", "de", "src1"), (2, None, "en", "src2"), (3, "", None, "src3"), (None, "x\ny\nz", "fr", "src4")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = corpus.Corpus(spark, str(tmp_path))
+    plan = c._derived(corpus.PAGES)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("MapInArrow") < plan.index("Sort [doc_id") < plan.index("Exchange hashpartitioning(doc_id")
+    assert "stream" not in plan[plan.index("Sort [doc_id"):]
+    want = page_streams.scan_pages(c.view("v_page_streams"))
+    order = ["handbook_id", "page_no"]
+    assert c.pages().orderBy(order).collect() == want.orderBy(order).collect() and c.pages().count() == 8
