@@ -384,7 +384,8 @@ class Corpus:
         rows, order = self.view("v_search_full"), ["module_title", "raw_module_id", "module_id"]
         fields = {name: texts() for name, texts in INDEXED_TEXTS.items()}
         return self._stored(
-            "search_index", ("lineitem", "part", "supplier"), lambda path: substring_index.build_index(rows, fields, order, path),
+            "search_index", ("lineitem", "part", "supplier"),
+            lambda path: substring_index.build_index(rows, fields, order, path, self.view("v_modules").count()),
             lambda path: substring_index.SubstringIndex(self.spark, path, rows.schema))
 
     def _stored(self, name: str, tables: tuple[str, ...], write: Callable[[str], object], read: Callable[[str], T]) -> T:

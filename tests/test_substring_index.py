@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +74,39 @@ def test_title_search_reads_the_index(spark):
     plan = entry.queries()["b12_filter_title"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "In(gram, [bol,olt])" in plan and "dynamicpruningexpression(_bucket" in plan
     assert "lineitem.parquet" not in plan and "part.parquet" not in plan
+
+
+def test_bitmaps_are_made_from_batches(spark, tmp_path, monkeypatch):
+    """One deflated bitmap per field, piece and bucket, from texts that are cut once; parts of a bucket are united when they are read."""
+    texts = [t and t.lower() for t in TEXTS]
+
+    def batch(bucket: int, begin: int, end: int) -> pa.RecordBatch:
+        bits = range(begin, end)
+        return pa.RecordBatch.from_pydict({
+            "_bucket": pa.array([bucket] * len(bits), pa.int64()), "_bit": pa.array(bits, pa.int32()),
+            "a": pa.array([texts[b % len(texts)] for b in bits], pa.string()), "b": pa.array([None if b % 3 else "selten" for b in bits], pa.string())})
+
+    batches = [batch(0, 0, 70), batch(0, 70, 71), batch(5, 0, 0), pa.Table.from_batches([batch(5, 0, 3), batch(9, 0, 30)]).combine_chunks().to_batches()[0]]
+    want = {(bucket, g, bit) for bucket, n in ((0, 71), (5, 3), (9, 30)) for bit in range(n)
+            for t in (texts[bit % len(texts)], None if bit % 3 else "selten") if t for g in (t[i : i + 3] for i in range(len(t) - 2))}
+    for held, parts in ((1 << 24, 1), (0, 2)):
+        monkeypatch.setattr(substring_index, "HELD_PLACES", held)
+        made = pa.Table.from_batches(substring_index.bitmaps(iter(batches), {"text": ["a", "b"]})).to_pylist()
+        found = [(r["bucket"], r["gram"], int(bit)) for r in made
+                 for bit in np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(r["cell"]), np.uint8), bitorder="little"))]
+        assert set(found) == want and len(found) == len(want)
+        assert max(Counter((r["bucket"], r["gram"]) for r in made).values()) == parts
+    whole = list(substring_index.inflated(iter(pa.Table.from_pylist(made).select(["gram", "bucket", "cell"]).to_batches())))
+    spark.createDataFrame(pa.Table.from_batches(whole).to_pandas()).write.parquet(str(tmp_path / "bitmaps" / "field=text"))
+    index = substring_index.SubstringIndex(spark, str(tmp_path), spark.range(0).schema)
+    read = index.buckets({"text": "%selten%"}).select("bucket", F.bitmap_count("bitmap").alias("n"))
+    assert sorted(read.collect()) == [(0, 24), (5, 1), (9, 10)]
+
+
+def test_ranges_hold_one_bucket_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_index, "RANGE_ROWS", 1000)
+    rows = spark.range(10_000).select("id", F.concat(F.lit("text "), F.col("id") % 7).alias("a"))
+    index = substring_index.build_index(rows, {"text": [F.col("a")]}, ["a", "id"], str(tmp_path / "i"), rows.count())
+    assert 8 <= index.rows().select("_bucket").distinct().count() <= 10
+    assert index.rows().groupBy("_bucket", "_bit").count().filter("count > 1").count() == 0
+    assert sorted(r.id for r in index.candidates({"text": "%T 3%"}).collect()) == [i for i in range(10_000) if i % 7 == 3]
