@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from handbook_spark.functions.text import words
@@ -21,6 +24,7 @@ BLOCK_DOCS = 4096
 BUCKETS = 64
 #: Decimal places at which scores are compared, so that the order of summation decides no rank.
 DIGITS = 9
+_PARTS = "term string, block long, words long, at array<int>, tf array<int>, length array<int>"
 _POSTINGS = "term string, block long, n int, most double, at array<int>, tf array<int>, length array<int>, bucket int"
 
 
@@ -33,36 +37,98 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_PARTS`` rows of documents (block, at, tokens): the entries that a batch gives to a term and block."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        offsets = tokens.offsets.to_numpy().astype(np.int64)
+        coded = tokens.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        size, width = np.diff(offsets), max(len(coded.dictionary), 1)
+        cells, tf = np.unique(np.repeat(np.arange(batch.num_rows), size) * width + coded.indices.to_numpy(), return_counts=True)
+        doc, term = cells // width, cells % width
+        block, at = (batch.column(name).to_numpy() for name in ("block", "at"))
+        order = np.lexsort((doc, block[doc], term))
+        doc, term, tf = doc[order], term[order], tf[order]
+        of = block[doc]
+        first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(of) != 0))) if len(doc) else np.zeros(0, np.int64)
+        bounds = np.append(first, len(doc))
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(term[first])), pa.array(of[first], pa.int64()),
+             pa.array(np.add.reduceat(tf, first) if len(first) else tf, pa.int64()),
+             *(_lists(values, bounds) for values in (at[doc], tf, size[doc]))], names=["term", "block", "words", "at", "tf", "length"])
+
+
+def merged(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """``_POSTINGS`` rows from ``_PARTS`` (with bucket) that are sorted by term and block; entries of one place and length are one.
+
+    The last term and block of a batch wait for the next one, in which they may go on.
+    """
+    waiting: list[pa.RecordBatch] = []
+
+    def starts(rows: pa.RecordBatch) -> np.ndarray:
+        codes = (rows.column("term").dictionary_encode().indices.to_numpy(), rows.column("block").to_numpy())
+        return np.flatnonzero(np.append(True, np.any([np.diff(c) != 0 for c in codes], axis=0)))
+
+    def joined(rows: pa.RecordBatch) -> pa.RecordBatch:
+        begin = starts(rows)
+        lists = [rows.column(name) for name in ("at", "tf", "length")]
+        bounds = lists[0].offsets.to_numpy().astype(np.int64)
+        at, tf, length = (x.values.to_numpy()[bounds[0] : bounds[-1]].astype(np.int64) for x in lists)
+        group = np.repeat(np.arange(len(begin)), np.add.reduceat(np.diff(bounds), begin))
+        order = np.lexsort((length, at, group))
+        group, at, tf, length = group[order], at[order], tf[order], length[order]
+        first = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(at) != 0) | (np.diff(length) != 0)))
+        tf = np.add.reduceat(tf, first)
+        group, at, length = group[first], at[first], length[first]
+        share = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean))
+        n = np.bincount(group, minlength=len(begin))
+        ends = np.concatenate(([0], np.cumsum(n)))
+        heads = {name: rows.column(name).take(pa.array(begin)) for name in ("term", "block", "bucket")}
+        return pa.RecordBatch.from_arrays(
+            [heads["term"], heads["block"], pa.array(n, pa.int32()), pa.array(np.maximum.reduceat(share, ends[:-1])),
+             *(_lists(x, ends) for x in (at, tf, length)), heads["bucket"]], names=["term", "block", "n", "most", "at", "tf", "length", "bucket"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([*waiting, batch])
+        last = int(starts(rows)[-1])
+        if last:
+            yield joined(rows.slice(0, last))
+        waiting = [rows.slice(last)]
+    if waiting:
+        yield joined(waiting[0])
+
+
 def build_index(documents: DataFrame, key: str, text: str, path: str) -> TextIndex:
     """Write the index of ``documents`` to ``path``. ``key`` is a unique integer; rows without it take no part, null texts are empty.
 
     Texts are read once for the postings; the number of documents comes from their keys.
     """
+    doc = F.col(key).cast("long")
+    block = F.floor(doc / BLOCK_DOCS)
     rows = documents.filter(F.col(key).isNotNull())
-    tokens = rows.select(F.col(key).cast("long").alias("doc"), words(F.col(text)).alias("tokens"))
-    counted = materialize(
-        tokens.select("doc", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        .groupBy("doc", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    keys = rows.select(F.col(key).cast("long").alias("doc"))
-    number = keys.agg(F.count(F.lit(1)).alias("number"))
-    total = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(F.col("number") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    average = terms.select("*", number.scalar().alias("number")).agg(F.avg(weight).alias("average"))
-    number.select("number", (total.scalar() / F.greatest("number", F.lit(1))).alias("mean"), average.scalar().alias("average")).write.parquet(f"{path}/meta")
-    keys.write.parquet(f"{path}/keys")
-    mean = F.lit(documents.sparkSession.read.parquet(f"{path}/meta").first()["mean"] or 1.0)
-    block = F.floor(F.col("doc") / BLOCK_DOCS)
-    entries = F.sort_array(F.collect_list(F.struct((F.col("doc") - block * BLOCK_DOCS).cast("int").alias("at"), "tf", "length")))
-    postings = counted.groupBy("term", block.alias("block")).agg(
-        entries.alias("entries"), F.max(_share(F.col("tf"), F.col("length"), mean)).alias("most"))
-    placed = postings.select(
-        "term", "block", F.size("entries").alias("n"), "most", F.col("entries.at").alias("at"), F.col("entries.tf").alias("tf"),
-        F.col("entries.length").alias("length"), _bucket(F.col("term")).alias("bucket"))
+    # Entries are counted where a text is read; a row of parts holds those of one term, block and batch.
+    parts = materialize(rows.select(
+        block.alias("block"), (doc - block * BLOCK_DOCS).cast("int").alias("at"), words(F.col(text)).alias("tokens")).mapInArrow(counted, _PARTS))
+    keys = rows.select(doc.alias("doc"))
+    number = keys.agg(F.count(F.lit(1)).alias("number")).first()["number"]
+    mean = parts.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("total")).first()["total"] / max(number, 1)
     order = ["bucket", "term", "block"]
-    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.writer.version", "PARQUET_2_0").partitionBy(
-        "bucket").parquet(f"{path}/postings")
-    return TextIndex(documents.sparkSession, path, key)
+    placed = parts.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions(*order)
+    postings = placed.mapInArrow(lambda batches: merged(batches, mean or 1.0), _POSTINGS)
+    postings.sortWithinPartitions(*order).write.option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(f"{path}/postings")
+    spark = documents.sparkSession
+    terms = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df"))
+    weight = F.log(F.lit(number) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms.agg(F.avg(weight).alias("average")).select(
+        F.lit(number).cast("long").alias("number"), F.lit(float(mean)).alias("mean"), "average").write.parquet(f"{path}/meta")
+    keys.write.parquet(f"{path}/keys")
+    return TextIndex(spark, path, key)
 
 
 class TextIndex:

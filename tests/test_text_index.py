@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,20 @@ def test_rows_of_a_common_word_are_bounded(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     texts = spark.createDataFrame([], "id long, t string")
     assert text_index.build_index(texts, "id", "t", str(tmp_path / "index")).top_k("x", 3).collect() == []
+
+
+def test_parts_of_postings_are_merged_over_batches():
+    """Entries of one term and block come together whatever batches they lie in; a document that comes twice is one entry."""
+    texts = [(0, 1, "a b a"), (0, 0, "a"), (1, 5, "b b"), (0, 1, "c a b"), (0, 1, "a b a"), (0, 2, None), (0, 3, "")]
+    lists = [pa.RecordBatch.from_pydict({
+        "block": pa.array([t[0] for t in part], pa.int64()), "at": pa.array([t[1] for t in part], pa.int32()),
+        "tokens": pa.array([t[2] and t[2].split() for t in part], pa.list_(pa.string()))}) for part in (texts[:3], texts[3:5], texts[5:])]
+    lists[2] = lists[2].set_column(2, "tokens", pa.array([None, []], pa.list_(pa.string())))
+    parts = pa.Table.from_batches(text_index.counted(iter(lists)))
+    assert sum(parts["words"].to_pylist()) == 12
+    parts = parts.append_column("bucket", pa.array([3] * len(parts), pa.int32())).sort_by([("term", "ascending"), ("block", "ascending")])
+    for size in (1, 2, 100):
+        rows = pa.Table.from_batches(text_index.merged(iter(parts.combine_chunks().to_batches(max_chunksize=size)), 2.5)).to_pylist()
+        assert [(r["term"], r["block"], r["n"], r["at"], r["tf"], r["length"]) for r in rows] == [
+            ("a", 0, 2, [0, 1], [1, 5], [1, 3]), ("b", 0, 1, [1], [3], [3]), ("b", 1, 1, [5], [2], [2]), ("c", 0, 1, [1], [1], [3])]
+        assert rows[2]["most"] == pytest.approx(2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 2 / 2.5)))
