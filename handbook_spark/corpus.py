@@ -12,9 +12,10 @@ from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from handbook_spark.operators import substring_index
+from handbook_spark.operators import joins, substring_index
 from handbook_spark.operators.filters import INDEXED_TEXTS
 from handbook_spark.operators.text_index import TextIndex, build_index
 from handbook_spark.session import input_state, scratch_path
@@ -380,13 +381,64 @@ class Corpus:
             lambda path: TextIndex(self.spark, path, "doc_id"))
 
     def search_index(self) -> substring_index.SubstringIndex:
-        """Joined extraction rows in the order of their titles with bitmaps for substring filters, written on first use."""
-        rows, order = self.view("v_search_full"), ["module_title", "raw_module_id", "module_id"]
-        fields = {name: texts() for name, texts in INDEXED_TEXTS.items()}
+        """Joined extraction rows in the order of their titles with bitmaps for substring filters, written on first use.
+
+        Matches are stored; the texts and lists of ``v_search_full`` are made of them when they are read.
+        """
+        modules = self.view("v_modules")
+        schema = StructType([*modules.schema, *[StructField(of, modules.schema) for of in ("a", "r")], self.view("v_mhbs").schema["version"]])
+
+        def write(path: str) -> None:
+            fields = {name: texts() for name, texts in INDEXED_TEXTS.items()}
+            order = [F.col("title"), F.when(F.col("a").isNull(), F.col("id")).otherwise(F.col("a.id")), F.col("id")]
+            substring_index.build_index(
+                self.search_matches(modules), fields, order, path, self._extracted(modules).count(), self.search_rows)
+
         return self._stored(
-            "search_index", ("lineitem", "part", "supplier"),
-            lambda path: substring_index.build_index(rows, fields, order, path, self.view("v_modules").count()),
-            lambda path: substring_index.SubstringIndex(self.spark, path, rows.schema))
+            "search_index", ("lineitem", "part", "supplier"), write,
+            lambda path: substring_index.SubstringIndex(self.spark, path, schema, self.search_rows))
+
+    def search_matches(self, modules: DataFrame) -> DataFrame:
+        """What ``v_search_full`` joins over ``modules``, before its texts and lists are made: a few short columns to shuffle."""
+        handbooks = self.view("v_mhbs").select(F.col("id").alias("_handbook"), "version")
+        found = joins.matched_modules(modules, self._extracted)
+        return found.join(handbooks, F.col("mhb_id") == F.col("_handbook")).drop("_handbook")
+
+    def search_rows(self, matches: DataFrame) -> DataFrame:
+        """Rows of ``v_search_full`` from its matches, row by row; other columns of ``matches`` stay behind them."""
+        names = self.view("v_modules").columns
+        more = [c for c in matches.columns if c not in (*names, "a", "r", "version")]
+
+        def partner(of: str) -> list[Column]:
+            return [F.when(F.col(of).isNull(), F.col(n)).otherwise(F.col(f"{of}.{n}")).alias(f"{of}__{n}") for n in names]
+
+        rows = matches.select(*[F.col(n).alias(f"m__{n}") for n in names], *partner("a"), *partner("r"), F.col("version").alias("h__version"), *more)
+        rows = self._over(rows, "a", "ai", "v_ai_base", "v_ai", "v_ai_full")
+        rows = self._over(rows, "r", "r", "v_modules_raw")
+        rows = self._over(rows, "m", "m", "v_modules_full")
+        rows.createOrReplaceTempView("v_matched")
+        listed = re.sub(r"\b(ai|r|m|h)\.", r"\1__", view_sql("v_search_full", "spark").split("\nFROM ")[0])
+        listed = re.sub(r"\b((?:ai|r|m|h)__(\w+))(?=,|$)(?! AS)", r"\1 AS \2", listed)
+        return self.spark.sql(", ".join([listed, *more]) + " FROM v_matched")
+
+    def _extracted(self, modules: DataFrame) -> DataFrame:
+        """Those of ``modules`` that ``v_ai_base`` has a row for."""
+        rows = modules.select("*", *[F.col(n).alias(f"a__{n}") for n in modules.columns])
+        return self._over(rows, "a", "a", "v_ai_base").select(*modules.columns)
+
+    def _over(self, rows: DataFrame, prefix: str, made: str, *views: str) -> DataFrame:
+        """``rows`` with the columns of a module, named with ``prefix__``, replaced by those that ``views``, one upon the other, make of it."""
+        ours = [c for c in rows.columns if c.startswith(f"{prefix}__")]
+        kept = {c: f"kept__{c}" for c in rows.columns if c not in ours}
+        source = "v_modules"
+        rows = rows.select(*[F.col(c).alias(c.removeprefix(f"{prefix}__")) for c in ours], *[F.col(c).alias(k) for c, k in kept.items()])
+        for view in views:
+            rows.createOrReplaceTempView(source)
+            text = view_sql(view, "spark").strip()
+            rows = self.spark.sql(text if text.startswith("SELECT *") else text.replace("SELECT ", f"SELECT {', '.join(kept.values())}, ", 1))
+            source = view
+        return rows.select(*[F.col(k).alias(c) for c, k in kept.items()],
+                           *[F.col(c).alias(f"{made}__{c}") for c in rows.columns if c not in kept.values()])
 
     def _stored(self, name: str, tables: tuple[str, ...], write: Callable[[str], object], read: Callable[[str], T]) -> T:
         """What ``read`` makes of a scratch folder that ``write`` filled, once per application and state of the input tables."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +13,7 @@ from handbook_spark.functions.urls import last_segment
 from handbook_spark.operators.aggregates import smallest_handbook
 from handbook_spark.operators.numbering import first_per_key
 from handbook_spark.operators.sequences import pages_text
+from handbook_spark.session import materialize
 
 NOT_GIVEN = "k.A."
 GRAM = 3
@@ -51,6 +52,34 @@ def join_extractions(ai: DataFrame, raw: DataFrame, modules: DataFrame, handbook
     )
 
 
+def matched_modules(modules: DataFrame, extracted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Modules with the raw row (``r``) of their handbook and code and the extracted row (``a``) of that row's id, all three from ``modules``.
+
+    ``extracted`` keeps the rows that have an extraction. A NULL ``a`` and ``r`` stand for the module's own row. A row whose id and whose
+    handbook and code occur once has no other partner than itself, so it is not shuffled; the others are joined. Partners of
+    these are among these, as partners share an id or a code that repeats. Equal hashes of different codes only put rows to them.
+    """
+    names = modules.columns
+    has_code = F.col("mhb_id").isNotNull() & F.col("module_code").isNotNull()
+    code = F.when(has_code, F.xxhash64("mhb_id", "module_code"))
+    keyed = modules.withColumn("_code", code)
+
+    def repeated(key: str) -> DataFrame:
+        return materialize(keyed.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > 1).select(key))
+
+    ids, codes = repeated("id"), repeated("_code")
+    alone = extracted(modules).withColumn("_code", code).filter(F.col("id").isNotNull() & F.col("_code").isNotNull())
+    alone = alone.join(ids, "id", "left_anti").join(codes, "_code", "left_anti")
+    others = keyed.join(ids, "id", "left_anti").join(codes, "_code", "left_semi")
+    shared = materialize(keyed.join(ids, "id", "left_semi").unionByName(others).select(*names))
+    row = F.struct(*names)
+    a, r, m = extracted(shared).select(row.alias("a")), shared.select(row.alias("r")), shared.alias("m")
+    joined = a.join(r, F.col("a.id") == F.col("r.id")).join(
+        m, (F.col("r.mhb_id") == F.col("m.mhb_id")) & (F.col("r.module_code") == F.col("m.module_code")))
+    own = F.lit(None).cast(a.schema["a"].dataType)
+    return alone.select(*names, own.alias("a"), own.alias("r")).unionByName(joined.select(*[F.col(f"m.{n}") for n in names], "a", "r"))
+
+
 def with_agreements(joined: DataFrame) -> DataFrame:
     """Search rows with the agreement of code, credits and title."""
     return joined.withColumns({

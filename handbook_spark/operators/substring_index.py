@@ -8,9 +8,10 @@ without three letters in a row restrict nothing: their rows come from the same s
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -100,18 +101,27 @@ def pattern_grams(pattern: str) -> list[str]:
     return sorted({part[i : i + GRAM] for part in parts for i in range(len(part) - GRAM + 1)})
 
 
-def build_index(rows: DataFrame, fields: Mapping[str, Sequence[Column]], order: Sequence[str], path: str, size: int | None = None) -> SubstringIndex:
+def build_index(
+    rows: DataFrame, fields: Mapping[str, Sequence[Column]], order: Sequence[str | Column], path: str, size: int | None = None,
+    shown: Callable[[DataFrame], DataFrame] = lambda stored: stored,
+) -> SubstringIndex:
     """Store ``rows`` and the bitmaps of ``fields`` (name -> texts of which any may match) below ``path``.
 
+    ``rows`` may be short: ``shown`` makes the rows that are searched of the stored ones, row by row, whenever they are read, and keeps their
+    place (the last two columns). ``fields`` are expressions over these.
+
     ``order`` puts rows into their places; rows that are alike in a much searched field should lie together, which leaves fewer buckets to
     read. ``size`` is about how many rows there are: with it, ranges are so many that a range is one bucket, and sorts stay small.
     """
     ranges = [] if size is None else [max(-(-size // RANGE_ROWS), 1)]
     placed = rows.repartitionByRange(*ranges, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    placed.withColumns({"_bucket": F.shiftright("_id", BUCKET_BITS), "_bit": F.col("_id").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")}).drop(
-        "_id").write.partitionBy("_bucket").parquet(f"{path}/rows")
+    made = placed.withColumns({
+        "_bucket": F.shiftright("_id", BUCKET_BITS), "_bit": F.col("_id").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")}).drop("_id")
     spark = rows.sparkSession
-    stored = spark.read.schema(_stored_schema(rows.schema)).parquet(f"{path}/rows")
+    with _few_writers(spark):
+        made.write.partitionBy("_bucket").parquet(f"{path}/rows")
+    index = SubstringIndex(spark, path, rows.schema, shown)
+    stored = index.rows()
     named = {name: [f"{name}_{i}" for i in range(len(texts))] for name, texts in fields.items()}
     texts = stored.select("_bucket", "_bit", *[F.lower(t).alias(column) for name, of in fields.items() for t, column in zip(of, named[name])])
     cells = materialize(texts.mapInArrow(lambda batches: bitmaps(batches, named), _CELLS))
@@ -119,7 +129,19 @@ def build_index(rows: DataFrame, fields: Mapping[str, Sequence[Column]], order:
     for name in fields:
         placed = cells.filter(F.col("field") == name).select("gram", "bucket", "cell").repartition("gram").sortWithinPartitions("gram", "bucket")
         placed.mapInArrow(inflated, "gram string, bucket long, bitmap binary").write.parquet(f"{path}/bitmaps/field={name}")
-    return SubstringIndex(spark, path, rows.schema)
+    return index
+
+
+@contextlib.contextmanager
+def _few_writers(spark: SparkSession) -> Iterator[None]:
+    """Rows that come in the order of their folders, few folders a task, are written as they come, not sorted once more."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 8)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _stored_schema(schema: T.StructType) -> T.StructType:
@@ -129,12 +151,12 @@ def _stored_schema(schema: T.StructType) -> T.StructType:
 class SubstringIndex:
     """Stored rows with the bitmaps of their fields; see ``build_index``."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, shown: Callable[[DataFrame], DataFrame] = lambda stored: stored):
+        self.spark, self.path, self.schema, self.shown = spark, path, schema, shown
 
     def rows(self) -> DataFrame:
-        """All stored rows with their place."""
-        return self.spark.read.schema(_stored_schema(self.schema)).parquet(f"{self.path}/rows")
+        """All rows with their place."""
+        return self.shown(self.spark.read.schema(_stored_schema(self.schema)).parquet(f"{self.path}/rows"))
 
     def buckets(self, patterns: Mapping[str, str]) -> DataFrame | None:
         """bucket, bitmap of the rows that have all pieces of all patterns; None when the patterns have none."""
@@ -154,8 +176,9 @@ class SubstringIndex:
     def candidates(self, patterns: Mapping[str, str]) -> DataFrame:
         """Stored rows that can match all LIKE patterns (field -> pattern), and some that do not."""
         rows, found = self.rows(), self.buckets(patterns)
+        names = [c for c in rows.columns if c not in ("_bit", "_bucket")]
         if found is None:
-            return rows.select(*self.schema.names)
+            return rows.select(*names)
         byte = F.substring("bitmap", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))
         is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.col("_bit") % 8) == 1
-        return rows.join(found, (F.col("_bucket") == F.col("bucket")) & is_set).select(*self.schema.names)
+        return rows.join(found, (F.col("_bucket") == F.col("bucket")) & is_set).select(*names)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from handbook_spark.corpus import Corpus
 from handbook_spark.operators import substring_index
 from tests.test_text_index import scans
 
@@ -110,3 +111,45 @@ def test_ranges_hold_one_bucket_each(spark, tmp_path, monkeypatch):
     assert 8 <= index.rows().select("_bucket").distinct().count() <= 10
     assert index.rows().groupBy("_bucket", "_bit").count().filter("count > 1").count() == 0
     assert sorted(r.id for r in index.candidates({"text": "%T 3%"}).collect()) == [i for i in range(10_000) if i % 7 == 3]
+
+
+def test_short_matches_make_the_rows_of_the_joined_view(spark, tmp_path):
+    """Repeated keys, nulls and ids that two modules share are joined; rows that can only match themselves are not."""
+    big = 1 << 31
+    pairs = [(p, s) for p in range(40) for s in (1, 2, 5, 6)] + [(3, 1), (1, big + 5), (2, big + 6), (None, 1), (2, None), (50, 9), (51, 1)]
+    spark.createDataFrame(pairs, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(p, f"bolt {p % 3}", ["LARGE", "SM", None, "A-B"][p % 4], p % 9) for p in range(52)]
+    parts += [(4, "bolt 1", "LARGE", 4), (6, "nut", "LARGE", None), (7, None, "LARGE", 7), (None, "nut", "SMALL", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    handbooks = [(1, "a", 3), (2, None, 4), (5, "c", 5), (5, "d", 6), (6, "e", None), (7, "f", 7), (None, "g", 8), (big + 5, "h", 9)]
+    spark.createDataFrame(handbooks, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(1).write.parquet(str(tmp_path / "pages.parquet"))  # a column of the view has a table's name
+    corpus = Corpus(spark, str(tmp_path))
+    want = Counter(map(str, corpus.view("v_search_full").collect()))
+    modules = corpus.view("v_modules")
+    matches = corpus.search_matches(modules)
+    assert matches.columns == [*modules.columns, "a", "r", "version"]  # what is shuffled into its order
+    joined = matches.filter("a IS NOT NULL")
+    assert 0 < joined.count() < matches.count() / 2
+    assert {r.pos for r in joined.collect()} <= {1, 2, 3, 4, 6, 7}
+    assert Counter(map(str, corpus.search_rows(matches).collect())) == want and len(want) > 50
+    index = corpus.search_index()
+    assert Counter(map(str, index.candidates({}).collect())) == want
+    stored = spark.read.parquet(f"{index.path}/rows")
+    assert "raw_content" not in stored.columns and "title" in stored.columns
+
+
+def test_rows_in_order_are_not_sorted_again_for_their_folders(spark, tmp_path):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    rows = spark.range(70_000).select("id", F.concat(F.lit("text "), F.col("id") % 7).alias("a"))
+    short = rows.select("id")
+    index = substring_index.build_index(
+        short, {"text": [F.col("a")]}, ["id"], str(tmp_path / "i"), 20_000, lambda stored: stored.select(
+            "id", F.concat(F.lit("text "), F.col("id") % 7).alias("a"), "_bit", "_bucket"))
+    assert spark.conf.get(key) == before
+    assert index.rows().select("_bucket").distinct().count() == 3
+    assert sorted(r.id for r in index.candidates({"text": "%T 3%"}).collect()) == [i for i in range(70_000) if i % 7 == 3]
+    for folder in (tmp_path / "i" / "rows").glob("_bucket=*"):
+        ids = [r.id for r in spark.read.parquet(str(folder)).collect()]
+        assert ids == sorted(ids)
