@@ -166,125 +166,140 @@ class Attention:
             "place": np.zeros((SCORED, WINDOW), np.float32), "hidden": near_zero(2 * WIDTH, 2 * WIDTH), "hidden_add": near_zero(2 * WIDTH),
             "out": near_zero(2 * WIDTH, CLASSES), "out_add": np.zeros(CLASSES, np.float32)}
 
+    def tables(self, size: int) -> dict[str, np.ndarray]:
+        """What the weights make of each bucket (its embedding with a one behind, what it asks of the places before it, its part of the
+        hidden layer), products of weights, and what is added to the places of up to ``size`` windows.
+
+        There are far fewer buckets than places, so places look these up instead of multiplying. Query and key weights meet only
+        in their product, and so do those of values and of the hidden layer: places attend to embeddings, and the products are applied once.
+        """
+        p = self.p
+        kind = p["embed"].dtype
+        ask, use = p["q"] @ p["k"].T * kind.type(WIDTH ** -0.5), p["v"] @ p["hidden"][WIDTH:]
+        return {
+            "embed": np.concatenate((p["embed"], np.ones((BUCKETS, 1), kind)), axis=1), "use": use,
+            "asked": p["embed"] @ ask, "begun": p["embed"] @ p["hidden"][:WIDTH] + p["hidden_add"],
+            "ask_back": ask.T.copy(), "use_back": use.T.copy(), "own_back": p["hidden"][:WIDTH].T.copy(), "out_back": p["out"].T.copy(),
+            "place": p["place"] + _MASK.astype(kind), "out_add": np.tile(p["out_add"], (size * SCORED, 1)),
+            "zero": np.zeros((size * SCORED, 2 * WIDTH), kind)}
+
+    def _forward(self, t: dict[str, np.ndarray], buckets: np.ndarray, absent: np.ndarray) -> dict[str, np.ndarray]:
+        """Logits of the classes behind each of the last places of windows, and what they are made of.
+
+        Exponentials are kept as they are beside their sums: a value is divided once, where its row is added up.
+        """
+        flat, last = len(buckets) * SCORED, buckets[:, -SCORED:]
+        x, asked = t["embed"].take(buckets, axis=0), t["asked"].take(last, axis=0)
+        # Products of many small matrices are fastest if none of them has to be read across.
+        across = x.transpose(0, 2, 1).copy()
+        some = np.flatnonzero(absent[:, 0])  # absent places come first
+
+        def scores() -> np.ndarray:
+            out = asked @ across[:, :WIDTH]
+            out += t["place"]
+            if len(some):
+                out[some] += np.where(absent[some], np.float32(-1e9), np.float32(0))[:, None, :]
+            return out
+
+        weight = scores()
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(weight, out=weight)
+            seen = weight @ x
+        if not _exact(seen[:, :, WIDTH]):
+            weight = scores()
+            weight -= weight.max(-1, keepdims=True)
+            np.exp(weight, out=weight)
+            seen = weight @ x
+        total = seen[:, :, WIDTH:]
+        context = np.divide(seen[:, :, :WIDTH], total).reshape(flat, WIDTH)
+        hidden = context @ t["use"]
+        hidden += t["begun"].take(last, axis=0).reshape(hidden.shape)
+        np.maximum(hidden, t["zero"][:flat], out=hidden)  # much faster than with a single zero
+        logits = hidden @ self.p["out"]
+        logits += t["out_add"][:flat]
+        return {"x": x, "across": across, "asked": asked, "weight": weight, "total": total, "context": context, "hidden": hidden, "logits": logits}
+
     def forward(self, buckets: np.ndarray, absent: np.ndarray) -> dict[str, np.ndarray]:
-        """Class log probabilities behind each of the last places of windows (rows of input buckets).
+        """Class log probabilities (``log``) behind each of the last places of windows (rows of input buckets).
 
         A place attends to itself and to places before it that are not ``absent``.
         """
-        p, size = self.p, len(buckets)
-        x = p["embed"][buckets]
-        flat = x.reshape(-1, WIDTH)
-        q = (x[:, -SCORED:].reshape(-1, WIDTH) @ (p["q"] * np.float32(WIDTH ** -0.5))).reshape(size, SCORED, WIDTH)
-        k, v = ((flat @ p[name]).reshape(x.shape) for name in ("k", "v"))
-        scores = q @ k.transpose(0, 2, 1)
-        scores += p["place"] + _MASK
-        some = absent.any(1)
-        if some.any():
-            scores[some] += np.where(absent[some], np.float32(-1e9), np.float32(0))[:, None, :]
-        weight, total, _ = _exponentials(scores)
-        weight /= total
-        both = np.concatenate((x[:, -SCORED:], weight @ v), axis=2).reshape(size * SCORED, 2 * WIDTH)
-        hidden = both @ p["hidden"]
-        hidden += p["hidden_add"]
-        np.maximum(hidden, 0, out=hidden)
-        logits = hidden @ p["out"]
-        logits += p["out_add"]
-        share, total, logits = _exponentials(logits)
-        share /= total
-        logits -= np.log(total)
-        return {"x": x, "q": q, "k": k, "v": v, "weight": weight, "both": both, "hidden": hidden, "log": logits, "share": share}
-
-    def target_log(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Log probability of each scored place's class: ``forward`` with fewer array steps.
-
-        Scores and logits of a trained model are far below what overflows an exponential, so no maxima are taken off.
-        """
-        p, size = self.p, len(buckets)
-        x = p["embed"][buckets]
-        flat = x.reshape(-1, WIDTH)
-        keys = (flat @ p["k"]).reshape(x.shape)
-        last = np.ascontiguousarray(x[:, -SCORED:])
-        weight = (last.reshape(-1, WIDTH) @ (p["q"] * np.float32(WIDTH ** -0.5))).reshape(last.shape) @ keys.transpose(0, 2, 1)
-        weight += p["place"] + _MASK
-        some = np.flatnonzero(absent.any(1))
-        if len(some):
-            weight[some] += np.where(absent[some], np.float32(-1e9), np.float32(0))[:, None, :]
-        np.exp(weight, out=weight)
-        both = np.empty((size, SCORED, 2 * WIDTH), np.float32)
-        both[:, :, :WIDTH] = last
-        # Values with a column of ones: the product also gives the weights' sum.
-        values = np.ones((size, WINDOW, WIDTH + 1), np.float32)
-        values[:, :, :WIDTH] = (flat @ p["v"]).reshape(x.shape)
-        seen = weight @ values
-        np.divide(seen[:, :, :WIDTH], seen[:, :, WIDTH:], out=both[:, :, WIDTH:])
-        hidden = both.reshape(-1, 2 * WIDTH) @ p["hidden"]
-        hidden += p["hidden_add"]
-        np.maximum(hidden, 0, out=hidden)
-        logits = hidden @ p["out"]
-        logits += p["out_add"]
-        chosen = logits[np.arange(len(logits)), targets.reshape(-1)]
-        np.exp(logits, out=logits)
-        return (chosen - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(size, SCORED)
+        _, total, logits = _exponentials(self._forward(self.tables(len(buckets)), buckets, absent)["logits"])
+        return {"log": logits - np.log(total)}
+
+    def target_log(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray, tables: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Log probability of each scored place's class; ``tables`` are those of at least as many windows."""
+        _, total, logits = _exponentials(self._forward(tables or self.tables(len(buckets)), buckets, absent)["logits"])
+        chosen = np.arange(0, logits.size, CLASSES) + targets.reshape(-1)
+        return (logits.reshape(-1)[chosen] - np.log(total[:, 0])).reshape(-1, SCORED)
 
     def gradient(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray, used: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over used places and its gradient, added up over slices of windows."""
         n = max(int(used.sum()), 1)
-        loss, total = 0.0, {k: np.zeros_like(v) for k, v in self.p.items()}
+        t, p = self.tables(min(SLICE, len(buckets))), self.p
+        loss, g = 0.0, {k: np.zeros_like(v) for k, v in p.items()} | {"ask": np.zeros_like(p["q"]), "use": np.zeros_like(t["use"])}
         for at in range(0, len(buckets), SLICE):
             rows = slice(at, at + SLICE)
-            part, g = self._gradient(buckets[rows], absent[rows], targets[rows], used[rows], n)
-            loss += part
-            for k, v in g.items():
-                total[k] += v.astype(np.float32, copy=False)
-        return loss, total
-
-    def _gradient(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray, used: np.ndarray, n: int) -> tuple[float, dict[str, np.ndarray]]:
-        """Share of some windows in the loss and gradient over ``n`` places."""
-        p, f = self.p, self.forward(buckets, absent)
-        flat, used = targets.reshape(-1), used.reshape(-1)
-        cell = np.arange(0, len(flat) * CLASSES, CLASSES) + flat
-        loss = -float(f["log"].reshape(-1)[cell][used].sum()) / n
-        d = f["share"]
-        d.reshape(-1)[cell] -= 1
-        d *= (used / np.float32(n)).astype(np.float32)[:, None]
-        one = np.ones(len(flat), np.float32)
-        g = {"out": f["hidden"].T @ d, "out_add": one @ d}
-        dh = d @ p["out"].T
-        dh *= f["hidden"] > 0
-        g["hidden"], g["hidden_add"] = f["both"].T @ dh, one @ dh
-        db = (dh @ p["hidden"].T).reshape(len(buckets), SCORED, 2 * WIDTH)
-        dx = np.zeros_like(f["x"])
-        dx[:, -SCORED:] += db[:, :, :WIDTH]
-        dc = np.ascontiguousarray(db[:, :, WIDTH:])
-        ds = dc @ f["v"].transpose(0, 2, 1)
-        dv = (f["weight"].transpose(0, 2, 1) @ dc).reshape(-1, WIDTH)
-        ds -= ((ds * f["weight"]) @ np.ones(WINDOW, np.float32))[:, :, None]
-        ds *= f["weight"]
-        g["place"] = ds.sum(0)
-        dq = (ds @ f["k"]).reshape(-1, WIDTH) * np.float32(WIDTH ** -0.5)
-        dk = (ds.transpose(0, 2, 1) @ f["q"]).reshape(-1, WIDTH)
-        last = f["x"][:, -SCORED:].reshape(-1, WIDTH)
-        every = f["x"].reshape(-1, WIDTH)
-        g["q"] = last.T @ dq
-        g["k"], g["v"] = every.T @ dk, every.T @ dv
-        dx[:, -SCORED:] += (dq @ p["q"].T).reshape(-1, SCORED, WIDTH)
-        dx += (dk @ p["k"].T + dv @ p["v"].T).reshape(dx.shape)
-        cells = (buckets.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
-        g["embed"] = np.bincount(cells, dx.reshape(-1), BUCKETS * WIDTH).reshape(BUCKETS, WIDTH)
+            loss += self._gradient(t, g, buckets[rows], absent[rows], targets[rows], used[rows], n)
+        ask, use = g.pop("ask") * p["q"].dtype.type(WIDTH ** -0.5), g.pop("use")
+        g["q"], g["k"] = ask @ p["k"], ask.T @ p["q"]
+        g["v"], g["hidden"][WIDTH:] = use @ p["hidden"][WIDTH:].T, p["v"].T @ use
         return loss, g
 
+    def _gradient(self, t: dict[str, np.ndarray], g: dict[str, np.ndarray], buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray,
+                  used: np.ndarray, n: int) -> float:
+        """Adds the share of some windows in the gradient over ``n`` places to ``g``; returns their share in the loss."""
+        p, f, size = self.p, self._forward(t, buckets, absent), len(buckets)
+        kind, flat = p["embed"].dtype, size * SCORED
+        hidden, context, weight = f["hidden"], f["context"], f["weight"]
+        cell = np.arange(0, flat * CLASSES, CLASSES) + targets.reshape(-1)
+        part = used.reshape(-1) * kind.type(1 / n)
+        d, total, logits = _exponentials(f["logits"])
+        total = total[:, 0]
+        loss = float((np.log(total) - logits.reshape(-1)[cell]) @ part)
+        d *= (part / total)[:, None]
+        d.reshape(-1)[cell] -= part
+        one = np.ones(flat, kind)
+        g["out"] += hidden.T @ d
+        g["out_add"] += one @ d
+        dh = d @ t["out_back"]
+        dh *= (hidden > 0).astype(kind)
+        g["hidden_add"] += one @ dh
+        g["use"] += context.T @ dh
+        # Of what was seen, and behind it of the sums by which it was divided.
+        dc = np.empty((size, SCORED, WIDTH + 1), kind)
+        np.divide((dh @ t["use_back"]).reshape(size, SCORED, WIDTH), f["total"], out=dc[:, :, :WIDTH])
+        context *= dc[:, :, :WIDTH].reshape(flat, WIDTH)
+        np.negative((context @ one[:WIDTH]).reshape(size, SCORED), out=dc[:, :, WIDTH])
+        ds = dc @ f["across"]
+        ds *= weight
+        g["place"] += ds.sum(0)
+        da = (ds @ f["x"][:, :, :WIDTH]).reshape(flat, WIDTH)
+        last = f["x"][:, -SCORED:, :WIDTH].reshape(flat, WIDTH)
+        g["ask"] += last.T @ da
+        g["hidden"][:WIDTH] += last.T @ dh
+        dx = ds.transpose(0, 2, 1) @ f["asked"]
+        dx += weight.transpose(0, 2, 1) @ dc[:, :, :WIDTH]
+        own = da @ t["ask_back"]
+        own += dh @ t["own_back"]
+        dx[:, -SCORED:] += own.reshape(size, SCORED, WIDTH)
+        # Two neighbouring numbers are added as one complex number.
+        two = np.dtype(f"c{2 * kind.itemsize}")
+        np.add.at(g["embed"].reshape(-1).view(two), _CELLS.take(buckets, axis=0).reshape(-1), dx.reshape(-1).view(two))
+        return loss
+
     def step(self, state: dict, windows: tuple[np.ndarray, ...], rate: float) -> float:
         """One Adam step along the mean gradient of some windows; ``state`` keeps the moments of the steps before."""
         loss, g = self.gradient(*windows)
+        v = np.concatenate([g[k].reshape(-1) for k in sorted(self.p)])
         if not state:
-            state |= {"steps": 0, "mean": {k: np.zeros_like(v) for k, v in self.p.items()}, "square": {k: np.zeros_like(v) for k, v in self.p.items()}}
+            state |= {"steps": 0, "mean": np.zeros_like(v), "square": np.zeros_like(v)}
         state["steps"] += 1
         first, second = 1 - 0.9 ** state["steps"], 1 - 0.99 ** state["steps"]
-        for k, v in g.items():
-            mean, square = state["mean"][k], state["square"][k]
-            mean += 0.1 * (v - mean)
-            square += 0.01 * (v * v - square)
-            self.p[k] -= (rate * mean / first / (np.sqrt(square / second) + 1e-6)).astype(np.float32)
+        mean, square = state["mean"], state["square"]
+        mean += 0.1 * (v - mean)
+        square += 0.01 * (v * v - square)
+        self.set_vector(self.vector() - rate * mean / first / (np.sqrt(square / second) + 1e-6))
         return loss
 
     def vector(self) -> np.ndarray:
@@ -303,20 +318,29 @@ class Attention:
 _MASK = np.where(np.arange(WINDOW)[None] <= np.arange(SCORED)[:, None] + WINDOW - SCORED, 0, -1e9).astype(np.float32)
 
 
+#: Places of each bucket's embedding among all, two numbers each.
+_CELLS = np.arange(BUCKETS * WIDTH // 2).reshape(BUCKETS, WIDTH // 2)
+
+
+def _exact(total: np.ndarray) -> bool:
+    """Whether sums of exponentials lie in the range in which they are exact."""
+    return not total.size or bool(1e-20 < total.min() and total.max() < 1e20)
+
+
 def _exponentials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exponentials of the last axis, their sums, and the values that they are of.
 
     Maxima are taken off only when a row's sum would otherwise leave the range in which it is exact.
     """
-    ones = np.ones(values.shape[-1], np.float32)
+    ones = np.ones(values.shape[-1], values.dtype)
     with np.errstate(over="ignore"):
-        out = np.exp(values)
-        total = (out @ ones)[..., None]
-    if total.size and not (1e-20 < total.min() and total.max() < 1e20):
+        found = np.exp(values)
+        total = (found @ ones)[..., None]
+    if not _exact(total):
         values = values - values.max(-1, keepdims=True)
-        out = np.exp(values)
-        total = (out @ ones)[..., None]
-    return out, total, values
+        found = np.exp(values)
+        total = (found @ ones)[..., None]
+    return found, total, values
 
 
 def windows(counts: np.ndarray, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -365,10 +389,11 @@ class Model:
         log = self.bigram[before, bucket] + self.id_log[ids]
         kind = self.class_of[bucket]
         places, absent, used = windows(counts)
+        tables = self.attention.tables(SCORE_BATCH)
         for at in range(0, len(places), SCORE_BATCH):
             rows = slice(at, at + SCORE_BATCH)
             scored = places[rows][:, -SCORED:]
-            value = self.attention.target_log(before[places[rows]], absent[rows], kind[scored])
+            value = self.attention.target_log(before[places[rows]], absent[rows], kind[scored], tables)
             log[scored[used[rows]]] += value[used[rows]]
         sums = np.add.reduceat(log.astype(np.float64), np.cumsum(counts) - counts) if len(counts) else np.zeros(0)
         return sums / np.log(10)
