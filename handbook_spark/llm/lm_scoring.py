@@ -45,7 +45,7 @@ ROUNDS, BATCH, LEAST_STEPS = 4, 256, 48
 #: Different words whose ids a task remembers.
 MEMO_CHUNKS = 400_000
 #: Windows whose arrays are held at once in training, so few that they stay in a core's cache, and windows that are scored together.
-SLICE, SCORE_BATCH = 32, 64
+SLICE, SCORE_BATCH = 64, 96
 #: Ids at a window's first scored places that make its hash.
 _HASHED_IDS = 5
 _BEGIN = 0  # bucket of the place before a text, 1 is the end token's
@@ -224,14 +224,15 @@ class Attention:
 
         A place attends to itself and to places before it that are not ``absent``.
         """
-        _, total, logits = _exponentials(self._forward(self.tables(len(buckets)), buckets, absent)["logits"])
-        return {"log": logits - np.log(total)}
+        logits = _shifted(self._forward(self.tables(len(buckets)), buckets, absent)["logits"])
+        return {"log": logits - np.log(np.exp(logits).sum(1, keepdims=True))}
 
     def target_log(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray, tables: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """Log probability of each scored place's class; ``tables`` are those of at least as many windows."""
-        _, total, logits = _exponentials(self._forward(tables or self.tables(len(buckets)), buckets, absent)["logits"])
-        chosen = np.arange(0, logits.size, CLASSES) + targets.reshape(-1)
-        return (logits.reshape(-1)[chosen] - np.log(total[:, 0])).reshape(-1, SCORED)
+        logits = _shifted(self._forward(tables or self.tables(len(buckets)), buckets, absent)["logits"])
+        log = logits.reshape(-1)[np.arange(0, logits.size, CLASSES) + targets.reshape(-1)]
+        np.exp(logits, out=logits)
+        return (log - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(-1, SCORED)
 
     def gradient(self, buckets: np.ndarray, absent: np.ndarray, targets: np.ndarray, used: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over used places and its gradient, added up over slices of windows."""
@@ -254,9 +255,11 @@ class Attention:
         hidden, context, weight = f["hidden"], f["context"], f["weight"]
         cell = np.arange(0, flat * CLASSES, CLASSES) + targets.reshape(-1)
         part = used.reshape(-1) * kind.type(1 / n)
-        d, total, logits = _exponentials(f["logits"])
-        total = total[:, 0]
-        loss = float((np.log(total) - logits.reshape(-1)[cell]) @ part)
+        d = _shifted(f["logits"])
+        chosen = d.reshape(-1)[cell]
+        np.exp(d, out=d)
+        total = d @ np.ones(CLASSES, kind)
+        loss = float((np.log(total) - chosen) @ part)
         d *= (part / total)[:, None]
         d.reshape(-1)[cell] -= part
         one = np.ones(flat, kind)
@@ -299,7 +302,10 @@ class Attention:
         mean, square = state["mean"], state["square"]
         mean += 0.1 * (v - mean)
         square += 0.01 * (v * v - square)
-        self.set_vector(self.vector() - rate * mean / first / (np.sqrt(square / second) + 1e-6))
+        change, at = rate / first * mean / (np.sqrt(square / second) + 1e-6), 0
+        for k in sorted(self.p):
+            self.p[k] -= change[at : at + self.p[k].size].reshape(self.p[k].shape)
+            at += self.p[k].size
         return loss
 
     def vector(self) -> np.ndarray:
@@ -327,20 +333,11 @@ def _exact(total: np.ndarray) -> bool:
     return not total.size or bool(1e-20 < total.min() and total.max() < 1e20)
 
 
-def _exponentials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials of the last axis, their sums, and the values that they are of.
-
-    Maxima are taken off only when a row's sum would otherwise leave the range in which it is exact.
-    """
-    ones = np.ones(values.shape[-1], values.dtype)
-    with np.errstate(over="ignore"):
-        found = np.exp(values)
-        total = (found @ ones)[..., None]
-    if not _exact(total):
-        values = values - values.max(-1, keepdims=True)
-        found = np.exp(values)
-        total = (found @ ones)[..., None]
-    return found, total, values
+def _shifted(logits: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials add up within the range in which they are exact: maxima are taken off only if they would not."""
+    if logits.size and not (-40 < logits.min() and logits.max() < 40):
+        logits -= logits.max(-1, keepdims=True)
+    return logits
 
 
 def windows(counts: np.ndarray, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

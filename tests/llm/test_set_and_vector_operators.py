@@ -196,6 +196,44 @@ def test_attention_gradient_and_causality():
     assert np.allclose(before[0][:20], after[0][:20]) and not np.allclose(before[0][20], after[0][20])
 
 
+def test_large_weights_do_not_overflow():
+    """Attention scores and logits beyond what an exponential holds: log probabilities and gradient stay those of a slow scorer."""
+    rng = np.random.default_rng(8)
+    model = small_model()
+    model.attention.p["place"] = (rng.standard_normal((lm_scoring.SCORED, lm_scoring.WINDOW)) * 200).astype(np.float32)
+    model.attention.p["out_add"] = (rng.standard_normal(lm_scoring.CLASSES) * 60).astype(np.float32)
+    texts = [rng.integers(0, 701, n) for n in (3, 24, 70)]
+    found = model.scores(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert found == pytest.approx([brute.language_model_score(model, t.tolist()) for t in texts], rel=1e-4)
+    places, absent, used = lm_scoring.windows(np.array([len(texts[2])]))
+    bucket = model.bucket_of[texts[2]]
+    _, gradient = model.attention.gradient(bucket[places], absent, model.class_of[bucket][places[:, -lm_scoring.SCORED:]], used)
+    assert all(np.isfinite(v).all() for v in gradient.values())
+
+
+def test_places_look_products_up_by_bucket():
+    """The embeddings are multiplied once per step and bucket: a step's products with them do not grow with its windows."""
+    model, rows = lm_scoring.Attention(), []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            rows.append(len(self))
+            return np.asarray(self) @ np.asarray(other)
+
+        def take(self, *args, **kwargs):
+            return np.asarray(self).take(*args, **kwargs).view(Counted)
+
+        def __getitem__(self, key):
+            return np.asarray(self)[key].view(Counted)
+
+    model.p["embed"] = model.p["embed"].view(Counted)
+    rng = np.random.default_rng(9)
+    windows = (rng.integers(0, lm_scoring.BUCKETS, (200, lm_scoring.WINDOW)), np.zeros((200, lm_scoring.WINDOW), bool),
+               rng.integers(0, lm_scoring.CLASSES, (200, lm_scoring.SCORED)), np.ones((200, lm_scoring.SCORED), bool))
+    model.target_log(*windows[:3])
+    assert rows == [lm_scoring.BUCKETS] * len(rows) and rows
+
+
 def small_model(vocabulary: int = 700) -> lm_scoring.Model:
     rng = np.random.default_rng(3)
     ids = np.bincount(rng.integers(0, 50, 1200), minlength=vocabulary + 1)
