@@ -18,6 +18,8 @@ from handbook_spark.session import materialize
 NOT_GIVEN = "k.A."
 GRAM = 3
 TEXT_GRAM = 6
+# Up to so many grams of a key are looked for in its texts one by one: less work than taking the grams of a text.
+LISTED_GRAMS = 512
 # Fixed fields of a model extraction and of a regex extraction.
 AI_FIELDS = (
     "module_code", "title", "ects", "lecturer", "contents", "goals", "requirements", "expense", "success_requirements",
@@ -191,6 +193,21 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(reduce(lambda a, b: F.concat(a, b), [of_length(n) for n in range(1, size + 1)]))
 
 
+def _grams_of_keys(outer: DataFrame, wanted: DataFrame, keys: Sequence[str], outer_id: str, outer_text: str, size: int) -> DataFrame:
+    """Rows (``keys``, outer id, gram) with every gram of an outer text that ``wanted`` (``keys``, gram) has for its key, and maybe others.
+
+    The grams wanted for a key are one list, which its texts are searched for, so no text is taken apart for grams that
+    nobody looks up. A key with more than ``LISTED_GRAMS`` has no list: its texts give all their grams, so that work and
+    memory for a hot key do not grow with texts times grams.
+    """
+    sizes = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    lists = wanted.join(sizes, list(keys)).groupBy(*keys).agg(
+        F.max("_n").alias("_n"), F.collect_list(F.when(F.col("_n") <= LISTED_GRAMS, F.col("gram"))).alias("_listed"))
+    text = F.col(outer_text)
+    held = F.when(F.col("_n") <= LISTED_GRAMS, F.filter("_listed", lambda g: F.contains(text, g))).otherwise(_grams(text, size))
+    return outer.select(*keys, outer_id, outer_text).join(lists, list(keys)).select(*keys, outer_id, F.explode(held).alias("gram"))
+
+
 def containment_candidates(
     inner: DataFrame, outer: DataFrame, keys: Sequence[str], inner_text: str, outer_id: str, outer_text: str,
     size: int = GRAM,
@@ -199,16 +216,20 @@ def containment_candidates(
 
     Every inner text is looked up by the one of its grams that the fewest outer texts have, which
     keeps words shared by most texts out of the join. Inner texts must be distinct and not empty;
-    the caller applies the substring test.
+    the caller applies the substring test. With ``keys``, an outer text gives a row only for grams that the inner
+    texts of its key have; see ``_grams_of_keys``.
     """
     width = F.least(F.length(inner_text), F.lit(size))
     probes = inner.select(
         *keys, inner_text, F.explode(F.filter(_grams(F.col(inner_text), size), lambda g: F.length(g) == width)).alias("gram")
     )
     on = [*keys, "gram"]
-    postings = outer.select(*keys, outer_id, F.explode(_grams(F.col(outer_text), size)).alias("gram")).join(
-        probes.select(*on).distinct(), on, "left_semi"
-    )
+    wanted = probes.select(*on).distinct()
+    if keys:
+        found = _grams_of_keys(outer, wanted, keys, outer_id, outer_text, size)
+    else:
+        found = outer.select(outer_id, F.explode(_grams(F.col(outer_text), size)).alias("gram"))
+    postings = found.join(wanted, on, "left_semi")
     sizes = postings.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     rarest = first_per_key(probes.join(sizes, on), [*keys, inner_text], [F.col("n"), F.col("gram")])
     return rarest.select(*on, inner_text).join(postings, on).select(*keys, inner_text, outer_id)
@@ -269,8 +290,11 @@ def provenance_claims(ai: DataFrame, raw: DataFrame) -> DataFrame:
     Each claim is looked up by the rarest gram of its longest required text, and only the texts that have
     that gram are tested. A claim without requirements is one row per code and fits every text.
     """
-    texts = raw.groupBy("module_code", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("raw_id"))
-    claims = ai.filter(F.col("module_code").isNotNull()).select("module_code", "lecturer", "ects").distinct()
+    texts = materialize(
+        raw.filter(F.col("module_code").isNotNull()).groupBy("module_code", "content")
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("raw_id"))
+    )
+    claims = materialize(ai.filter(F.col("module_code").isNotNull()).select("module_code", "lecturer", "ects").distinct())
     names = ["module_code", "lecturer", "ects", "raw_id", "copies"]
     required = F.filter(
         F.concat(F.coalesce(F.split("lecturer", ", "), F.array()), F.array(F.col("ects").cast("string"))),

@@ -105,6 +105,52 @@ def test_provenance_of_hot_codes_equals_pairing(spark):
     assert got == sorted(wanted, key=repr)
 
 
+@pytest.mark.parametrize("listed", [0, 3, 512])
+def test_provenance_by_lists_and_by_all_grams_equals_pairing(spark, monkeypatch, listed):
+    monkeypatch.setattr(joins, "LISTED_GRAMS", listed, raising=False)
+    rng = random.Random(listed)
+    words = ["Prof. A", "Prof. AB", "Dr. Ü", "x", "", "Prof. Zoe Lang", "😀 b"]
+    raw = [(i, rng.choice(["HOT", "HOT", "C1", "C2", None]), rng.choice([None, "", " ".join(rng.choices(words, k=3)) + str(rng.randint(1, 12))])) for i in range(200)]
+    raw += [(i + 500, c, t) for i, c, t in raw[:60]] + raw[:20]
+    ai = [(i, rng.choice(["HOT", "HOT", "C1", "C3", None]), rng.choice([None, *words, "Prof. A, x", "x, Prof. Zoe Lang"]), rng.choice([None, 1, 12, 99])) for i in range(120)]
+    ai += ai[:10]
+    wanted = []
+    for i, code, lecturer, ects in ai:
+        ids = [r for r, c, t in raw if code is not None and c == code
+               and (lecturer is None or t is None or all(x in t for x in lecturer.split(", "))) and (ects is None or t is None or str(ects) in t)
+               and (t is not None or (not lecturer and ects is None))]
+        wanted.append((i, len(ids), min(ids, default=None)))
+    left = spark.createDataFrame(ai, "raw_module_id int, module_code string, lecturer string, ects int")
+    right = spark.createDataFrame(raw, "id int, module_code string, content string")
+    assert rows(joins.provenance(left, right), "raw_module_id", "n_matches", "first_raw_id") == sorted(wanted, key=repr)
+
+
+def shuffled_rows(node):
+    """Rows that the exchanges of an executed plan wrote."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return shuffled_rows(node.executedPlan())
+    if node.nodeName().endswith("QueryStage"):
+        return shuffled_rows(node.plan())
+    written = node.metrics().get("shuffleRecordsWritten")
+    children = node.children()
+    return (written.get().value() if written.isDefined() else 0) + sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_provenance_shuffles_only_grams_that_are_looked_up(spark):
+    rng = random.Random(5)
+    raw = [(i, f"C{i % 40}", "".join(chr(rng.randint(97, 122)) for _ in range(200)) + f" Prof. {i % 7}") for i in range(200)]
+    ai = [(i, f"C{i % 40}", f"Prof. {i % 7}", None) for i in range(80)]
+    left = spark.createDataFrame(ai, "raw_module_id int, module_code string, lecturer string, ects int")
+    right = spark.createDataFrame(raw, "id int, module_code string, content string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = joins.provenance(left, right)
+        assert sum(r.n_matches for r in found.collect()) == sum(1 for _, c, l, _ in ai for _, d, t in raw if c == d and l in t)
+        assert shuffled_rows(found._jdf.queryExecution().executedPlan()) < 20_000  # the texts have about 240 000 grams
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_overlaps(spark):
     data = [(1, i, c, c.lower(), i, [i]) for i, c in enumerate("DCBA")] + [(2, i, c, "t", 1, [9]) for i, c in enumerate("ABX")] + [(3, 0, "A", None, None, [1])]
     df = spark.createDataFrame(data, "mhb_id int, pos int, module_code string, title string, ects int, pages array<int>")
