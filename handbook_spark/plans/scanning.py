@@ -37,6 +37,9 @@ _XML_ROW = T.StructType().add("_moduleId", "long").add("moduleCode", "string").a
     "creditInfo", T.StructType().add("ectsPoints", "integer")
 )
 
+# Tags make up most of the text. A compressed file is read by one task, so no file is long.
+_XML_FILES = {"compression": "gzip", "maxRecordsPerFile": 1_000_000}
+
 
 @query("a3_xml_corpus", """
 SELECT id AS module_id, module_code, title AS full_title, ects AS ects_points, true AS has_source FROM v_modules""")
@@ -45,7 +48,7 @@ def a3(c: Corpus) -> DataFrame:
     c.view("v_modules").select(
         F.col("id").alias("_moduleId"), F.col("module_code").alias("moduleCode"), F.col("title").alias("fullTitle"),
         F.struct(F.col("ects").alias("ectsPoints")).alias("creditInfo"),
-    ).write.format("xml").option("rootTag", "modules").option("rowTag", "module").save(folder)
+    ).write.format("xml").option("rootTag", "modules").option("rowTag", "module").options(**_XML_FILES).save(folder)
     records = readers.read_xml(c.spark, folder, "module", _XML_ROW)
     return records.select(
         "module_id", "module_code", "full_title", F.col("credit_info.ects_points").alias("ects_points"),

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import csv
+import gzip
 import io
 import json
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
+import __spark_entry__ as entry
 from handbook_spark import session
+from handbook_spark.corpus import Corpus
 from handbook_spark.operators import tables
+from handbook_spark.plans import scanning
 from handbook_spark.sources import exports, readers
 from handbook_spark.sources.keyed_table import KeyedTable
 from handbook_spark.streaming.ingest import RAW_SCHEMA, append_batch, ingest_raw_modules, raw_table
@@ -38,6 +42,22 @@ def test_read_xml(spark, tmp_path):
     assert row.source_path.endswith("deep/a.xml")
 
 
+def test_xml_corpus_is_stored_compressed_and_read_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(scanning._XML_FILES, "maxRecordsPerFile", 40)
+    monkeypatch.setattr(scanning, "scratch_path", lambda spark: str(tmp_path / "corpus"))
+    pairs = [(p, s) for p in range(100) for s in range(10)]
+    spark.createDataFrame(pairs, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(p, ["bolt", 'a<b & "c"', "Straße\nzwei", None, "</module>"][p % 5], ["LARGE", None][p % 7 == 0], None if p % 9 == 0 else p) for p in range(100)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = entry.queries()["a3_xml_corpus"](spark, str(tmp_path)).collect()
+    modules = Corpus(spark, str(tmp_path)).view("v_modules").collect()
+    assert len(modules) == 1000
+    assert sorted(found, key=str) == sorted([(m.id, m.module_code, m.title, m.ects, True) for m in modules], key=str)
+    files = list((tmp_path / "corpus").glob("part-*"))
+    assert len(files) >= 25
+    assert sum(f.stat().st_size for f in files) < sum(len(gzip.decompress(f.read_bytes())) for f in files) / 2
+
+
 def test_positioned_xml(spark):
     xml = (
         '<data><page number="2"><fontspec id="5"/><text left="10" font="5"><b>fett</b></text><text left="20" font="6">LMZ-</text>'
