@@ -116,7 +116,7 @@ AND coalesce(module_code, ai_module_code) ILIKE 'eco-%' AND CAST(to_json(ai_exam
 
 @query("i43_full_merge", _RECORD)
 def i43_full(c: Corpus) -> DataFrame:
-    return _joined_lists(joins.merged_modules(c.view("v_search_full")))
+    return _joined_lists(joins.merged_modules(c.search_rows(c.search_matches(c.view("v_modules")))))
 
 
 @query("c2_handbook_universities", """

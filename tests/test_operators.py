@@ -9,6 +9,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from handbook_spark.corpus import Corpus
 from handbook_spark.operators import aggregates, filters, graph, joins, quality, retrieval, tables
 
 
@@ -125,15 +127,18 @@ def test_provenance_by_lists_and_by_all_grams_equals_pairing(spark, monkeypatch,
     assert rows(joins.provenance(left, right), "raw_module_id", "n_matches", "first_raw_id") == sorted(wanted, key=repr)
 
 
-def shuffled_rows(node):
-    """Rows that the exchanges of an executed plan wrote."""
-    if node.nodeName() == "AdaptiveSparkPlan":
-        return shuffled_rows(node.executedPlan())
-    if node.nodeName().endswith("QueryStage"):
-        return shuffled_rows(node.plan())
-    written = node.metrics().get("shuffleRecordsWritten")
-    children = node.children()
-    return (written.get().value() if written.isDefined() else 0) + sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+def shuffled(df, metric="shuffleRecordsWritten"):
+    """Rows, or another figure, that the exchanges of a collected frame wrote."""
+    def total(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return total(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return total(node.plan())
+        written, children = node.metrics().get(metric), node.children()
+        own = written.get().value() if node.nodeName() == "Exchange" and written.isDefined() else 0
+        return own + sum(total(children.apply(i)) for i in range(children.size()))
+
+    return total(df._jdf.queryExecution().executedPlan())
 
 
 def test_provenance_shuffles_only_grams_that_are_looked_up(spark):
@@ -146,7 +151,29 @@ def test_provenance_shuffles_only_grams_that_are_looked_up(spark):
     try:
         found = joins.provenance(left, right)
         assert sum(r.n_matches for r in found.collect()) == sum(1 for _, c, l, _ in ai for _, d, t in raw if c == d and l in t)
-        assert shuffled_rows(found._jdf.queryExecution().executedPlan()) < 20_000  # the texts have about 240 000 grams
+        assert shuffled(found) < 20_000  # the texts have about 240 000 grams
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_full_merge_shuffles_short_rows(spark, tmp_path):
+    """Same records as the joined view gives, which shuffles its texts and lists; a few keys repeat or are missing."""
+    pairs = [(p, s) for p in range(200) for s in range(5)] + [(3, 1), (1, (1 << 31) + 4), (None, 1), (2, None), (900, 1), (901, 9)]
+    spark.createDataFrame(pairs, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(p, f"bolt {p % 3}", ["LARGE", "SM", None, "A-B"][p % 4], p % 9) for p in [*range(200), 900, 4, 4, 7]] + [(None, "nut", "SMALL", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    handbooks = [(s, f"h{s}", s % 5) for s in [0, 1, 2, 3, 4, 4, (1 << 31) + 4]] + [(None, "x", 1)]
+    spark.createDataFrame(handbooks, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(1).write.parquet(str(tmp_path / "pages.parquet"))  # a column of the view has a table's name
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = entry.queries()["i43_full_merge"](spark, str(tmp_path))
+        view = joins.merged_modules(Corpus(spark, str(tmp_path)).view("v_search_full"))
+        lists = [f.name for f in view.schema if f.dataType.typeName() == "array"]
+        view = view.withColumns({n: F.array_join(n, "; ") for n in lists})
+        assert found.columns == view.columns and Counter(map(str, found.collect())) == Counter(map(str, view.collect()))
+        assert found.count() > 700
+        assert shuffled(found, "dataSize") < shuffled(view, "dataSize") / 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
